@@ -92,15 +92,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: int
             rows, share_, y = data[i]
             rate = RATE * (1 - step / steps)
             step += 1
-            mean = share_ @ table[rows]
-            z = mean @ weights + bias
+            mean = np.einsum("i,ij->j", share_, table[rows])
+            z = (mean[:, None] * weights).sum(0) + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1
-            table[rows] -= (rate * len(rows) ** 0.5) * np.outer(share_, weights @ p)
+            table[rows] -= (rate * len(rows) ** 0.5) * np.outer(share_, (weights * p).sum(1))
             weights -= rate * np.outer(mean, p)
             bias -= rate * 0.1 * p
-    return Model(table @ (weights[:, 1] - weights[:, 0]), float(bias[1] - bias[0]))
+    return Model((table * (weights[:, 1] - weights[:, 0])).sum(1), float(bias[1] - bias[0]))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:

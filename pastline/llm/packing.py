@@ -105,7 +105,7 @@ def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 4000, gain:
             else:
                 pattern[pick[c]] += 1
                 c -= size[pick[c]]
-        direction = inverse @ pattern
+        direction = np.einsum("ij,j->i", inverse, pattern)
         ratio = np.where(direction > 1e-9, amount / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratio.argmin())
         theta = ratio[out]
@@ -118,8 +118,7 @@ def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 4000, gain:
         inverse = inverse - np.outer(direction, pivot)
         inverse[out] = pivot
         if step % 500 == 499:  # against drift
-            inverse = np.linalg.inv(columns)
-            amount = np.maximum(inverse @ need, 0)
+            amount = np.maximum(np.einsum("ij,j->i", inverse, need), 0)
     left = demand[classes].astype(np.int64)
     plan: list[tuple[dict[int, int], int]] = []
     for j in np.argsort(-amount, kind="stable"):
