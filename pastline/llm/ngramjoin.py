@@ -9,14 +9,15 @@ one keeps lists short). Two sets that are similar enough share a shingle among t
 2. rest: lists that still span several components are joined with their members outside the list's main component. A pair inside one
    component needs no check, for the result is components; a pair across them is verified unless a filter proves that it can't link.
 
-Pairs go through the length filter, the positional filter and the suffix filter (counts of shingles by hash range bound the overlap), are made
-distinct, and each is then verified once on the whole sets.
+Pairs go through the length filter, the positional filter and the suffix filter (the sets' parities by hash slot differ in at most as many
+slots as the sets differ in shingles, which bounds the overlap), are made distinct, and each is then verified once on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from pastline.llm import textkernel as K
 from pastline.llm.components import components
 
 ORDER_BITS = 18
-RANGES = 16
+SLOT_BITS = 9
+SLOTS = 1 << SLOT_BITS
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,8 @@ def shingle_counts(docs: DataFrame, params: Params) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, params: Params, counts) -> DataFrame:
-    """Per document: set size, a 128-bit key of the set, its rare-first prefix, and its shingles by hash range. ``counts``: a broadcast."""
-    schema = "doc_id long, n long, ka long, kb long, prefix array<long>, ranges array<int>"
+    """Per document: set size, a 128-bit key of the set, its rare-first prefix, and the parities of its shingles by hash slot. ``counts``: a broadcast."""
+    schema = "doc_id long, n long, ka long, kb long, prefix array<long>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = counts.value
@@ -103,7 +105,7 @@ def profiles(docs: DataFrame, params: Params, counts) -> DataFrame:
                 flat, bounds = _sets(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], params.words)
                 frequency = rare[_bucket(flat)]
                 keys = [K.mix(flat ^ np.uint64(c)) for c in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)]
-                prefixes, ranges, sums = [], [], [[], []]
+                prefixes, sketches, sums = [], [], [[], []]
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     n = b - a
                     for k in range(2):
@@ -111,12 +113,13 @@ def profiles(docs: DataFrame, params: Params, counts) -> DataFrame:
                     take = n - -(-params.percent * n // 100) + 1 if n else 0
                     order = np.argsort(frequency[a:b] * 1.0 + flat[a:b].astype(np.float64) / 2.0**65, kind="stable")[:take] if n else np.zeros(0, int)
                     prefixes.append(flat[a:b][order].view(np.int64))
-                    ranges.append(np.bincount((flat[a:b] & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                    odd = np.bincount((flat[a:b] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-                width = np.arange(0, RANGES * (to - at) + 1, RANGES, dtype=np.int32)
+                width = np.arange(0, SLOTS // 64 * (to - at) + 1, SLOTS // 64, dtype=np.int32)
                 arrays = [batch.column("doc_id").slice(at, to - at), pa.array(np.diff(bounds)), *(pa.array(s, pa.int64()) for s in sums)]
-                arrays += [pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefixes))), pa.ListArray.from_arrays(pa.array(width), pa.array(np.concatenate(ranges)))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "ka", "kb", "prefix", "ranges"])
+                arrays += [pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefixes))), pa.ListArray.from_arrays(pa.array(width), pa.array(np.concatenate(sketches)))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "ka", "kb", "prefix", "sketch"])
 
     return _batches(docs).mapInArrow(run, schema)
 
@@ -133,12 +136,10 @@ def _may_link(params: Params, an: Column, ai: Column, bn: Column, bi: Column) ->
     return length & (place >= _needed(params, an, bn))
 
 
-def _suffix_filter(params: Params, pairs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pairs whose shingle counts by hash range leave room for a link."""
-    x = pairs.join(ranges.select(F.col("rep").alias("a"), F.col("n").alias("an"), F.col("ranges").alias("ar")), "a")
-    x = x.join(ranges.select(F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("ranges").alias("br")), "b")
-    room = F.aggregate(F.zip_with("ar", "br", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    return x.where(room >= _needed(params, F.col("an"), F.col("bn"))).select("a", "b")
+def _suffix_filter(params: Params, an: Column, asketch: Column, bn: Column, bsketch: Column) -> Column:
+    """Slots with different parities hold a shingle of one set alone, so too many of them leave no room for a link."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(asketch[k].bitwiseXOR(bsketch[k])) for k in range(SLOTS // 64)])
+    return apart <= an + bn - 2 * _needed(params, an, bn)
 
 
 def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, params: Params) -> DataFrame:
@@ -182,32 +183,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
     keys = full.groupBy("n", "ka", "kb").agg(F.min("doc_id").alias("rep"))
     member = store.table(spark, full.select("doc_id", "n", "ka", "kb").join(keys, ["n", "ka", "kb"]).select("doc_id", "n", "rep"), "members")
     reps = member.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
-    classes = full.dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix", "ranges")
+    classes = full.dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix", "sketch")
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("i", "shingle"))
     lists = postings.groupBy("shingle").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n", "i")).alias("least")).where(F.col("size") > 1)
     live = store.table(spark, postings.join(lists, "shingle").select("shingle", "rep", "n", "i", "least"), "lists")
-    ranges = store.table(spark, classes.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "ranges"), "ranges")
+    sketches = store.table(spark, classes.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch"), "sketches")
 
     star = live.where(F.col("rep") != F.col("least.rep")).where(_may_link(params, F.col("n"), F.col("i"), F.col("least.n"), F.col("least.i")))
-    tried = store.table(spark, _suffix_filter(params, star.select(F.col("rep").alias("a"), F.col("least.rep").alias("b")).distinct(), ranges), "pairs")
+    star = star.select(F.col("rep").alias("a"), F.col("least.rep").alias("b")).distinct()
+    star = star.join(sketches.toDF("a", "an", "ask"), "a").join(sketches.toDF("b", "bn", "bsk"), "b")
+    tried = store.table(spark, star.where(_suffix_filter(params, F.col("an"), F.col("ask"), F.col("bn"), F.col("bsk"))).select("a", "b"), "pairs")
     links = _verify(spark, docs, tried, params)
     found = components(spark, links)
 
     of = live.select("shingle", "rep", "n", "i").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = of.groupBy("shingle", "component").count()
     mixed = sizes.groupBy("shingle").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component")).alias("main")).where(F.col("parts") > 1).select("shingle", F.col("main.component").alias("main"))
-    open_ = store.table(spark, of.join(mixed, "shingle"), "open")
-    left = open_.where(F.col("component") != F.col("main")).select("shingle", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("component").alias("ac"))
-    right = open_.select("shingle", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("component").alias("bc"), "main")
+    open_ = store.table(spark, of.join(mixed, "shingle").join(sketches.select("rep", "sketch"), "rep"), "open")
+    left = open_.where(F.col("component") != F.col("main")).select("shingle", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("component").alias("ac"), F.col("sketch").alias("ask"))
+    right = open_.select("shingle", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("component").alias("bc"), F.col("sketch").alias("bsk"), "main")
     once = (F.col("bc") == F.col("main")) | (F.col("a") > F.col("b"))
-    across = left.join(right, "shingle").where((F.col("ac") != F.col("bc")) & once & _may_link(params, F.col("an"), F.col("ai"), F.col("bn"), F.col("bi")))
+    room = _may_link(params, F.col("an"), F.col("ai"), F.col("bn"), F.col("bi")) & _suffix_filter(params, F.col("an"), F.col("ask"), F.col("bn"), F.col("bsk"))
+    across = left.join(right, "shingle").where((F.col("ac") != F.col("bc")) & once & room)
     pairs = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = store.table(spark, _suffix_filter(params, pairs, ranges), "pairs")
+    rest = store.table(spark, pairs, "pairs")
     if not rest.isEmpty():
         more = _verify(spark, docs, rest, params)
         if not more.isEmpty():
             found = components(spark, found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    store.drop(spark, live, ranges, tried, open_, rest)
+    store.drop(spark, live, sketches, tried, open_, rest)
     merged = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = all_docs.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return merged.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
