@@ -171,6 +171,51 @@ def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, params: Para
     return links
 
 
+def _lists(postings: DataFrame) -> DataFrame:
+    """Postings of the shingles that two sets or more have in their prefix, each with its list's least member (``least``).
+
+    The postings are dealt and sorted by shingle once and stream by, so a list of any length is never held.
+    """
+    schema = "shingle long, rep long, n long, i int, least struct<rep: long, n: long, i: int>"
+    fields = [pa.field("rep", pa.int64()), pa.field("n", pa.int64()), pa.field("i", pa.int32())]
+    names = ("shingle", "rep", "n", "i")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, least, shared = None, None, False  # the last row so far, its list's least member, and whether the list has two rows
+
+        def emit(rows: list[np.ndarray], first: list[np.ndarray]) -> pa.RecordBatch:
+            arrays = [pa.array(x) for x in rows]
+            return pa.RecordBatch.from_arrays([*arrays, pa.StructArray.from_arrays([pa.array(x) for x in first], fields=fields)], names=[*names, "least"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                rows = [np.concatenate([h, x]) for h, x in zip(held, rows, strict=True)]
+            key = rows[0]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            heads = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            size = np.bincount(of)
+            many = size > 1
+            first = [x[heads].copy() for x in rows[1:]]
+            if held is not None:
+                many[0] |= shared
+                for x, v in zip(first, least, strict=True):
+                    x[0] = v
+            out = many[of]
+            out[-1] = False  # the last row waits for the next batch
+            if out.any():
+                yield emit([x[out] for x in rows], [x[of[out]] for x in first])
+            held, least, shared = [x[-1:] for x in rows], [x[-1] for x in first], bool(many[-1])
+        if shared:
+            yield emit(held, [np.array([v], h.dtype) for v, h in zip(least, held[1:], strict=True)])
+
+    return postings.select(*names).repartition("shingle").sortWithinPartitions("shingle", "rep").mapInArrow(run, schema)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document; ``component_id`` is the least doc_id that links lead to.
 
@@ -185,8 +230,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params = Param
     reps = member.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
     classes = full.dropDuplicates(["doc_id"]).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix", "sketch")
     postings = classes.select("rep", "n", F.posexplode("prefix").alias("i", "shingle"))
-    lists = postings.groupBy("shingle").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n", "i")).alias("least")).where(F.col("size") > 1)
-    live = store.table(spark, postings.join(lists, "shingle").select("shingle", "rep", "n", "i", "least"), "lists")
+    live = store.table(spark, _lists(postings), "lists")
     sketches = store.table(spark, classes.join(live.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sketch"), "sketches")
 
     star = live.where(F.col("rep") != F.col("least.rep")).where(_may_link(params, F.col("n"), F.col("i"), F.col("least.n"), F.col("least.i")))
