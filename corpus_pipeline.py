@@ -27,7 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the least doc_id."""
     found = ngramjoin.near_duplicates(spark, docs)
-    return docs.join(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    copies = store.few(spark, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

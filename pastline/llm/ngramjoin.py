@@ -164,6 +164,7 @@ def _verify(spark: SparkSession, docs: DataFrame, pairs: DataFrame, params: Para
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in ("a", "b")], names=["a", "b"])
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = store.few(spark, wanted)  # so the texts of documents in no pair are not dealt out
     sets = store.table(spark, _batches(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(build, schema), "sets")
     x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
     links = store.table(spark, x.mapInArrow(check, "a long, b long"), "links")

@@ -8,9 +8,12 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: a batch of long documents stays small.
 BATCH_ROWS = "1000"
+#: Rows of ids that :func:`few` broadcasts: 16 MB of longs.
+FEW_ROWS = 2_000_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -43,6 +46,15 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(spark: SparkSession, ids: DataFrame) -> DataFrame:
+    """``ids`` (narrow rows, one per document) as a written table, broadcast in joins only if it is counted to have ``FEW_ROWS`` at most.
+
+    Beyond that Spark's shuffled join takes it.
+    """
+    held = table(spark, ids, "ids")
+    return F.broadcast(held) if held.count() <= FEW_ROWS else held
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes the files behind tables of :func:`table` that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
