@@ -87,9 +87,13 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     table = spark.read.schema(BLOCKS).parquet(path)
     # Two levels of running totals: over the parts (as many rows as tasks wrote) and over the blocks of each part.
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    inside = table.select("part", "block", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("block")) - F.col("n_tokens")).alias("block_start"))
-    starts = inside.join(parts, "part").select("part", "block", (F.col("part_start") + F.col("block_start")).alias("start"))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, continues boolean, part long, block long, last boolean, ids binary"
+    order = Window.partitionBy("part").orderBy("block")
+    inside = table.select(
+        "part", "block", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("block_start"),
+        (F.sum("n_texts").over(order) - F.col("n_texts") - F.sum(F.col("continues").cast("long")).over(order)).alias("first_text"),
+    )
+    starts = inside.join(parts, "part").select("part", "block", "first_text", (F.col("part_start") + F.col("block_start")).alias("start"))
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, part long, text_no long, ids binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,22 +112,19 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                 spans = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
                 # A text that may continue in other blocks keeps its ids until its parts are joined.
                 keep = [bytes(s) if with_ids or first[j] or last[j] else None for j, s in enumerate(spans)]
+                numbers = row.column("first_text")[0].as_py() + np.arange(n)
                 yield pa.RecordBatch.from_arrays(
-                    [row.column("doc_ids")[0].values, pa.array(begin + base), pa.array(lengths), pa.array([zlib.crc32(s) for s in spans], pa.int64()), pa.array(first), pa.array(np.full(n, row.column("part")[0].as_py())), pa.array(np.full(n, row.column("block")[0].as_py())), pa.array(last), pa.array(keep, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "continues", "part", "block", "last", "ids"],
+                    [row.column("doc_ids")[0].values, pa.array(begin + base), pa.array(lengths), pa.array([zlib.crc32(s) for s in spans], pa.int64()), pa.array(np.full(n, row.column("part")[0].as_py())), pa.array(numbers), pa.array(keep, pa.binary())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "part", "text_no", "ids"],
                 )
 
-    rows = table.join(starts, ["part", "block"]).select("doc_ids", "continues", "part", "block", "start", "data").mapInArrow(read, schema)
-    # A document's parts: a row that does not continue begins one, and only a block's last and next first rows can be of the same one.
-    edge = rows.where(F.col("continues") | F.col("last"))
-    order = Window.partitionBy("part").orderBy("block", "start")
-    joined = (
-        edge.withColumn("text_no", F.sum(F.when(F.col("continues"), 0).otherwise(1)).over(order))
-        .groupBy("part", "text_no")
-        .agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("parts"))
-        .select("doc_id", "start", "n_tokens", F.expr("aggregate(parts, x'', (a, p) -> concat(a, p.ids))").alias("ids"))
-        .select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "ids")
+    rows = table.join(starts, ["part", "block"]).select("doc_ids", "continues", "part", "first_text", "start", "data").mapInArrow(read, schema)
+    # A text's number within its part tells the rows of a text that spans blocks; each block is decoded once.
+    held = F.when(F.col("ids").isNotNull(), F.struct("start", "ids"))
+    out = (
+        rows.groupBy("part", "text_no")
+        .agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n"), F.min("ids_crc32").alias("crc"), F.array_sort(F.collect_list(held)).alias("parts"))
+        .select("doc_id", "start", "n_tokens", "n", "crc", F.expr("aggregate(parts, x'', (a, p) -> concat(a, p.ids))").alias("ids"))
+        .select("doc_id", "start", "n_tokens", F.when(F.col("n") == 1, F.col("crc")).otherwise(F.crc32("ids")).alias("ids_crc32"), "ids")
     )
-    whole = rows.where(~F.col("continues") & ~F.col("last")).select("doc_id", "start", "n_tokens", "ids_crc32", "ids")
-    out = whole.unionByName(joined)
     return out if with_ids else out.drop("ids")
