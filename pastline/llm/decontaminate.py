@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits, lower-cased in ASCII; shingles are five words (a shorter item is one shingle). Each item has a 128-bit
 SimHash of its weighted shingles. Documents are read once: windows of an item's size that hold at least one of that item's shingles
-(others have similarity 0) get their SimHash from running sums of shingle bits. A multi-index over Hamming blocks returns every item
+(others have similarity 0) get their SimHash from running sums of shingle bits; a document with fewer shingles than the item is one window. A multi-index over Hamming blocks returns every item
 fingerprint within the radius (with one block more than the radius has bits, two fingerprints within it agree on some block), and the exact
 weighted shingle similarity decides: sum of minima over sum of maxima, a shingle weighing the inverse of the items it occurs in.
 """
@@ -156,28 +156,29 @@ def _search(index: Index, hashes: np.ndarray, before: np.ndarray, similarity: fl
             sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(_bits(own) * weights[:, None], axis=0)]) if len(own) <= 1 << 15 else None
             for n in np.unique(lengths):
                 group = groups[int(n)]
+                size = min(int(n), len(own))
                 reach = np.zeros(len(own) + 1, np.int64)
                 p = where[lengths == n]
-                np.add.at(reach, np.maximum(p - n + 1, 0), 1)
+                np.add.at(reach, np.maximum(p - size + 1, 0), 1)
                 np.add.at(reach, p + 1, -1)
                 starts = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
-                starts = starts[starts + n <= len(own)]
+                starts = starts[starts + size <= len(own)]
                 for part in range(0, len(starts), 4096):
                     s = starts[part : part + 4096]
                     if sums is not None:
-                        totals = sums[s + n] - sums[s]
+                        totals = sums[s + size] - sums[s]
                     else:
-                        a, b = int(s[0]), int(s[-1]) + int(n)
+                        a, b = int(s[0]), int(s[-1]) + size
                         near = np.concatenate([np.zeros((1, BITS)), np.cumsum(_bits(own[a:b]) * weights[a:b, None], axis=0)]) if b - a <= 1 << 17 else None
-                        totals = near[s + n - a] - near[s - a] if near is not None else np.stack([(_bits(own[x : x + n]) * weights[x : x + n, None]).sum(0) for x in s])
+                        totals = near[s + size - a] - near[s - a] if near is not None else np.stack([(_bits(own[x : x + size]) * weights[x : x + size, None]).sum(0) for x in s])
                     window, item = group.candidates(_fingerprint(totals))
                     for w, i in zip(s[window].tolist(), (group.items[j] for j in item), strict=True):
-                        value = _similarity(index, Counter(own[w : w + n].tolist()), index.bags[i])
+                        value = _similarity(index, Counter(own[w : w + size].tolist()), index.bags[i])
                         if value >= similarity - 1e-12:
                             entry = best.setdefault((int(row), i), [-1.0, 0, 0, 0])
                             entry[3] += 1
                             if value > entry[0]:
-                                entry[:3] = [value, int(at[lo + w] - before[row]), int(n) + k - 1]
+                                entry[:3] = [value, int(at[lo + w] - before[row]), size + k - 1]
     return [(row, index.names[i], *v) for (row, i), v in best.items()]
 
 
@@ -201,6 +202,8 @@ def _rows(index: Index, text: pa.Array, similarity: float) -> Iterator[tuple]:
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and benchmark item with a window of the item's size whose similarity is ``similarity`` or more.
 
+    A document with fewer shingles than the item is judged whole.
+
     ``word_start`` and ``n_words`` tell the best window, ``n_windows`` how many reach the bound. Null texts match nothing; clean
     documents have no row; an empty benchmark gives an empty result.
     """
