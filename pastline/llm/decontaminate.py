@@ -3,8 +3,11 @@
 Words are runs of letters and digits, lower-cased in ASCII; shingles are five words (a shorter item is one shingle). Each item has a 128-bit
 SimHash of its weighted shingles. Documents are read once: windows of an item's size that hold at least one of that item's shingles
 (others have similarity 0) get their SimHash from running sums of shingle bits; a document with fewer shingles than the item is one window. A multi-index over Hamming blocks returns every item
-fingerprint within the radius (with one block more than the radius has bits, two fingerprints within it agree on some block), and the exact
-weighted shingle similarity decides: sum of minima over sum of maxima, a shingle weighing the inverse of the items it occurs in.
+fingerprint within the radius (with one block more than the radius has bits, two fingerprints within it agree on some block). No radius
+guarantees a similarity, so windows whose shingles in common with the item, counted or weighed, can reach the bound are candidates too, and
+nothing is lost. The exact shingle similarity decides: sum of minima over sum of maxima, the greater of the plain and the weighted one. A
+shingle weighs the inverse of the items of the whole benchmark that it occurs in; one that the item lacks never weighs more than the item's
+own on average.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pastline.llm import textkernel as K
 SHINGLE = 5
 SIMILARITY = 0.8
 BITS, BLOCK = 128, 4
-#: 32 blocks of 4 bits: every fingerprint within 31 bits shares a block. Similarity 0.8 means about 19 bits with a deviation of 4.
+#: 32 blocks of 4 bits: every fingerprint within 31 bits shares a block. Plain similarity 0.8 means about 19 bits with a deviation of 4; for
+#: uneven weights, and for the rest of the deviation, :func:`_by_hits` has the windows that the radius leaves out.
 RADIUS = BITS // BLOCK - 1
 #: Items of one broadcast; a larger benchmark is searched in parts of about this many.
 ITEMS_AT_ONCE = 20_000
@@ -77,26 +81,37 @@ class Index:
     names: list[int]
     bags: list[dict[int, int]]
     weight: dict[int, float]
+    #: Per item, its number of shingles and their weight.
+    counts: np.ndarray
+    mass: np.ndarray
     #: By shingle size: sorted shingles, the bitmap before them, the items of each shingle (runs), and groups by number of shingles.
     sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, _Group]]]
 
 
-def build_index(items: list[tuple[int, str | None]]) -> Index:
-    """The index of benchmark items (``item_id, text``). Items without words, or without a text, match nothing."""
+def _item_shingles(text: str | None) -> tuple[int, np.ndarray]:
+    """An item's shingle size (0 without words) and its shingles."""
+    hashes, _ = _words(*K.utf8(pa.array([text], pa.string())))
+    k = min(SHINGLE, len(hashes))
+    return k, K.window_hash(hashes, np.array([0, len(hashes)]), k)[0] if k else np.zeros(0, np.uint64)
+
+
+def build_index(items: list[tuple[int, str | None]], shared: dict[int, int] | None = None) -> Index:
+    """The index of benchmark items (``item_id, text``). Items without words, or without a text, match nothing.
+
+    ``shared`` has the shingles that are in two or more items of the whole benchmark, with that number, where ``items`` are a part of it.
+    """
     names, bags, of_size = [], [], {}
     df: Counter = Counter()
     for name, text in items:
-        hashes, _ = _words(*K.utf8(pa.array([text], pa.string())))
-        k = min(SHINGLE, len(hashes))
+        k, shingles = _item_shingles(text)
         if not k:
             continue
-        shingles, _ = K.window_hash(hashes, np.array([0, len(hashes)]), k)
         bag = Counter(shingles.tolist())
         of_size.setdefault(k, []).append((len(names), len(shingles)))
         names.append(name)
         bags.append(dict(bag))
         df.update(bag.keys())
-    weight = {s: 1.0 / n for s, n in df.items()}
+    weight = {s: 1.0 / (n if shared is None else shared.get(s, 1)) for s, n in df.items()}
     sizes = {}
     for k, members in of_size.items():
         flat = [(s, i) for i, _ in members for s in bags[i]]
@@ -116,17 +131,49 @@ def build_index(items: list[tuple[int, str | None]]) -> Index:
             bounds = [np.searchsorted(v[o], np.arange(17)) for v, o in zip(values, order, strict=True)]
             groups[n] = _Group(chosen, n, prints, order, bounds)
         sizes[k] = (unique, seen, np.append(first, len(shingles)), owners, groups)
-    return Index(names, bags, weight, sizes)
+    counts = np.array([sum(bag.values()) for bag in bags], np.int64)
+    mass = np.array([sum(weight[s] * c for s, c in bag.items()) for bag in bags], np.float64)
+    return Index(names, bags, weight, counts, mass, sizes)
 
 
-def _similarity(index: Index, window: dict[int, int], item: dict[int, int]) -> float:
+def _similarity(index: Index, window: dict[int, int], i: int) -> float:
+    """The greater of the plain and the weighted similarity of a window and item ``i``."""
+    item, foreign = index.bags[i], index.mass[i] / index.counts[i]
     low = high = 0.0
+    both = either = 0
     for s in window.keys() | item.keys():
         a, b = window.get(s, 0), item.get(s, 0)
-        w = index.weight.get(s, 1.0)
+        w = index.weight[s] if b else min(index.weight.get(s, 1.0), foreign)
         low += w * min(a, b)
         high += w * max(a, b)
-    return low / high if high else 0.0
+        both += min(a, b)
+        either += max(a, b)
+    return max(both / either, low / high)
+
+
+def _by_hits(index: Index, own: np.ndarray, where: np.ndarray, items: np.ndarray, similarity: float) -> dict[int, list[tuple[int, int]]]:
+    """Windows (start, item), by the item's number of shingles, that have enough of the item's shingles to reach the similarity.
+
+    ``where`` and ``items`` are the positions in ``own`` of shingles of each item. Plain similarity takes a share of
+    ``similarity / (1 + similarity)`` of both numbers of shingles, weighted similarity a share of ``similarity`` of the item's weight.
+    """
+    weights = np.array([index.weight[s] for s in own[where].tolist()])
+    _, inverse = np.unique(items, return_inverse=True)
+    size = np.minimum(index.counts[items], len(own))
+    least, heavy = similarity / (1 + similarity) * (index.counts[items] + size) - 1e-9, similarity * index.mass[items] - 1e-9
+    # Most items share too little with the whole document.
+    able = (np.bincount(inverse)[inverse] >= least) | (np.bincount(inverse, weights)[inverse] >= heavy)
+    where, items, weights, size, least, heavy = (x[able] for x in (where, items, weights, size, least, heavy))
+    order = np.lexsort((where, items))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for mine in np.split(order, np.flatnonzero(np.diff(items[order])) + 1) if len(order) else ():
+        i, m, p = int(items[mine[0]]), int(size[mine[0]]), where[mine]
+        number, weight = np.zeros(len(own) + 1, np.int64), np.zeros(len(own) + 1)
+        number[p + 1], weight[p + 1] = 1, weights[mine]
+        number, weight = np.cumsum(number), np.cumsum(weight)
+        fits = (number[m:] - number[:-m] >= least[mine[0]]) | (weight[m:] - weight[:-m] >= heavy[mine[0]])
+        out.setdefault(int(index.counts[i]), []).extend((s, i) for s in np.flatnonzero(fits).tolist())
+    return out
 
 
 def _search(index: Index, hashes: np.ndarray, before: np.ndarray, similarity: float) -> list[tuple]:
@@ -150,7 +197,8 @@ def _search(index: Index, hashes: np.ndarray, before: np.ndarray, similarity: fl
             counts = first[kind + 1] - first[kind]
             items = owners[K.ragged(first[kind], counts)]
             where = np.repeat(pos, counts)
-            lengths = np.array([sum(index.bags[i].values()) for i in items])
+            lengths = index.counts[items]
+            by_hits = _by_hits(index, own, where, items, similarity)
             # Only the neighbourhood of hits is ever summed.
             weights = np.array([index.weight.get(s, 1.0) for s in own.tolist()])
             sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(_bits(own) * weights[:, None], axis=0)]) if len(own) <= 1 << 15 else None
@@ -163,6 +211,7 @@ def _search(index: Index, hashes: np.ndarray, before: np.ndarray, similarity: fl
                 np.add.at(reach, p + 1, -1)
                 starts = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
                 starts = starts[starts + size <= len(own)]
+                judged = set(by_hits.get(int(n), ()))
                 for part in range(0, len(starts), 4096):
                     s = starts[part : part + 4096]
                     if sums is not None:
@@ -172,23 +221,41 @@ def _search(index: Index, hashes: np.ndarray, before: np.ndarray, similarity: fl
                         near = np.concatenate([np.zeros((1, BITS)), np.cumsum(_bits(own[a:b]) * weights[a:b, None], axis=0)]) if b - a <= 1 << 17 else None
                         totals = near[s + size - a] - near[s - a] if near is not None else np.stack([(_bits(own[x : x + size]) * weights[x : x + size, None]).sum(0) for x in s])
                     window, item = group.candidates(_fingerprint(totals))
-                    for w, i in zip(s[window].tolist(), (group.items[j] for j in item), strict=True):
-                        value = _similarity(index, Counter(own[w : w + size].tolist()), index.bags[i])
-                        if value >= similarity - 1e-12:
-                            entry = best.setdefault((int(row), i), [-1.0, 0, 0, 0])
-                            entry[3] += 1
-                            if value > entry[0]:
-                                entry[:3] = [value, int(at[lo + w] - before[row]), size + k - 1]
+                    judged.update(zip(s[window].tolist(), (group.items[j] for j in item), strict=True))
+                for w, i in sorted(judged):
+                    value = _similarity(index, Counter(own[w : w + size].tolist()), i)
+                    if value >= similarity - 1e-12:
+                        entry = best.setdefault((int(row), i), [-1.0, 0, 0, 0])
+                        entry[3] += 1
+                        if value > entry[0]:
+                            entry[:3] = [value, int(at[lo + w] - before[row]), size + k - 1]
     return [(row, index.names[i], *v) for (row, i), v in best.items()]
 
 
-def _parts(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark's items in parts of bounded size: a stated query set, each part of which is held against all documents."""
+def _parts(spark: SparkSession, benchmark: DataFrame) -> Iterator[Index]:
+    """Indexes of the benchmark's items in parts of bounded size: a stated query set, each part of which is held against all documents.
+
+    How many items a shingle is in is counted over the whole benchmark, whatever the parts.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    if parts == 1:
+        yield build_index([(r["item_id"], r["text"]) for r in items.collect()])
+        return
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.unique(_item_shingles(text)[1]) for text in batch.column("text").to_pylist()]
+            part = np.repeat(batch.column("part").to_numpy(), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64))], names=["part", "shingle"])
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("long"))
+    spread = dealt.select("part", "text").mapInArrow(shingles, "part long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts"))
+    shared = store.table(spark, spread.where("n > 1"), "shared-shingles")
     for part in range(parts):
-        chosen = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        yield [(r["item_id"], r["text"]) for r in chosen.collect()]
+        counted = shared.where(F.array_contains("parts", F.lit(part).cast("long"))).select("shingle", "n").collect()  # shingles of the part's own items
+        yield build_index([(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == part).collect()], {r["shingle"] % (1 << 64): r["n"] for r in counted})
+    store.drop(spark, shared)
 
 
 def _rows(index: Index, text: pa.Array, similarity: float) -> Iterator[tuple]:
@@ -209,8 +276,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sim
     """
     store.small_batches(spark)
 
-    def find(items: list[tuple[int, str | None]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(items))  # at most about ITEMS_AT_ONCE items
+    def find(index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)  # at most about ITEMS_AT_ONCE items
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             types = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
@@ -221,14 +288,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sim
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
-    return reduce(DataFrame.unionByName, map(find, _parts(benchmark)))
+    return reduce(DataFrame.unionByName, map(find, _parts(spark, benchmark)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that :func:`contaminated` would name. One pass over the texts; nothing is shuffled."""
     store.small_batches(spark)
-    for items in _parts(benchmark):
-        shared = spark.sparkContext.broadcast(build_index(items))
+    for index in _parts(spark, benchmark):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -1,5 +1,8 @@
 """Cases of the reviewer's findings of round 1."""
 
+import random
+from collections import Counter
+
 from pastline.llm import decontaminate
 
 
@@ -24,3 +27,46 @@ def test_contamination_of_documents_shorter_than_the_item(spark):
     # Exact similarities: 33/36, 33/36, 33 of 35 and 36 shingles (three go, two come), 26/36, none, few.
     assert {d: round(r["similarity"], 9) for (d, _), r in found.items()} == {0: round(33 / 36, 9), 1: round(33 / 36, 9), 2: round(33 / 38, 9)}
     assert (found[0, 0]["word_start"], found[0, 0]["n_words"], found[0, 0]["n_windows"]) == (0, 37, 1)
+
+
+def _brute(docs, items, bound=0.8):
+    """Plain and weighted similarity, the greater of which decides, of every window or shorter document."""
+    grams = lambda w, k: [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+    bags = [Counter(grams(w, min(5, len(w)))) for w in items]
+    df = Counter(g for bag in bags for g in bag)
+    found = {}
+    for d, words in enumerate(docs):
+        for i, bag in enumerate(bags):
+            own, n = grams(words, min(5, len(items[i]))), bag.total()
+            mean = sum(c / df[g] for g, c in bag.items()) / n
+            for s in range(max(1, len(own) - n + 1) if own else 0):
+                window = Counter(own[s : s + n])
+                weight = {g: 1 / df[g] if g in bag else min(1 / max(1, df[g]), mean) for g in window | bag}
+                plain = (window & bag).total() / (window | bag).total()
+                value = max(plain, sum(c * weight[g] for g, c in (window & bag).items()) / sum(c * weight[g] for g, c in (window | bag).items()))
+                if value >= bound - 1e-12:
+                    found[d, i] = max(found.get((d, i), 0), value)
+    return found
+
+
+def _same(got, want):
+    assert got.keys() == want.keys() and all(abs(got[k]["similarity"] - want[k]) < 1e-9 for k in got)
+
+
+def test_contamination_of_items_that_share_text(spark, monkeypatch):
+    rng = random.Random(7)
+    item, lead, last = _text("a", 50), _text("p", 40), _text("z", 54)
+    middle = [*item[:25], "changed", *item[26:]]
+    items = [item, item, *([last] * 10), *(lead + _text(f"q{k}x", 20) for k in range(8))]
+    docs = [middle, _text("f", 30) + middle + _text("g", 30), [*last[:-1], "changed"], lead + _text("q3x", 20)[:-1], lead + _text("new", 20), lead[:-5] + _text("q5x", 20)]
+    for _ in range(40):  # items with up to four words changed, cut or added
+        w = list(rng.choice(items))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = ["odd"] * rng.randrange(2)
+        docs.append(_text("f", rng.randrange(9)) + w + _text("g", rng.randrange(9)))
+    want = _brute(docs, items)
+    assert {(0, 0), (0, 1), (1, 0), (2, 2)} <= want.keys() and not any(d == 4 for d, _ in want)
+    _same(_found(spark, docs, items), want)
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 5)  # parts count what is shared over the whole benchmark
+    _same(_found(spark, docs, items), want)
