@@ -14,7 +14,7 @@ from pastline.llm.tokenize import default_vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no letters, or a score below ``langid.REJECT_BELOW``."""
+    """Drops documents whose language can't be told: no letters, or no more n-grams of any language than by chance."""
     return langid.keep_identified(spark, docs)
 
 

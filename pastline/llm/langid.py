@@ -1,8 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
 Each language's frequent n-grams (five bytes of lower-cased letters and single spaces) go into a Bloom filter. The filters are bit-sliced:
-one array position holds a bit per language, so ANDing an n-gram's few positions gives, in one look-up, every language that may
-contain it. A text's hits per language are corrected for that language's false-positive rate and the highest rate decides.
+one array position holds a bit per language (in slices of 64), so ANDing an n-gram's few positions gives, in one look-up, every language
+that may contain it. A text's hits per language are corrected for that language's false-positive rate and the highest rate decides.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ SLOT_BITS = 20
 MIN_SHARE = 2e-5
 #: Documents that the model is fitted on, chosen by hash: about this many of each language (a documented bound of the fit).
 FIT_DOCS = 3000
-#: Least score of a document that the pipeline keeps.
-REJECT_BELOW = 0.4
+#: The pipeline keeps a document whose hits in its best language exceed those of chance by so many of chance's standard deviations.
+CHANCE_SD = 3.0
+#: Languages of one slice of the filters.
+SLICE = 64
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -41,6 +43,7 @@ SCHEMA = "doc_id long, lang_pred string, score double"
 @dataclass
 class Model:
     langs: list[str]
+    #: A row per slice of languages.
     slots: np.ndarray
     false_rate: np.ndarray
 
@@ -73,15 +76,12 @@ def _positions(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """Learns from ``text`` and ``lang`` (null languages are left out). Up to 64 languages."""
+    """Learns from ``text`` and ``lang`` (null languages are left out)."""
     known = docs.where(F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
-    if len(langs) > 64:
-        raise ValueError("a position's mask holds 64 languages at most")
-    share = F.lit(0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1_000_000, max(1, int(1_000_000 * fit_docs / sizes[lang])))).otherwise(share)
+    shares = [F.lit(x) for lang in langs for x in (lang, min(1_000_000, max(1, int(1_000_000 * fit_docs / sizes[lang]))))]
+    share = F.element_at(F.create_map(*shares), F.col("lang")) if langs else F.lit(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,33 +94,43 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     often = counted.withColumn("total", F.sum("n").over(Window.partitionBy("lang"))).where(F.col("n") >= F.col("total") * MIN_SHARE)
     found = often.select("lang", "gram").toPandas()  # at most 1 / MIN_SHARE rows per language
-    slots = np.zeros(1 << SLOT_BITS, np.uint64)
-    for k, lang in enumerate(langs):
-        for at in _positions(found.loc[found["lang"] == lang, "gram"].to_numpy(np.int64).view(np.uint64)):
-            slots[at] |= np.uint64(1 << k)
-    full = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(langs))])
+    slots = np.zeros((-(-len(langs) // SLICE), 1 << SLOT_BITS), np.uint64)
+    number = {lang: k for k, lang in enumerate(langs)}
+    for lang, grams in found.groupby("lang")["gram"]:
+        for at in _positions(grams.to_numpy(np.int64).view(np.uint64)):
+            slots[number[lang] // SLICE, at] |= np.uint64(1 << number[lang] % SLICE)
+    full = np.array([((slots[k // SLICE] >> np.uint64(k % SLICE)) & np.uint64(1)).mean() for k in range(len(langs))])
     return Model(langs, slots, full**HASHES)
 
 
-def _judge(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
+def _judge(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and score of each text, and whether the language can be told."""
     n, many = len(column), len(model.langs)
     codes, before = _grams(column)
     total = np.diff(before)
-    masks = np.full(len(codes), np.uint64((1 << 64) - 1))
-    for at in _positions(codes):
-        masks &= model.slots[at]
+    positions = _positions(codes)
     hits = np.zeros((n, many))
-    for k in range(many):
-        hits[:, k] = K.per_row((masks >> np.uint64(k)) & np.uint64(1), before)
+    for part, slots in enumerate(model.slots):
+        masks = np.full(len(codes), np.uint64((1 << 64) - 1))
+        for at in positions:
+            masks &= slots[at]
+        for k in range(part * SLICE, min(many, (part + 1) * SLICE)):
+            hits[:, k] = K.per_row((masks >> np.uint64(k % SLICE)) & np.uint64(1), before)
     rate = hits / np.maximum(total, 1)[:, None]
     true = np.clip((rate - model.false_rate) / (1 - model.false_rate), 0, 1)
     best = true.argmax(1) if many else np.zeros(n, int)
-    # The decision's weight: the best language's rate against the sum of all, each squared.
+    # The decision's weight: the best language's rate against the sum of all, each squared. It shrinks with the number of near languages.
     weight = true**2
     score = np.where(weight.sum(1) > 0, weight.max(1) / np.maximum(weight.sum(1), 1e-300), 1.0 / max(1, many)) if many else np.zeros(n)
     letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     names = [model.langs[b] if ok and many else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
-    return names, np.where(letters, score, 0.0)
+    if model.slots.any():
+        mine = hits[np.arange(n), best]
+        chance = total * model.false_rate[best]
+        told = letters & (mine > 0) & (mine - chance >= CHANCE_SD * np.sqrt(chance))
+    else:  # nothing was learnt, so nothing speaks against a text
+        told = letters
+    return names, np.where(letters, score, 0.0), told
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
@@ -129,14 +139,14 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     A text shorter than an n-gram gets the first language with the score of a guess.
     """
     store.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # fixed size: 2 ** SLOT_BITS positions
+    shared = spark.sparkContext.broadcast(model)  # 2 ** SLOT_BITS positions for each SLICE languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             _, offsets = K.utf8(text)
             for at, to in K.slices(offsets):
-                names, score = _judge(shared.value, text.slice(at, to - at))
+                names, score, _ = _judge(shared.value, text.slice(at, to - at))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
@@ -153,8 +163,12 @@ def with_language(spark: SparkSession, docs: DataFrame, fit_docs: int = FIT_DOCS
     return identify(spark, docs, model)
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """``docs`` without the rows whose language can't be told; fitted on their own ``lang`` labels as in :func:`with_language`."""
+def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose language can't be told; fitted on their own ``lang`` labels as in :func:`with_language`.
+
+    Those are texts without a letter, without an n-gram, or with no more hits in their best language than chance gives. Other languages
+    that are as near play no part. Without anything to learn from, all texts with a letter stay.
+    """
     store.small_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs.where(F.coalesce(remainder(), F.lit(0)) != 2)))
 
@@ -163,8 +177,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, reject_below: float =
             text = batch.column("text").cast(pa.large_string())
             _, offsets = K.utf8(text)
             for at, to in K.slices(offsets):
-                names, score = _judge(shared.value, text.slice(at, to - at))
-                keep = (np.array(names) != UNDETERMINED) & (score >= reject_below)
-                yield batch.slice(at, to - at).filter(pa.array(keep))
+                _, _, told = _judge(shared.value, text.slice(at, to - at))
+                yield batch.slice(at, to - at).filter(pa.array(told))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from pastline.llm import decontaminate
+from pyspark.sql import functions as F
+
+from pastline.llm import decontaminate, langid
 
 
 def _text(name, n):
@@ -70,3 +72,24 @@ def test_contamination_of_items_that_share_text(spark, monkeypatch):
     _same(_found(spark, docs, items), want)
     monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 5)  # parts count what is shared over the whole benchmark
     _same(_found(spark, docs, items), want)
+
+
+def test_language_with_near_languages_and_without_labels(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=40)), f"en-{i % 3}") for i in range(300)]
+    rows += [(1000 + i, "".join(chr(0x3041 + rng.randrange(80)) for _ in range(60)), None) for i in range(5)] + [(2000, "12 34", None), (2001, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_identified(spark, docs).collect()}
+    assert kept == set(range(300))  # three near languages; five texts of a script that no label has
+    kept = {r["doc_id"] for r in langid.keep_identified(spark, docs.withColumn("lang", F.lit(None).cast("string"))).collect()}
+    assert kept == {r[0] for r in rows} - {2000, 2001}
+
+
+def test_language_of_more_than_one_slice(spark):
+    rng = random.Random(4)
+    own = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(20)] for k in range(150)}
+    rows = [(i, " ".join(rng.choices(own[f"l{i % 150:03}"], k=30)), f"l{i % 150:03}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.with_language(spark, docs).collect()} == {d: x for d, _, x in rows}
+    assert langid.keep_identified(spark, docs).count() == len(rows)
