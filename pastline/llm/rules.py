@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pastline.llm import store
 from pastline.llm import textkernel as K
@@ -32,9 +31,6 @@ _CONTINUES[128:192] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
-#: A word of at least this share of a batch's words of its language is counted; so a word's total falls short of the truth by less than it.
-COUNT_SHARE = 1e-4
-
 
 @dataclass(frozen=True)
 class Rules:
@@ -96,15 +92,15 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per language (null: ``""``): class shares, hashes of the common words (sorted) and their shares, with one more for all others.
 
-    Counts cover every document. A batch names only words that make up ``COUNT_SHARE`` of its words in a language, so what reaches the
-    driver is bounded by languages, not by vocabulary.
+    Counts cover every word of every document, whatever the layout. What reaches the driver is bounded by languages, not by vocabulary.
     """
+    spark = docs.sparkSession
+    names = ["lang", "kind", "key", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
             data, offsets = K.utf8(batch.column("text"))
-            out: list[tuple[str, int, int, int]] = []
             for at, to in K.slices(offsets):
                 part = offsets[at : to + 1] - offsets[at]
                 piece = data[offsets[at] : offsets[to]]
@@ -114,18 +110,22 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.nd
                 for lang in set(langs[at:to]):
                     mine = langs[at:to] == lang
                     chosen = mine[byte_row] & ~_CONTINUES[piece]
-                    out += [(lang, 0, c, int(n)) for c, n in enumerate(np.bincount(_CLASS[piece][chosen], minlength=len(CLASSES))) if n]
+                    classes = np.bincount(_CLASS[piece][chosen], minlength=len(CLASSES))
                     words, n = np.unique(hashes[mine[row]], return_counts=True)
-                    total = int(n.sum())
-                    often = n >= max(1, COUNT_SHARE * total)
-                    out.append((lang, 1, 0, total))
-                    out += [(lang, 2, int(w), int(k)) for w, k in zip(words[often].view(np.int64), n[often], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["lang", "kind", "key", "n"])
+                    kind = np.repeat([0, 1, 2], [len(CLASSES), 1, len(words)])
+                    key = np.concatenate([np.arange(len(CLASSES)), [0], words.view(np.int64)])
+                    number = np.concatenate([classes, [n.sum()], n]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(number)], names=names)
 
     counted = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("kind") == 1, F.col("n"))).over(Window.partitionBy("lang"))
-    # A common word has a thousandth of the words at least: at most a thousand of a language reach the driver.
-    kept = counted.withColumn("total", total).where((F.col("kind") < 2) | (F.col("n") * 1000 >= F.col("total"))).collect()
+    counted = store.table(spark, counted, "word-counts")
+    kept = counted.where("kind < 2").collect()  # classes and the number of words per language
+    totals = {r["lang"]: r["n"] for r in kept if r["kind"] == 1}
+    if totals:
+        # A common word has a thousandth of the words at least: at most a thousand of a language reach the driver.
+        total = F.element_at(F.create_map(*(F.lit(x) for pair in totals.items() for x in pair)), F.col("lang"))
+        kept += counted.where((F.col("kind") == 2) & (F.col("n") * 1000 >= total)).collect()
+    store.drop(spark, counted)
     out = {}
     for lang in {r["lang"] for r in kept}:
         rows = [r for r in kept if r["lang"] == lang]

@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from pastline.llm import decontaminate, langid
+from pastline.llm import decontaminate, langid, rules
 
 
 def _text(name, n):
@@ -93,3 +93,14 @@ def test_language_of_more_than_one_slice(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"]: r["lang_pred"] for r in langid.with_language(spark, docs).collect()} == {d: x for d, _, x in rows}
     assert langid.keep_identified(spark, docs).count() == len(rows)
+
+
+def test_language_references_count_every_word_in_any_layout(spark):
+    fill = _text("w", 20)
+    long, short = ["rare"] + fill * 1000 + fill[:-1], ["rare"] * 20 + fill * 48  # 21 of 21,000 words: just a thousandth
+    rows = [(1, " ".join(long), "en"), (2, " ".join(short), "en")]
+    words = Counter(long + short)
+    for parts in (1, 2):  # both texts in one batch, or one each
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string, lang string")
+        _, keys, shares = rules.references(frame)["en"]
+        assert len(keys) == 21 and sorted(round(x * words.total()) for x in shares) == sorted([*words.values(), 0])
