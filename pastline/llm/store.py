@@ -1,37 +1,60 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Intermediate tables in the folder that the whole cluster shares, and what the operators' Arrow stages need of a session."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: a batch of long documents stays small.
-BATCH_ROWS = "1000"
+#: Rows and bytes of an Arrow batch: many short texts and a few long ones both stay small.
+BATCH_ROWS, BATCH_BYTES = "1000", "4m"
+#: Bytes of a row group of a stored table: what a writing task holds.
+ROW_GROUP = 16 << 20
 #: Rows of ids that :func:`few` broadcasts: 16 MB of longs.
 FEW_ROWS = 2_000_000
+#: Keys that :func:`spread_join` broadcasts, at most.
+HEAVY_KEYS = 5_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only where it is unset (one machine, tests) a folder is made for it."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, one machine (``local``) gets a folder made; a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pastline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def _ship(context: SparkContext) -> None:
+    """Gives the workers this package, through Spark's own file server."""
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="pastline-zip-"), "pastline_workers.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: str = BATCH_ROWS) -> None:
-    """Sets the Arrow batch size, and lets Python workers on this machine import the package from where the driver did."""
+    """Bounds the Arrow batches of this session in rows and bytes, and ships the package to its workers.
+
+    The plan reads these settings when it runs, after the operator has returned; they stay set.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    _ship(spark.sparkContext)
 
 
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -40,10 +63,12 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._stored_at = path
+    return held
 
 
 def few(spark: SparkSession, ids: DataFrame) -> DataFrame:
@@ -55,10 +80,21 @@ def few(spark: SparkSession, ids: DataFrame) -> DataFrame:
     return F.broadcast(held) if held.count() <= FEW_ROWS else held
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row per key; ``size``: about how many of ``rows`` have it; read twice, so store it).
+
+    Keys with more than ``total / HEAVY_KEYS`` rows are broadcast: there can be ``HEAVY_KEYS`` of them at most, and their rows stay where
+    they are. Only the others are dealt out by key, so no task gets a hot one.
+    """
+    most = max(1000, total // HEAVY_KEYS)
+    heavy = F.broadcast(groups.where(F.col(size) > most))
+    light = groups.where(F.col(size) <= most)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes the files behind tables of :func:`table` that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for df in tables:
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(conf).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(conf).delete(path, True)
