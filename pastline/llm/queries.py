@@ -70,10 +70,9 @@ _LINES = r"""
 WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
 b AS (SELECT line FROM l WHERE trim(line, ' ') <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 8),
 bad AS (SELECT coalesce(list(line), []) AS bad FROM b),
-d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, x)) AS kept FROM documents, bad),
-m AS (SELECT doc_id, text, lines, kept, len(kept) < len(lines) AND 100 * (length(text) - length(array_to_string(kept, chr(10))) - (len(lines) - greatest(len(kept), 1))) <= 50 * length(text) AS act FROM d)
-SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, CASE WHEN act THEN len(lines) - len(kept) ELSE 0 END::BIGINT AS n_removed,
-       sha256(CASE WHEN act THEN array_to_string(kept, chr(10)) ELSE text END) AS kept_sha256 FROM m
+d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, x)) AS kept FROM documents, bad)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(kept, chr(10)), '') END) AS kept_sha256 FROM d
 """
 
 ORACLES = {"op7_line_dedup": _LINES}

@@ -70,9 +70,13 @@ def linked(docs, k, percent):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-def boilerplate_free(docs, min_sites=8, percent=50):
-    sites = defaultdict(set)
+def boilerplate_free(docs, min_sites=8, distinct_texts=False):
+    sites, least = defaultdict(set), {}
     for _, text, source in docs:
+        if source is not None:
+            least[text] = min(source, least.get(text, source))
+    for _, text, source in docs:
+        source = least[text] if distinct_texts and source is not None else source
         for line in (text or "").split("\n"):
             if line.strip(" ") and source is not None:
                 sites[line].add(source)
@@ -83,9 +87,7 @@ def boilerplate_free(docs, min_sites=8, percent=50):
             continue
         lines = text.split("\n")
         kept = [x for x in lines if len(sites.get(x, ())) < min_sites]
-        lost = sum(map(len, lines)) - sum(map(len, kept))
-        act = len(kept) < len(lines) and 100 * lost <= percent * len(text)
-        out.append((d, "\n".join(kept) if act else text, len(lines), len(lines) - len(kept) if act else 0))
+        out.append((d, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 
 

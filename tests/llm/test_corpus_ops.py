@@ -232,9 +232,9 @@ def test_components(spark):
 
 def test_line_dedup(spark, docs):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for frame, sites in ((docs, 8), (docs, 2), (docs, 1), (big, 8), (big, 3)):
-        got = linededup.remove_boilerplate(frame, sites).select("doc_id", "text", "n_lines", "n_removed").collect()
-        want = brute.boilerplate_free([(r["doc_id"], r["text"], r["source"]) for r in frame.collect()], sites)
+    for frame, sites, once in ((docs, 8, False), (docs, 2, True), (docs, 1, False), (big, 8, True), (big, 3, False)):
+        got = linededup.remove_boilerplate(frame, sites, once).select("doc_id", "text", "n_lines", "n_removed").collect()
+        want = brute.boilerplate_free([(r["doc_id"], r["text"], r["source"]) for r in frame.collect()], sites, once)
         assert sorted(map(tuple, got)) == sorted(want)
     assert linededup.remove_boilerplate(docs.where("false")).count() == 0
     assert set(docs.columns) <= set(linededup.remove_boilerplate(docs).columns)
@@ -320,7 +320,7 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = {r["doc_id"]: r for r in langid.keep_identified(spark, docs).collect()}
-    for d, text, _, _ in brute.boilerplate_free([(r["doc_id"], r["text"], r["source"]) for r in rows.values()]):
+    for d, text, _, _ in brute.boilerplate_free([(r["doc_id"], r["text"], r["source"]) for r in rows.values()], distinct_texts=True):
         rows[d] = text
     roots = brute.linked(list(rows.items()), 5, 80)
     rows = {d: t for d, t in rows.items() if roots[d][1] == d}
