@@ -145,7 +145,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             _, offsets = K.utf8(text)
-            for at, to in K.slices(offsets):
+            for at, to in K.slices(offsets, 1 << 20):
                 names, score, _ = _judge(shared.value, text.slice(at, to - at))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -176,7 +176,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             _, offsets = K.utf8(text)
-            for at, to in K.slices(offsets):
+            for at, to in K.slices(offsets, 1 << 20):
                 _, _, told = _judge(shared.value, text.slice(at, to - at))
                 yield batch.slice(at, to - at).filter(pa.array(told))
 
