@@ -19,9 +19,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines out of the texts; every document stays, with ``n_chars`` counted again."""
-    cleaned = linededup.remove_boilerplate(docs)
-    return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Takes boilerplate lines out of the texts; every document stays, with ``n_chars`` counted again.
+
+    Equal texts count as one page, or no copy of a document that is on many sites would keep its text; the next stage judges copies.
+    """
+    cleaned = linededup.remove_boilerplate(docs, distinct_texts=True)
+    return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
