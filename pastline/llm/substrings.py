@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pastline.llm import store
 from pastline.llm import textkernel as K
@@ -32,13 +33,25 @@ PREFIXES = (3, 6)
 GROUP_SUFFIXES = 200_000
 SPLIT_LISTS = 10_000
 
-NAMES = "doc_id long, names array<long>"
-SUFFIXES = "doc_id long, at int, p3 long, p6 long, fa long, fb long"
+#: ``at`` holds a text's number among the texts of its doc_id (mostly 0) above ``PART`` bits, and the word position below.
+PART = 40
+NAMES = "doc_id long, part long, names array<long>"
+SUFFIXES = "doc_id long, at long, p3 long, p6 long, fa long, fb long"
 CLEANED = "doc_id long, text string, n_words long, n_removed long"
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """``doc_id, part, text``; ``part`` numbers the different texts of one doc_id, in the order of their hashes."""
+    spark = docs.sparkSession
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = plain.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("t"))
+    several = hashed.groupBy("doc_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where(F.col("lo") != F.col("hi")).select("doc_id")
+    several = store.table(spark, hashed.join(several, "doc_id").distinct(), "several")
+    if several.isEmpty():
+        return plain.select("doc_id", F.lit(0).cast("long").alias("part"), "text")
+    parts = several.withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("t")).cast("long") - 1)
+    joined = plain.withColumn("t", F.xxhash64("text")).join(store.few(spark, parts), ["doc_id", "t"], "left")
+    return joined.select("doc_id", F.coalesce("part", F.lit(0).cast("long")).alias("part"), "text")
 
 
 def _window_names(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,13 +71,13 @@ def _window_names(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np
     return least[at], at
 
 
-def _names(docs: DataFrame) -> DataFrame:
-    """The distinct window names of each document."""
+def _names(plain: DataFrame) -> DataFrame:
+    """The distinct window names of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
-            for at, to in K.slices(offsets):
+            for at, to in K.slices(offsets, 1 << 20):
                 piece, part = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
                 starts, ends, before = K.word_spans(piece, part)
                 names, first = _window_names(K.span_hash(piece, starts, ends), before)
@@ -73,19 +86,19 @@ def _names(docs: DataFrame) -> DataFrame:
                 fresh[1:] = (names[1:] != names[:-1]) | (row[1:] != row[:-1])
                 names, row = names[fresh], row[fresh]
                 bounds = np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.ListArray.from_arrays(pa.array(bounds), pa.array(names.view(np.int64)))], names=["doc_id", "names"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), batch.column("part").slice(at, to - at), pa.ListArray.from_arrays(pa.array(bounds), pa.array(names.view(np.int64)))], names=["doc_id", "part", "names"])
 
-    return _plain(docs).mapInArrow(run, NAMES)
+    return plain.mapInArrow(run, NAMES)
 
 
 def _suffixes(texts: DataFrame) -> DataFrame:
-    """Candidate suffixes of ``doc_id, text, names``: their prefixes' hashes and a 128-bit hash of the window."""
+    """Candidate suffixes of ``doc_id, part, text, names``: their prefixes' hashes and a 128-bit hash of the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
             named = batch.column("names")
-            for at, to in K.slices(offsets):
+            for at, to in K.slices(offsets, 1 << 20):
                 piece, part = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
                 starts, ends, before = K.word_spans(piece, part)
                 words = K.span_hash(piece, starts, ends)
@@ -103,9 +116,9 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                     for j in range(1, n):
                         h = h * np.uint64(0xA0761D6478BD642F ^ (base - 1)) + words[first + j]
                     hashes.append(K.mix(h).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at).take(pa.array(row)), pa.array((first - before[row]).astype(np.int32)), *map(pa.array, hashes)], names=[x.split()[0] for x in SUFFIXES.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at).take(pa.array(row)), pa.array((batch.column("part").slice(at, to - at).to_numpy()[row] << PART) + first - before[row]), *map(pa.array, hashes)], names=[x.split()[0] for x in SUFFIXES.split(", ")])
 
-    return texts.select("doc_id", "text", "names").mapInArrow(run, SUFFIXES)
+    return texts.select("doc_id", "part", "text", "names").mapInArrow(run, SUFFIXES)
 
 
 def _repeats_of(sorted_suffixes: DataFrame) -> DataFrame:
@@ -128,25 +141,27 @@ def _repeats_of(sorted_suffixes: DataFrame) -> DataFrame:
             last = (a[-1], b[-1], least[-1])
             yield pa.RecordBatch.from_arrays([pa.array(doc[over]), pa.array(where[over])], names=["doc_id", "at"])
 
-    return sorted_suffixes.mapInArrow(run, "doc_id long, at int")
+    return sorted_suffixes.mapInArrow(run, "doc_id long, at long")
 
 
-def repeated_windows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: first word positions (``doc_id, at``) of the windows that also start in a document with a lesser doc_id, for all
-    documents but later copies of an equal text; and those copies (``doc_id``)."""
+def repeated_windows(spark: SparkSession, plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: first word positions (``doc_id, part, starts``) of the windows that also start in a document with a lesser doc_id,
+    for all texts but those that a lesser document has too; and the latter (``doc_id, part``)."""
     store.small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(1), F.reverse("text")).alias("tb")).where(F.col("text").isNotNull())
-    least = texts.groupBy("ta", "tb").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where(F.col("rep") != F.col("other"))
-    copies = store.table(spark, texts.join(least, ["ta", "tb"]).where(F.col("doc_id") != F.col("rep")).select("doc_id", "rep"), "copies")
+    texts = plain.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "part", F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(1), F.reverse("text")).alias("tb"))
+    least = texts.groupBy("ta", "tb").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.count("*").alias("size")).where(F.col("rep") != F.col("other")).select("ta", "tb", "rep", "size")
+    least = store.table(spark, least, "equal-texts")
+    copies = store.spread_join(texts, least, ["ta", "tb"], "size", least.agg(F.sum("size")).first()[0] or 0).where(F.col("doc_id") != F.col("rep")).select("doc_id", "part", "rep").distinct()
+    copies = store.table(spark, copies, "copies")
 
-    names = _names(docs).join(copies, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.explode("names").alias("name"))
+    names = _names(plain).join(copies, ["doc_id", "part"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.explode("names").alias("name"))
     shared = names.groupBy("name").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(F.col("lo") != F.col("hi")).select("name")
     shared = store.table(spark, shared, "names")
-    again = _names(docs).join(copies, "doc_id", "left_anti").select("doc_id", F.explode("names").alias("name")).join(shared, "name", "left_semi")
-    wanted = store.table(spark, again.groupBy("doc_id").agg(F.collect_set("name").alias("names")), "wanted")
+    again = _names(plain).join(copies, ["doc_id", "part"], "left_anti").select("doc_id", "part", F.explode("names").alias("name")).join(shared, "name", "left_semi")
+    wanted = store.table(spark, again.groupBy("doc_id", "part").agg(F.collect_set("name").alias("names")), "wanted")
     store.drop(spark, shared)
 
-    rows = store.table(spark, _suffixes(_plain(docs).join(wanted, "doc_id")), "suffixes")
+    rows = store.table(spark, _suffixes(plain.join(wanted, ["doc_id", "part"])), "suffixes")
     store.drop(spark, wanted)
     most = max(GROUP_SUFFIXES, rows.count() // SPLIT_LISTS)
 
@@ -162,7 +177,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, D
     group = group.withColumn("prefix", F.when(F.col("s3").isNull(), F.col("p3")).when(F.col("s6").isNull(), F.col("p6")).otherwise(F.col("fa"))).select("prefix", "fa", "fb", "doc_id", "at")
     light = _repeats_of(group.repartition("prefix").sortWithinPartitions("prefix", "fa", "fb", "doc_id"))
     heavy = rows.join(nodes, ["fa", "fb"]).where(F.col("doc_id") > F.col("least")).select("doc_id", "at")
-    found = store.table(spark, light.unionByName(heavy).groupBy("doc_id").agg(F.collect_list("at").alias("starts")), "repeats")
+    found = store.table(spark, light.unionByName(heavy).groupBy("doc_id", F.shiftright("at", PART).alias("part")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << PART) - 1))).alias("starts")), "repeats")
     store.drop(spark, rows)
     return found, copies
 
@@ -171,15 +186,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, text, n_words, n_removed``: whole texts without the words of repeated windows, one space between words.
 
     A word goes if some window of ``WINDOW`` consecutive words over it also starts in a document with a lesser doc_id (as the input has
-    it). A null text has no words and gives an empty one; texts shorter than a window stay. doc_id names a document.
+    it). A null text has no words and gives an empty one; texts shorter than a window stay. Rows of one doc_id are one document: none of
+    them makes another's windows repeats, and each row loses its own. A row without doc_id keeps all and removes nothing. Whole texts are
+    taken however long; a kernel holds one at least. An empty table gives an empty result.
     """
-    found, copies = repeated_windows(spark, docs)
+    plain = _plain(docs)
+    found, copies = repeated_windows(spark, plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
             whole, starts_of = batch.column("copy").to_numpy(zero_copy_only=False), batch.column("starts")
-            for at, to in K.slices(offsets):
+            for at, to in K.slices(offsets, 1 << 20):
                 piece, part = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
                 starts, ends, before = K.word_spans(piece, part)
                 n = np.diff(before)
@@ -202,5 +220,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 texts = pc.ascii_rtrim(texts, " ")  # no word has one
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), texts.cast(pa.string()), pa.array(n), pa.array(n - kept)], names=["doc_id", "text", "n_words", "n_removed"])
 
-    marked = _plain(docs).join(found, "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "left")
+    marked = plain.join(found, ["doc_id", "part"], "left").join(copies.select("doc_id", "part", F.lit(True).alias("copy")), ["doc_id", "part"], "left")
     return marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").mapInArrow(run, CLEANED)
