@@ -67,7 +67,7 @@ def blocks(docs: DataFrame, vocabulary: str, block_tokens: int = R.BLOCK_TOKENS)
                 yield from flush(False)
         yield from flush(True)
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")  # rows of one doc_id: by text
     return ordered.mapInArrow(write, BLOCKS)
 
 
