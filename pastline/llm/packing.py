@@ -144,7 +144,8 @@ def solve_patterns(demand: np.ndarray, capacity: int, rounds: int = 4000, gain:
 
 
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
-    """``pieces`` (columns ``doc_id, start, length`` and any others, lengths 1 to ``capacity``) with ``sequence_id`` and ``offset``.
+    """``pieces`` (columns ``doc_id, start, length`` and any others, lengths 1 to ``capacity``) with ``sequence_id`` and ``offset``,
+    which replace columns of these names; others may have any name.
 
     ``pieces`` should be a stored table, as it is read twice. Equal rows are placed one by one; an empty table gives an empty result.
     """
@@ -169,10 +170,11 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, unit:
 
     buckets = max(1, int(demand.sum()) // bucket_pieces)
     tie = [c for c, kind_ in pieces.dtypes if c not in ("doc_id", "start") and kind_ in ("bigint", "int")]
-    placed = pieces.withColumn("kind", kind).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")]).alias("piece")  # so no name clashes
+    placed = pieces.select("doc_id", "start", "length", *[F.col(f"`{c}`").alias(f"tie{k}") for k, c in enumerate(tie)], whole).withColumn("kind", kind).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     totals = placed.groupBy("kind", "bucket").count()
     before = totals.select("kind", "bucket", F.coalesce(F.sum("count").over(Window.partitionBy("kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("doc_id", "start", *tie)) - 1
+    local = F.row_number().over(Window.partitionBy("kind", "bucket").orderBy("doc_id", "start", *[f"tie{k}" for k in range(len(tie))])) - 1
     ranked = placed.withColumn("local", local).join(before, ["kind", "bucket"]).withColumn("rank", F.col("before") + F.col("local"))
 
     @F.pandas_udf(T.LongType())
@@ -188,7 +190,7 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, unit:
 
     packed = ranked.withColumn("sequence_id", sequence_of("kind", "rank"))
     inside = Window.partitionBy("sequence_id").orderBy("kind", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    return packed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("kind", "bucket", "before", "local", "rank")
+    return packed.select("piece.*", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
