@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastline.plans.ordered import numbered
 from pastline.sources.tables import InputError
 
 UNKNOWN = "__UNKNOWN__"
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
-    """``value, code``: the train split's values in order, numbered from 0. As large as the column's distinct values."""
+    """``value, code``: the train split's values in order, numbered from 0 by ranges. As large as the column's distinct values."""
     values = df.where(F.col("split") == "train").select(F.col(column).cast("string").alias("value")).where("value is not null").distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    return numbered(df.sparkSession, values, ["value"], "code").select("value", F.col("code").cast("int"))
 
 
 def encode(df: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastline.functions.scalars import non_negative
 from pastline.plans.frames import history, past
 
 
@@ -13,8 +14,8 @@ def _zero(c: Column) -> Column:
 
 
 def account_events(tx: DataFrame, out_value: str = "amount", in_value: str = "amount") -> DataFrame:
-    """Two rows per transaction: ``out`` for its sender and ``in`` for its receiver."""
-    sides = F.array(F.struct(F.col("sender").alias("account"), F.lit("out").alias("side"), F.col(out_value).alias("v")), F.struct(F.col("receiver").alias("account"), F.lit("in").alias("side"), F.col(in_value).alias("v")))
+    """Two rows per transaction: ``out`` for its sender and ``in`` for its receiver. A negative amount is an error."""
+    sides = F.array(F.struct(F.col("sender").alias("account"), F.lit("out").alias("side"), non_negative(F.col(out_value), out_value).alias("v")), F.struct(F.col("receiver").alias("account"), F.lit("in").alias("side"), non_negative(F.col(in_value), in_value).alias("v")))
     return tx.select("tx_id", "us", F.explode(sides).alias("e")).select("tx_id", "us", "e.account", "e.side", "e.v")
 
 
@@ -56,6 +57,16 @@ def pass_flow(tx: DataFrame, width: int) -> DataFrame:
     )
 
 
+def account_flow_sums(tx: DataFrame, widths: dict[str, int], received: str = "amount") -> DataFrame:
+    """Sums that the sender's and the receiver's account sent and received before, per width (``name: microseconds``). One shuffle on accounts
+    and one back, however many widths."""
+    e = account_events(tx, in_value=received)
+    sums = [(way, name, F.greatest(_zero(F.sum(F.when(F.col("side") == way, F.col("v"))).over(past("account", width))), F.lit(0.0))) for way in ("out", "in") for name, width in widths.items()]
+    f = e.select("tx_id", "side", *[c.alias(f"{way}_{name}") for way, name, c in sums])
+    roles = (("sender", "out"), ("receiver", "in"))
+    return f.groupBy("tx_id").agg(*[F.max(F.when(F.col("side") == s, F.col(f"{way}_{name}"))).alias(f"accountstats__{role}__{way}__amount__sum__w{name}") for role, s in roles for way, name, _ in sums])
+
+
 def entity_sums(tx: DataFrame, width: int) -> DataFrame:
     """The current sender's inbound and the current receiver's outbound sums: the other role's history."""
     f = flow_balance(tx, width)
@@ -64,7 +75,7 @@ def entity_sums(tx: DataFrame, width: int) -> DataFrame:
 
 def pair_window(tx: DataFrame, width: int) -> DataFrame:
     """History of (sender, receiver) and of its reverse, in one window over the unordered pair."""
-    x = tx.withColumn("lo", F.least("sender", "receiver")).withColumn("hi", F.greatest("sender", "receiver")).withColumn("up", F.col("sender") <= F.col("receiver"))
+    x = tx.withColumn("amount", non_negative(F.col("amount"), "amount")).withColumn("lo", F.least("sender", "receiver")).withColumn("hi", F.greatest("sender", "receiver")).withColumn("up", F.col("sender") <= F.col("receiver"))
     w = past(["lo", "hi"], width)
 
     def both(agg, value):  # of the rows in one direction and in the other; a self loop is its own reverse

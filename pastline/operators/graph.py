@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pastline.plans.checkpoint import table
+from pastline.plans.ordered import numbered
 
 
 def nodes(tx: DataFrame) -> DataFrame:
@@ -27,27 +28,65 @@ def amounts(tx: DataFrame) -> DataFrame:
     return nodes(tx).join(out, "node", "left").join(into, "node", "left").select("node", log("o").alias("out_amount_log1p"), log("i").alias("in_amount_log1p"))
 
 
-def pagerank(spark: SparkSession, tx: DataFrame, damping: float = 0.85, iterations: int = 100, tol: float = 1e-6, every: int = 5) -> DataFrame:
-    """Unweighted, over distinct train pairs; rank of nodes without out-links is spread evenly. Stops when the ranks' total change is below
-    ``nodes * tol`` (0: never) and cuts the lineage with a stored table ``every`` few steps."""
+def pagerank(spark: SparkSession, tx: DataFrame, damping: float = 0.85, iterations: int = 100, tol: float = 1e-6) -> DataFrame:
+    """Unweighted, over distinct train pairs; rank of nodes without out-links is spread evenly. Stops at the first step whose total change is
+    below ``nodes * tol`` (0: never). Each step is stored, so a step's plan reads the last one and no more."""
     pairs = tx.where(F.col("split") == "train").select("sender", "receiver").distinct()
     edges = table(spark, pairs.join(pairs.groupBy("sender").agg(F.count("*").alias("n")), "sender"), "edges")
-    every_node = table(spark, nodes(tx).join(edges.select(F.col("sender").alias("node")).distinct().withColumn("links", F.lit(True)), "node", "left"), "nodes")
-    n = every_node.count()
-    rank = every_node.withColumn("rank", F.lit(1.0 / n))
-    for step in range(1, iterations + 1):
+    rank = nodes(tx).join(edges.select(F.col("sender").alias("node")).distinct().withColumn("links", F.lit(True)), "node", "left")
+    rank = table(spark, rank, "nodes")
+    n = rank.count()
+    rank = rank.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(iterations):
         given = edges.join(rank.select(F.col("node").alias("sender"), "rank"), "sender").groupBy(F.col("receiver").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
         loose = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(F.col("links").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")))  # one row
         after = rank.join(given, "node", "left").join(loose).select("node", "links", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"), F.col("rank").alias("was"))
-        if step % every == 0 or step == iterations:
-            after = table(spark, after, "rank")
-            if tol and after.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tol:
-                rank = after
-                break
+        after = table(spark, after, "rank")
         rank = after.drop("was")
+        if tol and after.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tol:
+            break
     return rank.select("node", "rank")
 
 
+def node_map(tx: DataFrame) -> DataFrame:
+    """``node, idx``: all accounts, senders and receivers, in order from 0."""
+    return numbered(tx.sparkSession, nodes(tx), ["node"], "idx")
+
+
+def formatted_edges(tx: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``tx_id, from_id, to_id, from_idx, to_idx, amount, us, split, label`` with both accounts looked up; sort at the sink."""
+    one, two = mapping.toDF("from_id", "from_idx"), mapping.toDF("to_id", "to_idx")
+    e = tx.select("tx_id", F.col("sender").alias("from_id"), F.col("receiver").alias("to_id"), "amount", "us", "split", "label")
+    return e.join(one, "from_id", "left").join(two, "to_id", "left").select("tx_id", "from_id", "to_id", "from_idx", "to_idx", "amount", "us", "split", "label")
+
+
+def graph_checks(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``check, violations`` of a formatted edge list and its account mapping; every check has a row."""
+    e = edges.agg(
+        F.count_if(F.col("from_idx").isNull() | F.col("to_idx").isNull()).alias("edge without node"), F.count_if(F.col("tx_id").isNull()).alias("edge without id"),
+        (F.count("tx_id") - F.countDistinct("tx_id")).alias("repeated edge id"), F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("label that is not 0 or 1"),
+        F.count_if(F.col("split").isNull() | ~F.col("split").isin("train", "val", "test")).alias("unknown split"), F.count_if(F.col("us").isNull()).alias("edge without time"),
+    )
+    m = mapping.agg((F.count("*") - F.countDistinct("node")).alias("repeated node"), (F.count("*") - F.countDistinct("idx")).alias("repeated index"), F.count_if(F.col("idx").isNull()).alias("node without index"))
+    both = e.join(m)  # one row each
+    pairs = ", ".join(f"'{c}', `{c}`" for c in both.columns)
+    return both.select(F.expr(f"stack({len(both.columns)}, {pairs}) as (check, violations)"))
+
+
+def edges_with_ports(tx: DataFrame) -> DataFrame:
+    """Edges with ports and time deltas, and their reversed copies, in which in and out change places."""
+    e = tx.select("tx_id", "sender", "receiver").join(ports(tx), "tx_id").join(time_deltas(tx), "tx_id")
+    names = ("tx_id", "src", "dst", "in_port", "out_port", "in_delta", "out_delta", "reversed")
+    forward = e.select("tx_id", "sender", "receiver", "in_port", "out_port", "in_delta", "out_delta", F.lit(0)).toDF(*names)
+    return forward.unionByName(e.select("tx_id", "receiver", "sender", "out_port", "in_port", "out_delta", "in_delta", F.lit(1)).toDF(*names))
+
+
+def ego_flags(tx: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node, ego`` of all nodes: 1 for both ends of the seed edges (``tx_id``)."""
+    ends = nodes(tx.join(seeds.select("tx_id").distinct(), "tx_id", "left_semi")).withColumn("ego", F.lit(1))
+    return nodes(tx).join(ends, "node", "left").na.fill(0, ["ego"])
+
+
 def ports(tx: DataFrame) -> DataFrame:
     """Each edge's place of its sender among the receiver's senders by first contact (ties by edge id), and the other way round."""
     contact = tx.groupBy("sender", "receiver").agg(F.min(F.struct("us", "tx_id")).alias("first"))
@@ -69,12 +108,14 @@ def with_reverse(tx: DataFrame) -> DataFrame:
 
 
 def khop(tx: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Nodes within ``hops`` undirected steps of ``seeds`` (``node``) and their distance."""
+    """Nodes within ``hops`` undirected steps of ``seeds`` (``node``) and their distance. The links and each step are stored."""
+    spark = tx.sparkSession
     links = tx.select(F.col("sender").alias("node"), F.col("receiver").alias("next")).unionByName(tx.select(F.col("receiver").alias("node"), F.col("sender").alias("next"))).distinct()
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0))
+    links = table(spark, links, "links")
+    seen = table(spark, seeds.select("node").distinct().withColumn("hop", F.lit(0)), "seen")
     for h in range(1, hops + 1):
         fresh = seen.where(F.col("hop") == h - 1).join(links, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hop", F.lit(h))
-        seen = seen.unionByName(fresh)
+        seen = table(spark, seen.unionByName(fresh), "seen")
     return seen
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pastline.plans.ordered import totals_before
+
 
 def split_summary(tx: DataFrame) -> DataFrame:
     return tx.groupBy("split").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count_if(F.col("label") == 1).alias("positives"), F.avg("label").alias("positive_rate"))
@@ -107,28 +109,25 @@ def iv_strength(iv: Column) -> Column:
     return F.when(iv.isNull(), "na").when(iv < 0.02, "useless").when(iv < 0.1, "weak").when(iv < 0.3, "medium").when(iv < 0.5, "strong").otherwise("suspicious")
 
 
-def score_curve(scores: DataFrame) -> DataFrame:
+def score_curve(spark: SparkSession, scores: DataFrame) -> DataFrame:
     """Per distinct score, from the top: predicted positives, true positives, precision, recall, F1. ``scores``: ``score, label``.
 
-    Totals above a score come from two levels (a fixed number of score bands, then scores inside a band), so no task sorts every score.
+    Totals above a score are summed over ranges of scores, so no task sorts every score.
     """
-    g = scores.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("p")).withColumn("band", F.floor(F.col("score") * 1000))
-    bands = g.groupBy("band").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
-    above = Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select("band", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("p0"), F.sum("bp").over(Window.partitionBy()).alias("all"))  # about a thousand rows
-    inside = Window.partitionBy("band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.withColumn("cn", F.sum("n").over(inside)).withColumn("cp", F.sum("p").over(inside)).join(F.broadcast(bands), "band")
-    c = c.select("score", (F.col("cn") + F.col("n0")).alias("predicted"), (F.col("cp") + F.col("p0")).alias("tp"), "p", "all")
+    g = scores.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    total = F.broadcast(g.agg(F.sum("p").alias("all")))  # one row
+    c = totals_before(spark, g, [F.desc("score")], {"n0": F.col("n"), "p0": F.col("p")}).join(total)
+    c = c.select("score", (F.col("n") + F.col("n0")).alias("predicted"), (F.col("p") + F.col("p0")).alias("tp"), "p", "all")
     return c.select("score", "predicted", "tp", "p", "all", (F.col("tp") / F.col("predicted")).alias("precision"), (F.col("tp") / F.col("all")).alias("recall"), (2 * F.col("tp") / (F.col("predicted") + F.col("all"))).alias("f1"))
 
 
-def best_threshold(scores: DataFrame) -> DataFrame:
+def best_threshold(spark: SparkSession, scores: DataFrame) -> DataFrame:
     """The score with the highest F1; the lowest of equals."""
-    return score_curve(scores).orderBy(F.desc("f1"), "score").limit(1).select(F.col("score").alias("threshold"), "precision", "recall", "f1")
+    return score_curve(spark, scores).orderBy(F.desc("f1"), "score").limit(1).select(F.col("score").alias("threshold"), "precision", "recall", "f1")
 
 
-def average_precision(scores: DataFrame) -> DataFrame:
-    return score_curve(scores).agg(F.sum(F.col("p") / F.col("all") * F.col("precision")).alias("average_precision"))
+def average_precision(spark: SparkSession, scores: DataFrame) -> DataFrame:
+    return score_curve(spark, scores).agg(F.sum(F.col("p") / F.col("all") * F.col("precision")).alias("average_precision"))
 
 
 def metrics_at(scores: DataFrame, threshold: float, eps: float = 1e-15) -> DataFrame:
@@ -153,14 +152,11 @@ def score_histogram(scores: DataFrame, bins: int = 20) -> DataFrame:
     return scores.groupBy("label", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 0.9).alias("high_risk"))
 
 
-def mann_whitney(df: DataFrame, value: str = "value", group: str = "label") -> DataFrame:
+def mann_whitney(spark: SparkSession, df: DataFrame, value: str = "value", group: str = "label") -> DataFrame:
     """U of group 1 against group 0 with average ranks, the rank-biserial effect and a normal approximation of z. Equal values are counted
-    first, so ranks run over distinct values."""
-    g = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), F.sum(group).alias("k")).withColumn("band", F.floor(F.col("v")))
-    bands = g.groupBy("band").agg(F.sum("n").alias("bn"))
-    bands = bands.select("band", F.coalesce(F.sum("bn").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("band").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("below", below).join(bands, "band").withColumn("rank", F.col("below") + F.col("n0") + (F.col("n") + 1) / 2)
+    first, and ranks come from totals over ranges of values."""
+    g = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), F.sum(group).alias("k"))
+    r = totals_before(spark, g, ["v"], {"below": F.col("n")}).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     s = r.agg(F.sum(F.col("rank") * F.col("k")).alias("r1"), F.sum("k").alias("n1"), F.sum(F.col("n") - F.col("k")).alias("n0"))
     u = s.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     n0, n1 = F.col("n0"), F.col("n1")

@@ -8,12 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the cluster's shared folder (``spark.checkpoint.dir``; a local one only where that is unset) and reads it back."""
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is unset, one machine gets a folder made; a cluster is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pastline-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return where
+
+
+def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the cluster's shared folder and reads it back."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

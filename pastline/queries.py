@@ -197,18 +197,18 @@ def split_sample(spark, sf_dir):
     return tables.split_sample(_split(spark, sf_dir), 300).select("tx_id", "split")
 
 
-@query(f"""WITH {SP}, x AS (SELECT tx_id, split, receiver::VARCHAR AS c FROM t WHERE split <> 'train' OR receiver % 5 > 0), v AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM (SELECT DISTINCT c FROM x WHERE split = 'train')), n AS (SELECT count(*) AS n FROM v)
+@query(f"""WITH {SP}, x AS (SELECT tx_id, split, sender::VARCHAR || '>' || receiver::VARCHAR AS c FROM t), v AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM (SELECT DISTINCT c FROM x WHERE split = 'train')), n AS (SELECT count(*) AS n FROM v)
 SELECT tx_id, coalesce(code, -1)::INT AS c_code, coalesce(code, n.n)::INT AS c_node, coalesce(v.c, '__UNKNOWN__') AS c_native FROM x LEFT JOIN v USING (c), n""")
 def category_codes(spark, sf_dir):
     return fitted.encode(_unseen(spark, sf_dir), "c").select("tx_id", "c_code", "c_node", "c_native")
 
 
 def _unseen(spark, sf_dir):
-    """Train lacks every fifth receiver, so later splits have values it has not seen."""
-    return _split(spark, sf_dir).where("split <> 'train' or receiver % 5 > 0").select("tx_id", "split", F.col("receiver").cast("string").alias("c"))
+    """Pairs of accounts: later splits have many that train has not."""
+    return _split(spark, sf_dir).select("tx_id", "split", F.concat(F.col("sender").cast("string"), F.lit(">"), F.col("receiver").cast("string")).alias("c"))
 
 
-@query(f"""WITH {SP}, x AS (SELECT tx_id, split, receiver::VARCHAR AS c FROM t WHERE split <> 'train' OR receiver % 5 > 0), u AS (SELECT split, c, count(*) AS n FROM x WHERE c NOT IN (SELECT c FROM x WHERE split = 'train') GROUP BY 1, 2),
+@query(f"""WITH {SP}, x AS (SELECT tx_id, split, sender::VARCHAR || '>' || receiver::VARCHAR AS c FROM t), u AS (SELECT split, c, count(*) AS n FROM x WHERE c NOT IN (SELECT c FROM x WHERE split = 'train') GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY c) AS r FROM u) SELECT split, sum(n)::BIGINT AS unknown_count, count(*) AS unknown_unique, string_agg(c, ';' ORDER BY c) FILTER (r <= 5) AS examples FROM r GROUP BY split""")
 def unknown_summary(spark, sf_dir):
     return fitted.unknown_summary(_unseen(spark, sf_dir), "c")
@@ -299,12 +299,12 @@ def woe_iv(spark, sf_dir):
 
 @query(f"WITH {SC}, g AS (SELECT score, count(*) AS n, sum(label) AS p FROM s GROUP BY score), c AS (SELECT score, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER () AS a FROM g WINDOW w AS (ORDER BY score DESC)) SELECT score AS threshold, round(cp / cn, 6) AS precision, round(cp / a, 6) AS recall, round(2 * cp / (cn + a), 6) AS f1 FROM c ORDER BY 2 * cp / (cn + a) DESC, score LIMIT 1")
 def best_threshold(spark, sf_dir):
-    return rounded(stats.best_threshold(_scores(spark, sf_dir)))
+    return rounded(stats.best_threshold(spark, _scores(spark, sf_dir)))
 
 
 @query(f"WITH {SC}, g AS (SELECT score, count(*) AS n, sum(label) AS p FROM s GROUP BY score), c AS (SELECT p, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER () AS a FROM g WINDOW w AS (ORDER BY score DESC)) SELECT round(sum(p / a * cp / cn), 6) AS average_precision FROM c")
 def average_precision(spark, sf_dir):
-    return rounded(stats.average_precision(_scores(spark, sf_dir)))
+    return rounded(stats.average_precision(spark, _scores(spark, sf_dir)))
 
 
 @query(f"""WITH {SC}, c AS (SELECT count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn, count(*) FILTER (score < 0.5 AND label = 0) AS tn,
@@ -327,7 +327,7 @@ def score_histogram(spark, sf_dir):
 @query(f"""WITH {FT}, r AS (SELECT label, rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0 AS r FROM f), s AS (SELECT sum(r) FILTER (label = 1)::DOUBLE AS r1, sum(label)::DOUBLE AS n1, count(*) FILTER (label = 0)::DOUBLE AS n0 FROM r), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s)
 SELECT u, n0::BIGINT AS n0, n1::BIGINT AS n1, round(2 * u / (n0 * n1) - 1, 6) AS rank_biserial, round((u - n0 * n1 / 2) / sqrt(n0 * n1 * (n0 + n1 + 1) / 12), 6) AS z FROM u""")
 def mann_whitney(spark, sf_dir):
-    return rounded(stats.mann_whitney(_features(spark, sf_dir), "amount"))
+    return rounded(stats.mann_whitney(spark, _features(spark, sf_dir), "amount"))
 
 
 @query(f"WITH {EV}, c AS (SELECT receiver AS l, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, l LIMIT 20), k AS (SELECT l FROM c WHERE n >= 100 OR (SELECT max(n) FROM c) < 100) SELECT tx_id, CASE WHEN l IS NULL THEN '__OTHER__' ELSE receiver::VARCHAR END AS r_level FROM ev LEFT JOIN k ON receiver = l".replace("receiver AS l", "receiver::VARCHAR AS l").replace("receiver = l", "receiver::VARCHAR = l"))

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 
 _UNITS = {"s": 1_000_000, "min": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
+#: Names and parts of names that would leak the label (fixed values).
 _FORBIDDEN = {"label", "target", "y", "is_laundering"}
 _FORBIDDEN_PARTS = ("laundering", "pattern", "typology", "attempt")
 
@@ -23,7 +24,7 @@ def parse_window(text: str) -> int:
 
 
 def check_no_leak(names: list[str], what: str) -> None:
-    bad = [n for n in names if n.lower() in _FORBIDDEN or any(p in n.lower() for p in _FORBIDDEN_PARTS)]
+    bad = [n for n in names if n.strip().lower() in _FORBIDDEN or any(p in n.lower() for p in _FORBIDDEN_PARTS)]
     if bad:
         raise SpecError(f"{what} would leak the label: {', '.join(sorted(bad))}")
 
