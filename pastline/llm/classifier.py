@@ -24,6 +24,8 @@ DIM = 16
 GRAMS = (3, 4)
 #: Labelled documents of each class that the model is fitted on, chosen by hash (a documented bound of the fit).
 FIT_DOCS = 1500
+#: Distinct rows of one document that the fit sees; of a longer one's, those least by a hash (the bound in bytes of what the driver gets).
+FIT_ROWS = 8192
 EPOCHS = 12
 RATE = 0.4
 CUT = 0.7
@@ -63,7 +65,10 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 7) -> Model:
-    """Learns ``label`` (0 or 1; others and nulls are left out) of ``labels`` (``doc_id, label``) from ``docs`` (``doc_id, text``)."""
+    """Learns ``label`` (0 or 1; others and nulls are left out) of ``labels`` (``doc_id, label``) from ``docs`` (``doc_id, text``).
+
+    Of several labels of one doc_id the greatest counts; each row of the id teaches. With one class or none, every score is a half.
+    """
     known = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
@@ -76,6 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: int
             for i in range(batch.num_rows):
                 ids, _ = _features(batch.column("text").slice(i, 1))
                 rows, n = np.unique(ids, return_counts=True)
+                if len(rows) > FIT_ROWS:
+                    kept = np.sort(np.argsort(K.mix(rows.astype(np.uint64)), kind="stable")[:FIT_ROWS])
+                    rows, n = rows[kept], n[kept]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([rows.astype("<i4").tobytes()]), pa.array([n.astype("<f4").tobytes()])], names=["doc_id", "rows", "counts"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.select(F.col("doc_id").alias("d"))), F.col("doc_id") == F.col("d"), "left_semi")
@@ -104,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, seed: int
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every whole text: the probability of label 1. An empty or null text has the bias alone."""
+    """``doc_id, score`` of every row's whole text: the probability of label 1. An empty or null text has the bias alone; equal texts have equal
+    scores; a very long text is taken whole, alone in its kernel call."""
     store.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # fixed size: 2 ** ROWS_BITS numbers
 

@@ -56,6 +56,7 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     folded = _FOLD[data]
     keep = np.ones(len(data), bool)
     keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)
+    keep[offsets[:-1][offsets[:-1] < len(data)]] = True  # a text's n-grams don't depend on the text before it
     at = np.concatenate([[0], np.cumsum(keep)])[offsets]
     text = folded[keep].astype(np.uint64)
     size = max(0, len(text) - N + 1)
@@ -134,9 +135,10 @@ def _judge(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.nd
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every whole text; ``und`` and 0 where it is null or has no letter.
+    """``doc_id, lang_pred, score`` of every row's whole text; ``und`` and 0 where it is null or has no letter.
 
-    A text shorter than an n-gram gets the first language with the score of a guess.
+    A text shorter than an n-gram gets the first language with the score of a guess; of equally good languages the first in order counts.
+    Rows of one doc_id are judged each by its own text; a very long text is taken whole, alone in its kernel call.
     """
     store.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2 ** SLOT_BITS positions for each SLICE languages

@@ -101,7 +101,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.nd
         for batch in batches:
             langs = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
             data, offsets = K.utf8(batch.column("text"))
-            for at, to in K.slices(offsets):
+            for at, to in K.slices(offsets, 1 << 20):
                 part = offsets[at : to + 1] - offsets[at]
                 piece = data[offsets[at] : offsets[to]]
                 starts, ends, before = K.word_spans(piece, part)
@@ -158,7 +158,9 @@ RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document (``doc_id, text, lang``): counts, distances to its language's reference, and the verdict.
 
-    A null text has no words; a null language has a reference of its own. An empty table gives an empty result.
+    A null text has no words; a null language has a reference of its own. Rows of one doc_id count and are judged each by its own text. Of
+    equally frequent words at the end of a reference the lesser hashes stay. A very long text is taken whole, alone in its kernel call. An
+    empty table gives an empty result.
     """
     store.small_batches(spark)
     shared = spark.sparkContext.broadcast(references(docs, rules))  # bounded: classes and common words per language
@@ -168,7 +170,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, rules: Rules = Rules())
         for batch in batches:
             langs = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
             data, offsets = K.utf8(batch.column("text"))
-            for at, to in K.slices(offsets):
+            for at, to in K.slices(offsets, 1 << 20):
                 f = _features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 n = to - at
                 by_class, by_word = np.zeros(n), np.zeros(n)
