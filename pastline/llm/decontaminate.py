@@ -31,8 +31,10 @@ BITS, BLOCK = 128, 4
 #: 32 blocks of 4 bits: every fingerprint within 31 bits shares a block. Plain similarity 0.8 means about 19 bits with a deviation of 4; for
 #: uneven weights, and for the rest of the deviation, :func:`_by_hits` has the windows that the radius leaves out.
 RADIUS = BITS // BLOCK - 1
-#: Items of one broadcast; a larger benchmark is searched in parts of about this many.
-ITEMS_AT_ONCE = 20_000
+#: Items of one broadcast and bytes of their texts; a larger benchmark is searched in parts of about this many.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20
+#: Index entries that a look-up holds at a time.
+LOOK_UP = 2_000_000
 SCHEMA = "doc_id long, item_id long, similarity double, word_start long, n_words long, n_windows long"
 
 
@@ -63,7 +65,12 @@ class _Group:
     bounds: list[np.ndarray]
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window, item) of fingerprints within the radius."""
+        """Pairs (window, item) of fingerprints within the radius; about ``LOOK_UP`` index entries are held at a time."""
+        step = max(1, LOOK_UP // (2 * len(self.items)))
+        found = [self._look_up(prints[at : at + step], at) for at in range(0, len(prints), step)]
+        return np.concatenate([w for w, _ in found] or [np.zeros(0, np.int64)]), np.concatenate([i for _, i in found] or [np.zeros(0, np.int64)])
+
+    def _look_up(self, prints: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         codes = []
         for b in range(BITS // BLOCK):
             value = (prints[:, b // 2] >> (4 * (b % 2))) & 15
@@ -73,7 +80,7 @@ class _Group:
         pairs = np.unique(np.concatenate(codes))
         window, item = pairs // len(self.items), pairs % len(self.items)
         near = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1) <= RADIUS
-        return window[near], item[near]
+        return window[near] + first, item[near]
 
 
 @dataclass
@@ -238,7 +245,8 @@ def _parts(spark: SparkSession, benchmark: DataFrame) -> Iterator[Index]:
     How many items a shingle is in is counted over the whole benchmark, whatever the parts.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // ITEMS_AT_ONCE), -(-size["bytes"] // BYTES_AT_ONCE))
     if parts == 1:
         yield build_index([(r["item_id"], r["text"]) for r in items.collect()])
         return
@@ -260,7 +268,7 @@ def _parts(spark: SparkSession, benchmark: DataFrame) -> Iterator[Index]:
 
 def _rows(index: Index, text: pa.Array, similarity: float) -> Iterator[tuple]:
     data, offsets = K.utf8(text)
-    for at, to in K.slices(offsets):
+    for at, to in K.slices(offsets, 1 << 20):
         hashes, before = _words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         for r in _search(index, hashes, before, similarity):
             yield (at + r[0], *r[1:])
@@ -272,7 +280,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sim
     A document with fewer shingles than the item is judged whole.
 
     ``word_start`` and ``n_words`` tell the best window, ``n_windows`` how many reach the bound. Null texts match nothing; clean
-    documents have no row; an empty benchmark gives an empty result.
+    documents have no row; an empty benchmark gives an empty result. Rows of one doc_id are judged, and named, each by its own text; of
+    equally similar windows the first is told. A very long text is taken whole, alone in its kernel call.
     """
     store.small_batches(spark)
 
