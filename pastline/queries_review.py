@@ -243,7 +243,7 @@ _SLOG = "(sign({0}) * ln(1 + abs({0})))"
 @query(f"""WITH {_LONG}, m AS (SELECT feature, avg((value IS NULL)::INT) AS missing_rate, {", ".join(f"avg(value) FILTER (split = '{s}') AS {s}, avg((value <> 0)::INT) FILTER (split = '{s}') AS nz_{s}" for s in ("train", "val", "test"))},
 {", ".join(f"avg(value) FILTER (label = {k}) AS m{k}, var_pop(value) FILTER (label = {k}) AS v{k}, avg((value <> 0)::INT) FILTER (label = {k}) AS z{k}" for k in (0, 1))} FROM l GROUP BY feature),
 i AS (SELECT feature, greatest(abs({_SLOG.format("val")} - {_SLOG.format("train")}), abs({_SLOG.format("test")} - {_SLOG.format("train")})) AS log_gap, greatest(abs(nz_val - nz_train), abs(nz_test - nz_train)) AS nonzero_gap, (m1 - m0) / nullif(sqrt((v0 + v1) / 2), 0) AS smd, z1 - z0 AS nonzero_diff, missing_rate FROM m)
-SELECT feature, round(log_gap, 6) AS log_gap, round(nonzero_gap, 6) AS nonzero_gap, round(smd, 6) AS smd, round(nonzero_diff, 6) AS nonzero_diff, round(missing_rate, 6) AS missing_rate, round(abs(coalesce(log_gap, 0)) + abs(coalesce(nonzero_gap, 0)) + abs(coalesce(smd, 0)) + abs(coalesce(nonzero_diff, 0)) + abs(missing_rate), 6) AS review_score FROM i""")
+SELECT feature, round(log_gap, 6) AS log_gap, round(nonzero_gap, 6) AS nonzero_gap, round(smd, 6) + 0.0::DOUBLE AS smd, round(nonzero_diff, 6) + 0.0::DOUBLE AS nonzero_diff, round(missing_rate, 6) AS missing_rate, round(abs(coalesce(log_gap, 0)) + abs(coalesce(nonzero_gap, 0)) + abs(coalesce(smd, 0)) + abs(coalesce(nonzero_diff, 0)) + abs(missing_rate), 6) AS review_score FROM i""")
 def review_priority(spark, sf_dir):
     return rounded(review.review_scores(_features(spark, sf_dir), _COLS))
 
