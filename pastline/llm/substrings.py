@@ -1,15 +1,17 @@
-"""Substring dedup by prefix-partitioned suffix trees, cut at the window length.
+"""Substring dedup by prefix-partitioned suffix trees, cut below the window length.
 
-Every word position begins a suffix; two positions share a window of ``WINDOW`` words if their suffixes meet in a tree node at least that
-deep. Three steps keep this within memory and disk at any size, and none loses a repeat:
+Every word position begins a suffix. A tree node of depth ``WINDOW`` holds the suffixes that begin with the same ``WINDOW`` words; its first
+leaf in the order of documents is where they come from. Four steps keep this within memory and disk at any size, and none loses a repeat:
 
 1. candidates: each window is named by its least 6-word hash (a window equal to it has the same). Names that occur in one text only
    belong to windows that don't repeat; the others' suffixes go on. Equal texts share one entry throughout.
 2. groups: a candidate suffix is dealt by its first 3 words; prefixes with too many suffixes are split by their first 6 words, and those
    by the whole window. "Too many" grows with the input, so the lists of split prefixes have a fixed length and can be broadcast.
-   Inside a group the suffixes are sorted, and equal neighbours are the leaves of one deep node; the least document comes first.
-   Nodes that are too large even so are summed to their least document instead, and no group is held in memory.
-3. removal: the words under a document's repeated windows, marked per document, leave its text.
+   Nodes that are too large even so are summed to their first leaf instead.
+3. trees: a group is sorted by the words of its suffixes, and the common-prefix lengths of neighbours give its deep nodes. They are read
+   in one pass that holds the node in hand alone.
+4. repeats: the suffix link of a node (its words without the first) leads to the node of the next position. Where the first leaf moves on
+   with it, the repeat goes on: such chains are the maximal repeats, of any length, and the words under them leave the text.
 """
 
 from __future__ import annotations
@@ -36,7 +38,11 @@ SPLIT_LISTS = 10_000
 #: ``at`` holds a text's number among the texts of its doc_id (mostly 0) above ``PART`` bits, and the word position below.
 PART = 40
 NAMES = "doc_id long, part long, names array<long>"
-SUFFIXES = "doc_id long, at long, p3 long, p6 long, fa long, fb long"
+#: ``words``: a big-endian 32-bit name of each word of the window, so bytes sort as words do; ``mark``: 64 bits over the whole window, which
+#: parts windows whose words share names.
+SUFFIXES = "doc_id long, at long, words binary, mark long"
+LEAVES = "doc_id long, at long, first_doc long, first_at long"
+SPANS = "doc_id long, part long, starts array<long>, lengths array<long>, first_docs array<long>, first_ats array<long>"
 CLEANED = "doc_id long, text string, n_words long, n_removed long"
 
 
@@ -92,7 +98,7 @@ def _names(plain: DataFrame) -> DataFrame:
 
 
 def _suffixes(texts: DataFrame) -> DataFrame:
-    """Candidate suffixes of ``doc_id, part, text, names``: their prefixes' hashes and a 128-bit hash of the window."""
+    """Candidate suffixes of ``doc_id, part, text, names``: the names of their first ``WINDOW`` words and the mark of these words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,48 +116,89 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(to - at), mine.value_lengths().to_numpy())
                 keep = np.isin(K.mix(names + row.astype(np.uint64) * salt), K.mix(wanted + owner.astype(np.uint64) * salt))
                 first, row = first[keep], row[keep]
-                hashes = []
-                for n, base in ((PREFIXES[0], 1), (PREFIXES[1], 1), (WINDOW, 0xD1B54A32D192ED03), (WINDOW, 0xABC98388FB8FAC03)):
-                    h = words[first].copy()
-                    for j in range(1, n):
-                        h = h * np.uint64(0xA0761D6478BD642F ^ (base - 1)) + words[first + j]
-                    hashes.append(K.mix(h).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at).take(pa.array(row)), pa.array((batch.column("part").slice(at, to - at).to_numpy()[row] << PART) + first - before[row]), *map(pa.array, hashes)], names=[x.split()[0] for x in SUFFIXES.split(", ")])
+                codes = np.empty((len(first), WINDOW), ">u4")
+                mark = words[first]
+                for j in range(WINDOW):
+                    word = words[first + j]
+                    codes[:, j] = word >> np.uint64(32)
+                    mark = mark * np.uint64(0x2545F4914F6CDD1D) + word
+                ends_at = np.arange(len(first) + 1, dtype=np.int32) * codes.itemsize * WINDOW
+                keys = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends_at), pa.py_buffer(codes)])
+                position = (batch.column("part").slice(at, to - at).to_numpy()[row] << PART) + first - before[row]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at).take(pa.array(row)), pa.array(position), keys, pa.array(K.mix(mark).view(np.int64))], names=["doc_id", "at", "words", "mark"])
 
     return texts.select("doc_id", "part", "text", "names").mapInArrow(run, SUFFIXES)
 
 
-def _repeats_of(sorted_suffixes: DataFrame) -> DataFrame:
-    """``doc_id, at`` of the suffixes whose node also has a lesser document; the input is sorted by node and document."""
+def _codes(column: pa.Array) -> np.ndarray:
+    """The word names of the suffixes, a row each."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(">u4").reshape(len(column), WINDOW)
+
+
+def _leaves(sorted_suffixes: DataFrame) -> DataFrame:
+    """The leaves of deep nodes that also have a leaf of a lesser document, each with the node's first leaf.
+
+    The input is sorted by words, mark, document and position, so a subtree's leaves are neighbours, and two of them meet at the depth of
+    the least common-prefix length between them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, doc, where = (batch.column(c).to_numpy() for c in ("fa", "fb", "doc_id", "at"))
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            if last is not None and (a[0], b[0]) == last[:2]:
-                new[0] = False
+            codes, mark = _codes(batch.column("words")), batch.column("mark").to_numpy()
+            doc, at = batch.column("doc_id").to_numpy(), batch.column("at").to_numpy()
+            before_codes, before_mark = last[:2] if last else (np.zeros(WINDOW, ">u4"), np.int64(0))
+            depth = np.logical_and.accumulate(codes == np.vstack([before_codes, codes[:-1]]), axis=1).sum(1)
+            depth[(depth == WINDOW) & (mark != np.append(before_mark, mark[:-1]))] -= 1
+            new = depth < WINDOW
+            new[0] |= last is None
             heads = np.flatnonzero(new)
+            first_doc, first_at = doc[heads], at[heads]
+            if not new[0]:
+                first_doc, first_at = np.append(last[2], first_doc), np.append(last[3], first_at)
             node = np.cumsum(new) - (1 if new[0] else 0)
-            least = doc[heads] if new[0] else np.append(last[2], doc[heads])
-            over = doc > least[node]
-            last = (a[-1], b[-1], least[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[over]), pa.array(where[over])], names=["doc_id", "at"])
+            over = doc > first_doc[node]
+            last = (codes[-1].copy(), mark[-1], first_doc[-1], first_at[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[over], at[over], first_doc[node[over]], first_at[node[over]])], names=["doc_id", "at", "first_doc", "first_at"])
+
+    return sorted_suffixes.mapInArrow(run, LEAVES)
+
+
+def _chains(leaves: DataFrame) -> DataFrame:
+    """Leaves joined along suffix links: the repeats of each text, in order of their start and first occurrence."""
+    low = F.lit((1 << PART) - 1)
+    whole = leaves.groupBy("doc_id", F.shiftright("at", PART).alias("part")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(low).alias("at"), "first_doc", "first_at")).alias("leaves"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("leaves")
+            at, first_doc, first_at = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            order = np.lexsort((at, row))
+            at, first_doc, first_at, row = at[order], first_doc[order], first_at[order], row[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_at[1:] != first_at[:-1] + 1)
+            heads = np.flatnonzero(new)
+            length = np.diff(np.append(heads, len(at))) + WINDOW - 1
+            bounds = pa.array(np.searchsorted(row[heads], np.arange(len(lists) + 1)).astype(np.int32))
+            spans = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (at[heads], length, first_doc[heads], first_at[heads])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), *spans], names=["doc_id", "part", "starts", "lengths", "first_docs", "first_ats"])
 
-    return sorted_suffixes.mapInArrow(run, "doc_id long, at long")
+    return whole.mapInArrow(run, SPANS)
 
 
-def repeated_windows(spark: SparkSession, plain: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two stored tables: first word positions (``doc_id, part, starts``) of the windows that also start in a document with a lesser doc_id,
-    for all texts but those that a lesser document has too; and the latter (``doc_id, part``)."""
+def _repeats(spark: SparkSession, plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables: the repeats (``SPANS``) of all texts but those that a lesser document has too, and the latter (``doc_id, part, rep,
+    rep_part``)."""
     store.small_batches(spark)
     texts = plain.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "part", F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(1), F.reverse("text")).alias("tb"))
-    least = texts.groupBy("ta", "tb").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.count("*").alias("size")).where(F.col("rep") != F.col("other")).select("ta", "tb", "rep", "size")
+    least = texts.groupBy("ta", "tb").agg(F.min(F.struct("doc_id", "part")).alias("least"), F.max("doc_id").alias("other"), F.count("*").alias("size")).where(F.col("least.doc_id") != F.col("other")).select("ta", "tb", F.col("least.doc_id").alias("rep"), F.col("least.part").alias("rep_part"), "size")
     least = store.table(spark, least, "equal-texts")
-    copies = store.spread_join(texts, least, ["ta", "tb"], "size", least.agg(F.sum("size")).first()[0] or 0).where(F.col("doc_id") != F.col("rep")).select("doc_id", "part", "rep").distinct()
+    copies = store.spread_join(texts, least, ["ta", "tb"], "size", least.agg(F.sum("size")).first()[0] or 0).where(F.col("doc_id") != F.col("rep")).select("doc_id", "part", "rep", "rep_part").distinct()
     copies = store.table(spark, copies, "copies")
 
     names = _names(plain).join(copies, ["doc_id", "part"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.explode("names").alias("name"))
@@ -161,27 +208,51 @@ def repeated_windows(spark: SparkSession, plain: DataFrame) -> tuple[DataFrame,
     wanted = store.table(spark, again.groupBy("doc_id", "part").agg(F.collect_set("name").alias("names")), "wanted")
     store.drop(spark, shared)
 
-    rows = store.table(spark, _suffixes(plain.join(wanted, ["doc_id", "part"])), "suffixes")
-    store.drop(spark, wanted)
-    most = max(GROUP_SUFFIXES, rows.count() // SPLIT_LISTS)
-
-    def split(keys: list[str], among: DataFrame) -> DataFrame:
-        """Keys with more than ``most`` suffixes: at most SPLIT_LISTS of them."""
-        return among.groupBy(*keys).agg(F.count("*").alias("size"), F.min("doc_id").alias("least")).where(F.col("size") > most)
-
-    by3 = F.broadcast(spark.createDataFrame(split(["p3"], rows.select("p3", "doc_id")).select("p3").collect(), "p3 long"))
-    crowded = rows.join(by3, "p3", "left_semi")
-    by6 = F.broadcast(spark.createDataFrame(split(["p6"], crowded.select("p6", "doc_id")).select("p6").collect(), "p6 long"))
-    nodes = F.broadcast(spark.createDataFrame(split(["fa", "fb"], crowded.join(by6, "p6", "left_semi")).select("fa", "fb", "least").collect(), "fa long, fb long, least long"))
-    group = rows.join(nodes.select("fa", "fb"), ["fa", "fb"], "left_anti").join(by3.withColumn("s3", F.lit(True)), "p3", "left").join(by6.withColumn("s6", F.lit(True)), "p6", "left")
-    group = group.withColumn("prefix", F.when(F.col("s3").isNull(), F.col("p3")).when(F.col("s6").isNull(), F.col("p6")).otherwise(F.col("fa"))).select("prefix", "fa", "fb", "doc_id", "at")
-    light = _repeats_of(group.repartition("prefix").sortWithinPartitions("prefix", "fa", "fb", "doc_id"))
-    heavy = rows.join(nodes, ["fa", "fb"]).where(F.col("doc_id") > F.col("least")).select("doc_id", "at")
-    found = store.table(spark, light.unionByName(heavy).groupBy("doc_id", F.shiftright("at", PART).alias("part")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << PART) - 1))).alias("starts")), "repeats")
-    store.drop(spark, rows)
+    # Suffixes are many times the texts, so they are made again for each pass and stored in none.
+    rows = _suffixes(plain.join(wanted, ["doc_id", "part"]))
+    p3, p6 = (F.xxhash64(F.substring("words", 1, 4 * n)).alias(f"p{n}") for n in PREFIXES)
+    sizes = store.table(spark, rows.groupBy(p3, p6).agg(F.count("*").alias("size")), "prefix-sizes")
+    most = max(GROUP_SUFFIXES, (sizes.agg(F.sum("size")).first()[0] or 0) // SPLIT_LISTS)
+
+    # At most SPLIT_LISTS keys have more than ``most`` suffixes: the lists are small enough to collect and broadcast.
+    by3 = spark.createDataFrame(sizes.groupBy("p3").agg(F.sum("size").alias("size")).where(F.col("size") > most).select("p3").collect(), "p3 long")
+    by6 = spark.createDataFrame(sizes.where(F.col("size") > most).select("p6").collect(), "p6 long")
+    prefixed = rows.select("*", p3, p6)
+    heavy = None
+    if not by6.isEmpty():
+        nodes = prefixed.join(F.broadcast(by6), "p6", "left_semi").groupBy("words", "mark").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "at")).alias("first")).where(F.col("size") > most)
+        nodes = spark.createDataFrame(nodes.select("words", "mark", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")).collect(), "words binary, mark long, first_doc long, first_at long")
+        if not nodes.isEmpty():
+            heavy = rows.join(F.broadcast(nodes), ["words", "mark"]).where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "at", "first_doc", "first_at")
+            prefixed = prefixed.join(F.broadcast(nodes), ["words", "mark"], "left_anti")
+    group = prefixed.join(F.broadcast(by3.withColumn("s3", F.lit(True))), "p3", "left").join(F.broadcast(by6.withColumn("s6", F.lit(True))), "p6", "left")
+    group = group.withColumn("prefix", F.when(F.col("s3").isNull(), F.col("p3")).when(F.col("s6").isNull(), F.col("p6")).otherwise(F.col("mark")))
+    dealt = group.select("prefix", "words", "mark", "doc_id", "at").repartition("prefix").drop("prefix")
+    leaves = _leaves(dealt.sortWithinPartitions("words", "mark", "doc_id", "at"))
+    found = store.table(spark, _chains(leaves if heavy is None else leaves.unionByName(heavy)), "repeats")
+    store.drop(spark, wanted, sizes)
     return found, copies
 
 
+def maximal_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``doc_id, part, start, length, first_doc_id, first_part, first_start``: the repeats of ``WINDOW`` words or more, one row each.
+
+    ``length`` words of the document from ``start`` on also begin at ``first_start`` of a lesser document, the first one with the window at
+    ``start``. A repeat can't go on to either side: there the words differ or an earlier place has the next window. ``part`` numbers
+    the different texts of one doc_id (0 for most). A text that a lesser document has too is one repeat from 0 on, if long enough. Null and
+    short texts, rows without doc_id and empty tables have none.
+    """
+    plain = _plain(docs)
+    found, copies = _repeats(spark, plain)
+    low = F.lit((1 << PART) - 1)
+    spans = found.select("doc_id", "part", F.explode(F.arrays_zip("starts", "lengths", "first_docs", "first_ats")).alias("s"))
+    spans = spans.select("doc_id", "part", F.col("s.starts").alias("start"), F.col("s.lengths").alias("length"), F.col("s.first_docs").alias("first_doc_id"), F.shiftright("s.first_ats", PART).alias("first_part"), F.col("s.first_ats").bitwiseAND(low).alias("first_start"))
+    n = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    zero = F.lit(0).cast("long")
+    whole = plain.join(copies, ["doc_id", "part"]).select("doc_id", "part", zero.alias("start"), n.alias("length"), F.col("rep").alias("first_doc_id"), F.col("rep_part").alias("first_part"), zero.alias("first_start"))
+    return spans.unionByName(whole.where(F.col("length") >= WINDOW).distinct())
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``doc_id, text, n_words, n_removed``: whole texts without the words of repeated windows, one space between words.
 
@@ -191,12 +262,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     taken however long; a kernel holds one at least. An empty table gives an empty result.
     """
     plain = _plain(docs)
-    found, copies = repeated_windows(spark, plain)
+    found, copies = _repeats(spark, plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
-            whole, starts_of = batch.column("copy").to_numpy(zero_copy_only=False), batch.column("starts")
+            whole = batch.column("copy").to_numpy(zero_copy_only=False)
+            starts_of, lengths_of = batch.column("starts"), batch.column("lengths")
             for at, to in K.slices(offsets, 1 << 20):
                 piece, part = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
                 starts, ends, before = K.word_spans(piece, part)
@@ -206,7 +278,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 lengths = mine.value_lengths().fill_null(0).to_numpy()
                 first = mine.flatten().to_numpy().astype(np.int64) + np.repeat(before[:-1], lengths)
                 np.add.at(cover, first, 1)
-                np.add.at(cover, first + WINDOW, -1)
+                np.add.at(cover, first + lengths_of.slice(at, to - at).flatten().to_numpy().astype(np.int64), -1)
                 keep = np.cumsum(cover[:-1]) == 0
                 keep &= ~np.repeat(whole[at:to] & (n >= WINDOW), n)
                 kept = K.per_row(keep, before)
@@ -220,5 +292,5 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 texts = pc.ascii_rtrim(texts, " ")  # no word has one
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), texts.cast(pa.string()), pa.array(n), pa.array(n - kept)], names=["doc_id", "text", "n_words", "n_removed"])
 
-    marked = plain.join(found, ["doc_id", "part"], "left").join(copies.select("doc_id", "part", F.lit(True).alias("copy")), ["doc_id", "part"], "left")
-    return marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").mapInArrow(run, CLEANED)
+    marked = plain.join(found.select("doc_id", "part", "starts", "lengths"), ["doc_id", "part"], "left").join(copies.select("doc_id", "part", F.lit(True).alias("copy")), ["doc_id", "part"], "left")
+    return marked.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "lengths").mapInArrow(run, CLEANED)

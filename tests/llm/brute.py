@@ -31,6 +31,31 @@ def removed_repeats(docs):
     return out
 
 
+def maximal_repeats(docs, size=13):
+    """``doc, start, length, first doc, first start``; docs of different ids."""
+    rep, words = {}, {d: WORD.findall(t or "") for d, t in docs}
+    for d, t in sorted(docs):
+        rep.setdefault(t, d)
+    own = {d for d, t in docs if rep[t] == d}
+    first = {}
+    for d in sorted(own):
+        for i in range(len(words[d]) - size + 1):
+            first.setdefault(tuple(words[d][i : i + size]), (d, i))
+    out = {(d, 0, len(words[d]), rep[t], 0) for d, t in docs if rep[t] != d and len(words[d]) >= size}
+    for d in own:
+        run = None
+        for i in range(len(words[d]) - size + 1):
+            at = first[tuple(words[d][i : i + size])]
+            if run and at == (run[3], run[4] + i - run[1]):
+                run[2] += 1
+            else:
+                run = [d, i, size, *at]
+            if at[0] < d:
+                out.discard(tuple([*run[:2], run[2] - 1, *run[3:]]))
+                out.add(tuple(run))
+    return out
+
+
 def rule_counts(text):
     text = text or ""
     w = WORD.findall(text)

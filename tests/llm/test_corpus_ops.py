@@ -170,6 +170,27 @@ def test_substrings(spark, docs, table, monkeypatch):
     assert substrings.remove_repeats(spark, docs.where("false")).count() == 0
 
 
+def test_maximal_repeats(spark, docs, table, monkeypatch):
+    for most in (substrings.GROUP_SUFFIXES, 3):
+        monkeypatch.setattr(substrings, "GROUP_SUFFIXES", most)
+        for frame, rows in zip((docs, table), both(docs, table), strict=True):
+            got = substrings.maximal_repeats(spark, frame).drop("part", "first_part").collect()
+            assert {tuple(r) for r in got} == brute.maximal_repeats(rows) and len(got) == len(set(got))
+    assert substrings.maximal_repeats(spark, docs.where("false")).count() == 0
+
+
+def test_codes_that_agree_but_for_the_mark(spark):
+    """Windows whose word names collide are told apart by their mark, also where a batch ends between them."""
+    key = bytes(range(52))
+    rows = [(1, 0, key, 5), (2, 7, key, 5), (3, 0, key, 6), (4, 1, key, 6), (9, 2, bytes(52), 6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = substrings._leaves(spark.createDataFrame(rows, substrings.SUFFIXES).coalesce(1).sortWithinPartitions("words", "mark", "doc_id", "at")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == {(2, 7, 1, 0), (4, 1, 3, 0)}
+
+
 def test_rules(spark, docs, table):
     for frame, rows in zip((docs, table), both(docs, table), strict=True):
         got = {r["doc_id"]: r for r in rules.quality_rules(spark, frame).collect()}
