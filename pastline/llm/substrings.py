@@ -226,8 +226,9 @@ def _repeats(spark: SparkSession, plain: DataFrame) -> tuple[DataFrame, DataFram
             heavy = rows.join(F.broadcast(nodes), ["words", "mark"]).where(F.col("doc_id") > F.col("first_doc")).select("doc_id", "at", "first_doc", "first_at")
             prefixed = prefixed.join(F.broadcast(nodes), ["words", "mark"], "left_anti")
     group = prefixed.join(F.broadcast(by3.withColumn("s3", F.lit(True))), "p3", "left").join(F.broadcast(by6.withColumn("s6", F.lit(True))), "p6", "left")
-    group = group.withColumn("prefix", F.when(F.col("s3").isNull(), F.col("p3")).when(F.col("s6").isNull(), F.col("p6")).otherwise(F.col("mark")))
-    dealt = group.select("prefix", "words", "mark", "doc_id", "at").repartition("prefix").drop("prefix")
+    # The prefix itself isn't shuffled: its level and the words give it.
+    level = F.when(F.col("s3").isNull(), 0).when(F.col("s6").isNull(), 1).otherwise(2).alias("level")
+    dealt = group.select(level, "words", "mark", "doc_id", "at").repartition(F.when(F.col("level") == 0, p3).when(F.col("level") == 1, p6).otherwise(F.col("mark"))).drop("level")
     leaves = _leaves(dealt.sortWithinPartitions("words", "mark", "doc_id", "at"))
     found = store.table(spark, _chains(leaves if heavy is None else leaves.unionByName(heavy)), "repeats")
     store.drop(spark, wanted, sizes)
