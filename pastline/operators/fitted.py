@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastline.plans.ordered import numbered
+from pastline.plans.ordered import numbered, quantiles
 from pastline.sources.tables import InputError
 
 UNKNOWN = "__UNKNOWN__"
@@ -34,7 +34,7 @@ def unknown_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def train_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
-    return df.where(F.col("split") == "train").agg(F.percentile(column, F.lit(q)).alias("cap"))
+    return quantiles(df.where(F.col("split") == "train"), column, [q]).select(F.col("q")[0].alias("cap"))
 
 
 def ratio_transforms(df: DataFrame, column: str, q: float = 0.9999) -> DataFrame:

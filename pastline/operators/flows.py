@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pastline.functions.scalars import non_negative
 from pastline.plans.frames import history, past
+from pastline.plans.ordered import quantiles
 
 
 def _zero(c: Column) -> Column:
@@ -36,7 +37,7 @@ def balanced_state(flows: DataFrame, tx: DataFrame, role: str = "sender") -> Dat
     """1 where the relative gap is within the first quartile of the train rows that have history."""
     gap = F.col(f"{role}_relative_gap")
     joined = tx.select("tx_id", "split").join(flows, "tx_id")
-    fit = joined.where((F.col("split") == "train") & gap.isNotNull()).agg(F.percentile(gap, F.lit(0.25)).alias("q25"))
+    fit = quantiles(joined.where(F.col("split") == "train"), gap, [0.25]).select(F.col("q")[0].alias("q25"))
     return joined.join(F.broadcast(fit)).select("tx_id", F.coalesce((gap <= F.col("q25")).cast("int"), F.lit(0)).alias("balanced_state_flag"))  # one row
 
 
@@ -98,7 +99,7 @@ def pair_clip(pairs: DataFrame, tx: DataFrame, q: float = 0.999) -> DataFrame:
     """log1p of the ratio, clipped at the train quantile of rows with two or more forward payments; 0 with fewer."""
     j = tx.select("tx_id", "split").join(pairs, "tx_id")
     ratio, known = F.col("current_vs_forward_mean_ratio"), F.col("forward_tx_count") >= 2
-    fit = j.where((F.col("split") == "train") & known).agg(F.percentile(ratio, F.lit(q)).alias("cap"))
+    fit = quantiles(j.where((F.col("split") == "train") & known), ratio, [q]).select(F.col("q")[0].alias("cap"))
     return j.join(F.broadcast(fit)).select("tx_id", F.when(known, F.log1p(F.least(ratio, F.col("cap")))).otherwise(0.0).alias("ratio_log1p_clip_p999_hist2"))  # one row
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pastline.plans.ordered import totals_before
+from pastline.plans.ordered import quantiles, totals_before
 
 
 def split_summary(tx: DataFrame) -> DataFrame:
@@ -29,9 +29,13 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     v, bad = F.col("value"), F.isnan("value") | (F.abs("value") == float("inf"))
-    return long_form(df, columns, []).groupBy("feature").agg(
+    x = long_form(df, columns, [])
+    cuts = F.broadcast(quantiles(x, "value", [0.25, 0.5, 0.75], ["feature"]))  # a row per feature
+    return x.groupBy("feature").agg(
         F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(v.isNotNull() & bad).alias("infinite"), F.count_if(v == 0).alias("zero"), F.countDistinct("value").alias("n_unique"),
-        F.min(v).alias("low"), F.percentile(v, F.lit(0.25)).alias("p25"), F.percentile(v, F.lit(0.5)).alias("median"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.75)).alias("p75"), F.max(v).alias("high"),
+        F.min(v).alias("low"), F.avg(v).alias("mean"), F.max(v).alias("high"),
+    ).join(cuts, "feature", "left").select(
+        "feature", "n", "missing", "infinite", "zero", "n_unique", "low", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("p75"), "high",
     )
 
 
@@ -94,8 +98,7 @@ def correlation_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
 def woe_iv(df: DataFrame, columns: list[str], bins: int = 10, alpha: float = 0.5) -> DataFrame:
     """Per feature and quantile bin: counts, smoothed WOE and IV. Repeated edges merge; edges belong to the lower bin."""
     x = long_form(df, columns, ["label"])
-    at = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    edges = x.groupBy("feature").agg(F.array_distinct(F.percentile("value", at)).alias("e")).withColumn("inner", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))))
+    edges = quantiles(x, "value", [k / bins for k in range(bins + 1)], ["feature"]).select("feature", F.array_distinct("q").alias("e")).withColumn("inner", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))))
     kept = F.broadcast(edges.where(F.size("e") >= 3).select("feature", "inner"))  # a row per feature
     binned = x.join(kept, "feature").withColumn("bin", F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter("inner", lambda e: e < F.col("value")))))
     g = binned.groupBy("feature", "bin").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
