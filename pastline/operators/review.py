@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pastline.functions.scalars import normal_tail
 from pastline.operators import stats
-from pastline.plans.ordered import numbered, totals_before
+from pastline.plans.ordered import numbered, quantiles, totals_before
 
 PAIRS = [("TP", "FP"), ("TP", "FN"), ("TP", "TN"), ("FP", "FN"), ("FP", "TN"), ("FN", "TN")]
 
@@ -36,7 +36,10 @@ def hourly(tx: DataFrame) -> DataFrame:
 
 def quantiles_by(df: DataFrame, columns: list[str], group: str, at: list[float]) -> DataFrame:
     """Per feature and group: rows, mean, deviation, and a row per quantile."""
-    x = stats.long_form(df, columns, [group]).groupBy("feature", group).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.percentile("value", F.array(*map(F.lit, at))).alias("q"))
+    long = stats.long_form(df, columns, [group])
+    x = long.groupBy("feature", group).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    cuts = quantiles(long, "value", at, ["feature", group]).withColumnsRenamed({"feature": "_f", group: "_g"})
+    x = x.join(F.broadcast(cuts), (F.col("feature") == F.col("_f")) & F.col(group).eqNullSafe(F.col("_g")), "left")  # a row per feature and group
     places = F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("i", "quantile")
     return x.select("feature", group, "n", "mean", "std", "q", places).select("feature", group, "n", "mean", "std", "quantile", F.element_at("q", F.col("i") + 1).alias("value"))
 

@@ -44,12 +44,10 @@ def quantiles(df: DataFrame, value: str | Column, at: list[float], by: list[str]
     counts = df.select(*by, column.cast("double").alias("_value")).where(F.col("_value").isNotNull()).groupBy(*by, "_value").agg(F.count("*").alias("_n"))
     counts = table(df.sparkSession, counts, "value-counts")
     run = totals_before(df.sparkSession, counts, [*by, "_value"], {"_before": F.col("_n")})
-    groups = F.broadcast(counts.groupBy(*by).agg(F.sum("_n").alias("_size")))  # a row per group
-    if by:  # totals run on over the groups: a group's own begin at its least
-        starts = run.groupBy(*by).agg(F.min("_before").alias("_start"))
-        placed = run.join(groups, by).join(F.broadcast(starts), by)
-    else:
-        placed = run.join(groups).withColumn("_start", F.lit(0))
+    # Totals run on over the groups: a group's own begin at its least.
+    groups = run.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_size"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    placed = run.join(F.broadcast(groups), same or None)  # a row per group
     first = F.col("_before") - F.col("_start")
 
     def value_at(place: Column) -> Column:
