@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastline.llm import chat, classifier, decontaminate, langid, linededup, ngramjoin, packing, rules, substrings, tokenfiles
+from pastline.llm import chat, classifier, decontaminate, exactdedup, langid, linededup, ngramjoin, packing, repair, rules, substrings, tokenfiles
 from pastline.llm.tokenize import default_vocabulary
 
 
@@ -64,7 +64,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(spark, docs, model).select("doc_id", (langid.remainder() == 2).alias("held_out"), "score", (F.col("score") >= classifier.CUT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_token_files, op4_substrings, op5_rules, op6_ngram_join, op7_line_dedup, op8_decontamination, op9_language, op10_quality)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_classes(spark, _read(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(spark, _read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_token_files, op4_substrings, op5_rules, op6_ngram_join, op7_line_dedup, op8_decontamination, op9_language, op10_quality, op11_exact_dedup, op12_repair)}
 
 _LINES = r"""
 WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -75,4 +83,10 @@ SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) -
        sha256(CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(kept, chr(10)), '') END) AS kept_sha256 FROM d
 """
 
-ORACLES = {"op7_line_dedup": _LINES}
+_COPIES = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY t) AS kept,
+       sha256(t) AS text_sha256 FROM n
+"""
+
+ORACLES = {"op7_line_dedup": _LINES, "op11_exact_dedup": _COPIES}

@@ -98,3 +98,17 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
     for df in tables:
         path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(conf).delete(path, True)
+
+
+def spread_left(spark: SparkSession, rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``groups``, a stored table of one row per key (``size``: how many of the ``total`` rows have it).
+
+    Few groups are broadcast. Of more, those with over ``total / HEAVY_KEYS`` rows are (of which there can be ``HEAVY_KEYS`` at most), and
+    only rows without such a key are dealt out. No column of ``groups`` but the keys may be one of ``rows``; ``size`` is never null there.
+    """
+    if groups.count() <= FEW_ROWS:
+        return rows.join(F.broadcast(groups), keys, "left")
+    most = max(1000, total // HEAVY_KEYS)
+    held = rows.join(F.broadcast(groups.where(F.col(size) > most)), keys, "left")
+    rest = held.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(F.col(size) <= most), keys, "left")
+    return held.where(F.col(size).isNotNull()).unionByName(rest)
