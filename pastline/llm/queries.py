@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastline.llm import chat, classifier, decontaminate, exactdedup, langid, linededup, ngramjoin, packing, repair, rules, substrings, tokenfiles
+from pastline.llm import chat, classifier, collocations, decontaminate, exactdedup, langid, linededup, ngramjoin, packing, repair, rules, substrings, tokenfiles
 from pastline.llm.tokenize import default_vocabulary
 
 
@@ -72,7 +72,11 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damaged_and_repaired(spark, _read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_token_files, op4_substrings, op5_rules, op6_ngram_join, op7_line_dedup, op8_decontamination, op9_language, op10_quality, op11_exact_dedup, op12_repair)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_chat, op3_token_files, op4_substrings, op5_rules, op6_ngram_join, op7_line_dedup, op8_decontamination, op9_language, op10_quality, op11_exact_dedup, op12_repair, op13_collocations)}
 
 _LINES = r"""
 WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -89,4 +93,23 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        sha256(t) AS text_sha256 FROM n
 """
 
-ORACLES = {"op7_line_dedup": _LINES, "op11_exact_dedup": _COPIES}
+_PHRASES = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k AS words, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 30),
+u AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two FROM c, (VALUES (1), (2), (3)) v(k) WHERE k < words),
+s AS (SELECT u.lang, u.phrase, u.a, u.k, x.f AS l, y.f AS r, (2000000::HUGEINT * u.a // (x.f + y.f))::BIGINT AS score
+      FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.one JOIN f y ON y.lang = u.lang AND y.phrase = u.two),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s),
+i AS (SELECT lang, a, w, words, unnest(range(2, words)) AS size FROM c WHERE words > 2),
+j AS (SELECT lang, a, w, size, unnest(range(1, words - size + 2)) AS p FROM i),
+h AS (SELECT lang, array_to_string(w[p:p + size - 1], ' ') AS phrase, max(a) AS cover FROM j GROUP BY ALL),
+o AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE b.cut = 1 AND (h.cover IS NULL OR 100 * h.cover < 80 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op13_collocations": _PHRASES, "op7_line_dedup": _LINES, "op11_exact_dedup": _COPIES}

@@ -201,8 +201,7 @@ def test_repair_against_all_edits(spark):
     assert _got(repair.damaged_and_repaired(spark, df)) == _want(rows, _cheapest)
 
 
-def test_repair_of_longer_conversations(spark, monkeypatch):
-    monkeypatch.setattr(repair, "BLOCK", 4)
+def test_repair_of_longer_conversations(spark):
     rows = _conversations(150, 14)
     few = _conversations(25, 3)
     assert _want(few, _plain) == _want(few, _cheapest)  # the plain table is right
