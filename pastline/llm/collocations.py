@@ -47,6 +47,9 @@ _CUT[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 _OUT = _CUT.copy()
 _OUT[[9, 32]] = True
 CELLS = "block int, width int, cells binary, counts binary"
+PACKED = "block int, langs array<string>, lang_at binary, keys binary, sizes binary, text binary"
+#: Blocks (as a power of two) that candidates are dealt out by, and bytes of them that a task holds.
+PARTS, PACKED_BYTES = 8, 16 << 20
 FOUND = "lang string, phrase string, n long"
 
 
@@ -189,10 +192,29 @@ def sketch(spark: SparkSession, docs: DataFrame, least: int, pairs: Broadcast |
 
 
 def candidates(docs: DataFrame, pairs: Broadcast, longer: Broadcast) -> DataFrame:
-    """``lang, phrase``: what the sketches leave, repeated by task; and with a null ``phrase`` the words ``n`` of each language by task."""
+    """``lang, phrase``: what the sketches leave, each once; and with a null ``phrase`` the words ``n`` of each language by task.
+
+    A task writes its different candidates in blocks by hash, a row per block; blocks are merged where they meet. Phrases are told apart by 64-bit
+    hashes there (two of a million share one with a chance below 1e-7).
+    """
+
+    def written(lang_of: list[str], keys: np.ndarray, langs: np.ndarray, begin: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+        block = (keys >> np.uint64(64 - PARTS)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        size = np.diff(begin)
+        new = np.flatnonzero(np.diff(block[order], prepend=-1))
+        rows = []
+        for mine in np.split(order, new[1:]) if len(order) else []:
+            rows.append((int(block[mine[0]]), lang_of, langs[mine].astype("<i4").tobytes(), keys[mine].tobytes(), size[mine].astype("<i8").tobytes(), text[K.ragged(begin[mine], size[mine])].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 4))], names=[x.split()[0] for x in PACKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(SEEN, np.uint64), {}
+        seen, total, held, size = np.zeros(SEEN, np.uint64), {}, [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, langs, lengths, text = (np.concatenate(x) for x in zip(*held, strict=True))
+            return written(list(total), keys, langs, np.concatenate([[0], np.cumsum(lengths)]), text)
+
         for lang, text in _texts(batches):
             words = split(text, lang)
             total[lang] = total.get(lang, 0) + len(words.hashes)
@@ -206,13 +228,40 @@ def candidates(docs: DataFrame, pairs: Broadcast, longer: Broadcast) -> DataFram
             fresh = seen[keys % np.uint64(SEEN)] != keys
             begin, end = np.concatenate(begin)[first[fresh]], np.concatenate(end)[first[fresh]]
             seen[keys[fresh] % np.uint64(SEEN)] = keys[fresh]
-            size = end - begin
-            at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            phrases = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at), pa.py_buffer(words.text[K.ragged(begin, size)])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(size), pa.string()), phrases, pa.nulls(len(size), pa.int64())], names=["lang", "phrase", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "n"])
+            held.append((keys[fresh], np.full(len(begin), list(total).index(lang)), end - begin, words.text[K.ragged(begin, end - begin)]))
+            size += len(held[-1][3]) + 24 * len(begin)
+            if size > PACKED_BYTES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+        # Words of each language, by their own block so that they are told from candidates.
+        counts = [pa.array([-1] * len(total), pa.int32()), pa.array([[x] for x in total], pa.list_(pa.string())), *[pa.array([b""] * len(total), pa.binary())] * 2, pa.array([np.int64(n).tobytes() for n in total.values()], pa.binary()), pa.array([b""] * len(total), pa.binary())]
+        yield pa.RecordBatch.from_arrays(counts, names=[x.split()[0] for x in PACKED.split(", ")])
 
-    return docs.mapInArrow(run, FOUND)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array(r["langs"], pa.string()), pa.nulls(1, pa.string()), pa.array(np.frombuffer(r["sizes"], "<i8"))], names=["lang", "phrase", "n"])
+                    continue
+                if r["block"] != now:
+                    now, known = r["block"], np.zeros(0, np.uint64)
+                keys, first = np.unique(np.frombuffer(r["keys"], "<u8"), return_index=True)
+                at = np.searchsorted(known, keys)
+                fresh = np.ones(len(keys), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] != keys
+                first = first[fresh]
+                known = np.insert(known, at[fresh], keys[fresh])
+                size = np.frombuffer(r["sizes"], "<i8")
+                begin = np.cumsum(size) - size
+                text = np.frombuffer(r["text"], np.uint8)[K.ragged(begin[first], size[first])]
+                offsets = np.concatenate([[0], np.cumsum(size[first])]).astype(np.int64)
+                phrases = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text)).cast(pa.string())
+                langs = pa.array(r["langs"], pa.string()).take(pa.array(np.frombuffer(r["lang_at"], "<i4")[first]))
+                yield pa.RecordBatch.from_arrays([langs, phrases, pa.nulls(len(first), pa.int64())], names=["lang", "phrase", "n"])
+
+    return docs.mapInArrow(run, PACKED).repartition("block").sortWithinPartitions("block").mapInArrow(merge, FOUND)
 
 
 _built: dict[object, dict[str, ahocorasick.Automaton]] = {}
