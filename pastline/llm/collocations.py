@@ -36,7 +36,7 @@ HELD = 4 << 20
 #: Places of the last candidates that a task has written: those that come again soon aren't written again.
 SEEN = 1 << 20
 #: Bytes of the phrases of one automaton, about.
-AUTOMATON_BYTES = 4 << 20
+AUTOMATON_BYTES = 3 << 20
 #: Bytes of texts that the kernels take at once.
 SLICE = 1 << 20
 #: Parts of a language's candidates that are ranked apart before their first ``TOP`` meet.
@@ -312,7 +312,7 @@ def counted(spark: SparkSession, docs: DataFrame, patterns: DataFrame) -> DataFr
     held = store.table(spark, dealt.select("*", F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("range")), "patterns")
     parts = []
     for r in held.groupBy("range").agg(F.sum(size).alias("bytes")).collect():
-        cuts = -(-r["bytes"] // (2 * AUTOMATON_BYTES))
+        cuts = -(-r["bytes"] * 2 // (3 * AUTOMATON_BYTES))
         for k in range(cuts):
             mine = held.where((F.col("range") == r["range"]) & (F.pmod(F.xxhash64("phrase"), F.lit(cuts)) == k))
             parts.append(store.table(spark, matches(spark, docs, mine), "matches"))
