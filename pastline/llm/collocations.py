@@ -49,7 +49,7 @@ _OUT[[9, 32]] = True
 CELLS = "block int, width int, cells binary, counts binary"
 PACKED = "block int, langs array<string>, lang_at binary, keys binary, sizes binary, text binary"
 #: Blocks (as a power of two) that candidates are dealt out by, and bytes of them that a task holds.
-PARTS, PACKED_BYTES = 8, 16 << 20
+PARTS, PACKED_BYTES = 6, 2 << 20
 FOUND = "lang string, phrase string, n long"
 
 
@@ -242,23 +242,24 @@ def candidates(docs: DataFrame, pairs: Broadcast, longer: Broadcast) -> DataFram
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["block"] < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array(r["langs"], pa.string()), pa.nulls(1, pa.string()), pa.array(np.frombuffer(r["sizes"], "<i8"))], names=["lang", "phrase", "n"])
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                of = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+                names, size = batch.column("langs")[i].values, of("sizes", "<i8")
+                if block < 0:
+                    yield pa.RecordBatch.from_arrays([names, pa.nulls(1, pa.string()), pa.array(size)], names=["lang", "phrase", "n"])
                     continue
-                if r["block"] != now:
-                    now, known = r["block"], np.zeros(0, np.uint64)
-                keys, first = np.unique(np.frombuffer(r["keys"], "<u8"), return_index=True)
+                if block != now:
+                    now, known = block, np.zeros(0, np.uint64)
+                keys, first = np.unique(of("keys", "<u8"), return_index=True)
                 at = np.searchsorted(known, keys)
                 fresh = np.ones(len(keys), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] != keys
                 first = first[fresh]
                 known = np.insert(known, at[fresh], keys[fresh])
-                size = np.frombuffer(r["sizes"], "<i8")
                 begin = np.cumsum(size) - size
-                text = np.frombuffer(r["text"], np.uint8)[K.ragged(begin[first], size[first])]
+                text = of("text", np.uint8)[K.ragged(begin[first], size[first])]
                 offsets = np.concatenate([[0], np.cumsum(size[first])]).astype(np.int64)
                 phrases = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text)).cast(pa.string())
-                langs = pa.array(r["langs"], pa.string()).take(pa.array(np.frombuffer(r["lang_at"], "<i4")[first]))
+                langs = names.take(pa.array(of("lang_at", "<i4")[first]))
                 yield pa.RecordBatch.from_arrays([langs, phrases, pa.nulls(len(first), pa.int64())], names=["lang", "phrase", "n"])
 
     return docs.mapInArrow(run, PACKED).repartition("block").sortWithinPartitions("block").mapInArrow(merge, FOUND)
