@@ -33,6 +33,16 @@ def unknown_summary(df: DataFrame, column: str) -> DataFrame:
     return by_value.withColumn("r", first).groupBy("split").agg(F.sum("count").alias("unknown_count"), F.count("*").alias("unknown_unique"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("v")))), ";").alias("examples"))
 
 
+def quantiles_of_train(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row: per name of ``wanted`` (a value and a share) its train quantile as ``cap|name``, null where train has no value. All values go
+    through one pass in long form."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.cast("double").alias("value")) for n, (c, _) in wanted.items()])).alias("p")
+    long = df.where(F.col("split") == "train").select(pairs).select("p.*")
+    shares = sorted({q for _, q in wanted.values()})
+    found = quantiles(long, "value", shares, ["feature"])
+    return found.agg(*[F.max(F.when(F.col("feature") == n, F.col("q")[shares.index(q)])).alias(f"cap|{n}") for n, (_, q) in wanted.items()])
+
+
 def train_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     return quantiles(df.where(F.col("split") == "train"), column, [q]).select(F.col("q")[0].alias("cap"))
 

@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pastline.functions.scalars import non_negative
-from pastline.plans.frames import history, past
+from pastline.plans import relations
+from pastline.plans.frames import history
 from pastline.plans.ordered import quantiles
+from pastline.specs import FeatureSpec
 
 
 def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def account_events(tx: DataFrame, out_value: str = "amount", in_value: str = "amount") -> DataFrame:
-    """Two rows per transaction: ``out`` for its sender and ``in`` for its receiver. A negative amount is an error."""
-    sides = F.array(F.struct(F.col("sender").alias("account"), F.lit("out").alias("side"), non_negative(F.col(out_value), out_value).alias("v")), F.struct(F.col("receiver").alias("account"), F.lit("in").alias("side"), non_negative(F.col(in_value), in_value).alias("v")))
-    return tx.select("tx_id", "us", F.explode(sides).alias("e")).select("tx_id", "us", "e.account", "e.side", "e.v")
+def _account(tx: DataFrame, wanted: list[tuple[str, str, int, str]], in_value: str = "amount") -> DataFrame:
+    """``tx_id`` and a column per (role, metric, width, name)."""
+    found = relations.account_metrics(tx, "tx_id", ("sender", "receiver", "amount", in_value), {w[:3] for w in wanted})
+    return found.select(F.col("_key").alias("tx_id"), *[F.col(f"`{r}|{m}|{w}`").alias(n) for r, m, w, n in wanted])
 
 
 def flow_balance(tx: DataFrame, width: int) -> DataFrame:
     """Inbound and outbound sums of the sender's and the receiver's account, and what follows from them. One shuffle on accounts, one back."""
-    w = past("account", width)
-    e = account_events(tx)
-    flows = e.select("tx_id", "side", F.greatest(_zero(F.sum(F.when(F.col("side") == "in", F.col("v"))).over(w)), F.lit(0.0)).alias("i"), F.greatest(_zero(F.sum(F.when(F.col("side") == "out", F.col("v"))).over(w)), F.lit(0.0)).alias("o"))
-    picked = flows.groupBy("tx_id").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{r}_{n}") for r, s in (("sender", "out"), ("receiver", "in")) for c, n in (("i", "in"), ("o", "out"))])
-    columns = []
-    for r in ("sender", "receiver"):
-        i, o = F.col(f"{r}_in"), F.col(f"{r}_out")
-        columns += [F.when(o > 0, F.try_divide(i, o)).otherwise(0.0).alias(f"{r}_in_out_ratio"), (i - o).alias(f"{r}_sumdiff"), F.abs(i - o).alias(f"{r}_residual_abs"), F.try_divide(F.abs(i - o), i + o).alias(f"{r}_relative_gap")]
-    return picked.select("tx_id", "sender_in", "sender_out", "receiver_in", "receiver_out", *columns)
+    names = {"in_sum": "in", "out_sum": "out", "in_out_ratio": "in_out_ratio", "sumdiff": "sumdiff", "residual_abs": "residual_abs", "relative_gap": "relative_gap"}
+    return _account(tx, [(r, m, width, f"{r}_{n}") for r in ("sender", "receiver") for m, n in names.items()])
 
 
 def balanced_state(flows: DataFrame, tx: DataFrame, role: str = "sender") -> DataFrame:
@@ -42,30 +36,16 @@ def balanced_state(flows: DataFrame, tx: DataFrame, role: str = "sender") -> Dat
 
 
 def pass_flow(tx: DataFrame, width: int) -> DataFrame:
-    """Inbound-then-outbound sequences: pass one marks outbound rows with an inbound in their window, pass two counts the marks."""
-    w = past("account", width)
-    e = account_events(tx)
-    last = F.max(F.when(F.col("side") == "in", F.struct("us", "tx_id", "v"))).over(w)
-    one = e.select("*", last.alias("last_in")).withColumn("seq", ((F.col("side") == "out") & F.col("last_in").isNotNull()).cast("int"))
-    two = one.select("*", F.coalesce(F.sum("seq").over(w), F.lit(0)).alias("n_seq"))
-    out, into = F.col("side") == "out", F.col("side") == "in"
-    return two.groupBy("tx_id").agg(
-        F.coalesce(F.max(F.when(out, (F.col("us") - F.col("last_in.us")) / 1e6)), F.lit(0.0)).alias("seconds_since_last_in"),
-        F.max(F.when(out, F.col("last_in").isNotNull().cast("int"))).alias("recent_flag"),
-        F.coalesce(F.max(F.when(out & (F.col("last_in.v") > 0), F.try_divide(F.col("v"), F.col("last_in.v")))), F.lit(0.0)).alias("current_to_last_in_amount_ratio"),
-        F.max(F.when(out, F.col("n_seq"))).alias("sequence_count"),
-        F.max(F.when(into, F.col("n_seq"))).alias("historical_sequence_count"),
-    )
+    """Inbound-then-outbound sequences: outbound rows with an inbound one in their window, and how many of those the window holds."""
+    whole = ("recent_flag", "sequence_count", "historical_sequence_count")
+    found = _account(tx, [("receiver" if m.startswith("hist") else "sender", m, width, m) for m in relations.PASS])
+    return found.select(*[F.col(c).cast("int" if c == "recent_flag" else "long").alias(c) if c in whole else F.col(c) for c in found.columns])
 
 
 def account_flow_sums(tx: DataFrame, widths: dict[str, int], received: str = "amount") -> DataFrame:
     """Sums that the sender's and the receiver's account sent and received before, per width (``name: microseconds``). One shuffle on accounts
     and one back, however many widths."""
-    e = account_events(tx, in_value=received)
-    sums = [(way, name, F.greatest(_zero(F.sum(F.when(F.col("side") == way, F.col("v"))).over(past("account", width))), F.lit(0.0))) for way in ("out", "in") for name, width in widths.items()]
-    f = e.select("tx_id", "side", *[c.alias(f"{way}_{name}") for way, name, c in sums])
-    roles = (("sender", "out"), ("receiver", "in"))
-    return f.groupBy("tx_id").agg(*[F.max(F.when(F.col("side") == s, F.col(f"{way}_{name}"))).alias(f"accountstats__{role}__{way}__amount__sum__w{name}") for role, s in roles for way, name, _ in sums])
+    return _account(tx, [(r, f"{way}_sum", width, f"accountstats__{r}__{way}__amount__sum__w{name}") for r in ("sender", "receiver") for way in ("out", "in") for name, width in widths.items()], received)
 
 
 def entity_sums(tx: DataFrame, width: int) -> DataFrame:
@@ -75,24 +55,11 @@ def entity_sums(tx: DataFrame, width: int) -> DataFrame:
 
 
 def pair_window(tx: DataFrame, width: int) -> DataFrame:
-    """History of (sender, receiver) and of its reverse, in one window over the unordered pair."""
-    x = tx.withColumn("amount", non_negative(F.col("amount"), "amount")).withColumn("lo", F.least("sender", "receiver")).withColumn("hi", F.greatest("sender", "receiver")).withColumn("up", F.col("sender") <= F.col("receiver"))
-    w = past(["lo", "hi"], width)
-
-    def both(agg, value):  # of the rows in one direction and in the other; a self loop is its own reverse
-        up, down = agg(F.when(F.col("up"), value)).over(w), agg(F.when(~F.col("up") | (F.col("lo") == F.col("hi")), value)).over(w)
-        return F.when(F.col("up"), up).otherwise(down), F.when(F.col("up"), down).otherwise(up)
-
-    n, rn = both(F.count, F.col("amount"))
-    total, rtotal = both(F.sum, F.col("amount"))
-    x = x.select("tx_id", "amount", n.alias("n"), rn.alias("rn"), _zero(total).alias("total"), _zero(rtotal).alias("rtotal"), both(F.stddev_samp, F.col("amount"))[0].alias("sd"), both(F.max, F.col("amount"))[0].alias("mx"))
-    mean = F.try_divide(F.col("total"), F.col("n"))
-    return x.select(
-        "tx_id", F.col("n").alias("forward_tx_count"), F.col("total").alias("forward_amount_sum"), _zero(mean).alias("forward_amount_mean"), _zero(F.col("sd")).alias("forward_amount_std"), _zero(F.col("mx")).alias("forward_amount_max"),
-        (F.col("rn") > 0).cast("int").alias("reverse_exists"), F.col("rn").alias("reverse_tx_count"), (F.col("total") - F.col("rtotal")).alias("net_amount_sumdiff"),
-        F.when(mean > 0, F.try_divide(F.col("amount"), mean)).otherwise(0.0).alias("current_vs_forward_mean_ratio"), (F.col("n") < 2).cast("int").alias("hist_lt2_flag"),
-        F.when(F.col("rtotal") > 0, F.try_divide(F.col("total"), F.col("rtotal"))).otherwise(0.0).alias("bidirectional_amount_ratio"),
-    )
+    """History of (sender, receiver) and of its reverse, from one stream over the unordered pair."""
+    names = {m: "hist_lt2_flag" if m.endswith("hist_lt2_flag") else "current_vs_forward_mean_ratio" if m == "current_vs_forward_mean_ratio" else m for m in relations.PAIR_METRICS if m != "reverse_amount_sum"}
+    whole = {"forward_tx_count": "long", "reverse_tx_count": "long", "reverse_exists": "int", "hist_lt2_flag": "int"}
+    found = relations.pair_windows(tx, "sender", "receiver", "amount", {n: (m, width) for m, n in names.items()}, tx)
+    return found.select("tx_id", *[F.col(n).cast(whole.get(n, "double")).alias(n) for n in names.values()])
 
 
 def pair_clip(pairs: DataFrame, tx: DataFrame, q: float = 0.999) -> DataFrame:
@@ -114,15 +81,9 @@ def pair_history(tx: DataFrame) -> DataFrame:
 
 
 def counterparties(tx: DataFrame, width: int, entity: str = "receiver", other: str = "sender") -> DataFrame:
-    """Distinct counterparties, their effective number and the share of the largest, over the entity's window."""
-    w = past(entity, width)
-    seen = F.collect_list(F.struct(F.col(other).alias("k"), F.col("amount").alias("v"))).over(w)
-    x = tx.select("tx_id", seen.alias("seen")).withColumn("keys", F.array_distinct(F.transform("seen", lambda s: s["k"])))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v)
-    sums = F.transform("keys", lambda k: total(F.transform(F.filter("seen", lambda s: s["k"] == k), lambda s: s["v"])))
-    x = x.withColumn("sums", sums).withColumn("all", total(F.col("sums")))
-    ok = F.col("all") > 0
-    return x.select(
-        "tx_id", F.size("keys").alias("nunique"), F.when(ok, F.try_divide(F.col("all") * F.col("all"), total(F.transform("sums", lambda v: v * v)))).otherwise(0.0).alias("effective_n"),
-        F.when(ok, F.least(F.greatest(F.try_divide(F.array_max("sums"), F.col("all")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("top1_share"),
-    )
+    """Distinct counterparties, their effective number and the share of the largest, over the entity's window. A negative amount is an error."""
+    window = {"window": f"{width // 1_000_000}s"}
+    at = {"entity": entity, "counterparty": other, "value": "amount"}
+    specs = [FeatureSpec(f"rolling_counterparty_{m}", m, at, window) for m in ("nunique", "effective_n", "top1_share")]
+    found = relations.entity_windows(tx, entity, specs, tx)
+    return found.select("tx_id", F.col("nunique").cast("int").alias("nunique"), "effective_n", "top1_share")

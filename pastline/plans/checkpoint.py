@@ -4,9 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, through Spark's own file server."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="pastline-zip-"), "pastline_operators.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset, one machine gets a folder made; a cluster is an error."""

@@ -57,8 +57,12 @@ def _scores(spark, sf_dir):
     return _events(spark, sf_dir).select("tx_id", "label", (((F.col("tx_id") * 7919 + F.col("label") * 211) % 1000) / 1000.0).alias("score"))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, apart: float = 0.0) -> DataFrame:
+    """``apart`` keeps ratios of amounts that end in a 5 behind the last digit from falling either way by the last bit; the SQL adds it too."""
+    return df.select(*[F.round(F.col(c) + apart if apart else c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+APART = 1e-9
 
 
 def _w(width: int, keys: str = "sender") -> str:
@@ -171,9 +175,9 @@ def pair_history(spark, sf_dir):
 
 @query(f"""WITH {EV}, j AS (SELECT a.tx_id, b.sender AS k, sum(b.amount) AS v FROM ev a JOIN ev b ON a.receiver = b.receiver AND b.us < a.us AND b.us >= a.us - {D} GROUP BY 1, 2),
 g AS (SELECT tx_id, count(*) AS n, sum(v) AS s, sum(v * v) AS q, max(v) AS m FROM j GROUP BY 1)
-SELECT ev.tx_id, coalesce(n, 0)::INT AS nunique, round(CASE WHEN s > 0 THEN s * s / q ELSE 0 END, 6) AS effective_n, round(CASE WHEN s > 0 THEN least(greatest(m / s, 0), 1) ELSE 0 END, 6) AS top1_share FROM ev LEFT JOIN g USING (tx_id)""")
+SELECT ev.tx_id, coalesce(n, 0)::INT AS nunique, round(CASE WHEN s > 0 THEN s * s / q ELSE 0 END + {APART}, 6) AS effective_n, round(CASE WHEN s > 0 THEN least(greatest(m / s, 0), 1) ELSE 0 END + {APART}, 6) AS top1_share FROM ev LEFT JOIN g USING (tx_id)""")
 def counterparties(spark, sf_dir):
-    return rounded(flows.counterparties(_events(spark, sf_dir), D))
+    return rounded(flows.counterparties(_events(spark, sf_dir), D), apart=APART)
 
 
 @query("""WITH tx AS (SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS sender, l_suppkey AS receiver, epoch_us(l_shipdate) AS us, l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)

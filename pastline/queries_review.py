@@ -11,7 +11,7 @@ from pastline.operators import flows, graph, model, review, validation
 from pastline.plans import catalog
 from pastline.plans.checkpoint import shared_dir
 from pastline.plans.compiler import build_features
-from pastline.queries import _COLS, _LONG, EV, FT, SC, SP, _events, _features, _h, _scores, _split, _w, query, rounded
+from pastline.queries import _COLS, _LONG, APART, EV, FT, SC, SP, _events, _features, _h, _scores, _split, _w, query, rounded
 from pastline.sources import files
 from pastline.specs import parse_window
 
@@ -128,19 +128,113 @@ def _stage_sql(specs) -> str:
             x = f"coalesce({v} / nullif(avg({v}) {_w(parse_window(s.params['window']), key)}, 0), 0)::DOUBLE"
         else:
             x = f"(count(*) {_h(key)})::INT"
-        out.append(f"{x if x.endswith('INT') else f'round({x}, 6)'} AS {s.output}")
+        out.append(f"{x if x.endswith('INT') else f'round({x} + {APART}, 6)'} AS {s.output}")
     return f"WITH {EV}, e2 AS (SELECT *, amount / 3.0 AS amount_received FROM ev) SELECT tx_id, us, {', '.join(out)} FROM e2"
 
 
+def _stage2_sql() -> str:
+    """Counterparty sums of all rows of the longest window once, then per width."""
+    ctes, columns = [], []
+    for r, entity, other, value in (("receiver", "receiver", "sender", "amount_received"), ("sender", "sender", "receiver", "amount")):
+        gap = {w: parse_window(w) for w in catalog.HISTORY_WINDOWS}
+        ctes.append(f"j_{r} AS (SELECT a.tx_id, b.{other} AS k, a.us - b.us AS gap, b.{value} AS v FROM e2 a JOIN e2 b ON a.{entity} = b.{entity} AND b.us < a.us AND b.us >= a.us - {7 * 86_400_000_000})")
+        ctes.append(f"g_{r} AS (SELECT tx_id, k, " + ", ".join(f"sum(v) FILTER (gap <= {x}) AS s{w}" for w, x in gap.items()) + f" FROM j_{r} GROUP BY 1, 2)")
+        ctes.append(f"h_{r} AS (SELECT tx_id, " + ", ".join(f"sum(s{w}) AS a{w}, sum(s{w} * s{w}) AS q{w}, max(s{w}) AS m{w}" for w in gap) + f" FROM g_{r} GROUP BY 1)")
+    for s in catalog.stage2():
+        w, entity = s.params["window"], s.inputs["entity"]
+        over = _w(parse_window(w), entity)
+        if s.operation == "rolling_counterparty_nunique":
+            x = f"(count(DISTINCT {s.inputs['counterparty']}) {over})::DOUBLE"
+        elif s.operation == "rolling_agg":
+            x = f"(count({s.inputs['value']}) {over})::DOUBLE"
+        elif s.operation == "rolling_counterparty_effective_n":
+            x = f"round(CASE WHEN h_{entity}.a{w} > 0 THEN h_{entity}.a{w} * h_{entity}.a{w} / h_{entity}.q{w} ELSE 0 END + {APART}, 6)"
+        else:
+            x = f"round(CASE WHEN h_{entity}.a{w} > 0 THEN least(h_{entity}.m{w} / h_{entity}.a{w}, 1) ELSE 0 END + {APART}, 6)"
+        columns.append(f"{x} AS {s.output}")
+    return f"WITH {EV}, e2 AS (SELECT *, amount / 3.0 AS amount_received FROM ev), {', '.join(ctes)} SELECT e2.tx_id, us, {', '.join(columns)} FROM e2 LEFT JOIN h_receiver ON h_receiver.tx_id = e2.tx_id LEFT JOIN h_sender ON h_sender.tx_id = e2.tx_id"
+
+
+@query(_stage2_sql())
+def stage2_features(spark, sf_dir):
+    """All 46 counterparty columns: two streams, one per account role."""
+    return rounded(build_features(_events(spark, sf_dir).withColumn("amount_received", F.col("amount") / 3), catalog.stage2()), apart=APART)
+
+
+def _stage3_sql() -> str:
+    widths = {w: parse_window(w) for w in catalog.HISTORY_WINDOWS}
+    parts = [f"{a} FILTER ({d} AND gap <= {x}) AS {d}_{n}{w}" for w, x in widths.items() for d in ("fwd", "rev") for n, a in (("n", "count(*)"), ("s", "sum(v)"), ("d", "stddev_samp(v)"), ("m", "max(v)"))]
+    names = {
+        "forward_tx_count": "coalesce(fwd_n{w}, 0)", "forward_amount_sum": "coalesce(fwd_s{w}, 0)", "forward_amount_mean": "coalesce(fwd_s{w} / nullif(fwd_n{w}, 0), 0)", "forward_amount_std": "coalesce(fwd_d{w}, 0)",
+        "forward_amount_max": "coalesce(fwd_m{w}, 0)", "reverse_exists": "coalesce((rev_n{w} > 0)::INT, 0)", "reverse_tx_count": "coalesce(rev_n{w}, 0)", "net_amount_sumdiff": "coalesce(fwd_s{w}, 0) - coalesce(rev_s{w}, 0)",
+        "current_vs_forward_mean_ratio": "CASE WHEN fwd_s{w} > 0 THEN amount / (fwd_s{w} / fwd_n{w}) ELSE 0 END", "current_vs_forward_mean_ratio_hist_lt2_flag": "(coalesce(fwd_n{w}, 0) < 2)::INT",
+        "bidirectional_amount_ratio": "CASE WHEN rev_s{w} > 0 THEN coalesce(fwd_s{w}, 0) / rev_s{w} ELSE 0 END",
+    }
+    pair = "sender, receiver"
+    past = {"seconds_since_last_tx": f"coalesce((us - max(us) {_h(pair)}) / 1e6, 0)", "is_new_pair": f"(count(*) {_h(pair)} = 0)::INT", "age_hours_since_first": f"coalesce((us - min(us) {_h(pair)}) / 3.6e9, 0)"}
+    columns = []
+    for s in catalog.stage3():
+        metric, w = s.params.get("metric"), s.params.get("window")
+        if s.operation == "pair_history":
+            x = past[metric]
+        elif s.operation == "current_self_loop":
+            x = "(sender = receiver)::INT"
+        elif s.operation == "bank_pair_history":
+            x = f"count(*) {_h('sender_bank, receiver_bank')}"
+        elif metric in names:
+            x = names[metric].format(w=w)
+        else:
+            x = f"CASE WHEN fwd_n{w} >= 2 THEN ln(1 + least({names['current_vs_forward_mean_ratio'].format(w=w)}, c{w})) ELSE 0 END"
+        columns.append(f"{x}::INT AS {s.output}" if s.operation == "current_self_loop" else f"round(({x})::DOUBLE + {APART}, 6) AS {s.output}")
+    caps = ", ".join(f"quantile_cont({names['current_vs_forward_mean_ratio'].format(w=w)}, 0.999) FILTER (split = 'train' AND fwd_n{w} >= 2) AS c{w}" for w in catalog.STABLE_WINDOWS)
+    return f"""WITH {SP}, j AS (SELECT a.tx_id, a.us - b.us AS gap, b.amount AS v, b.sender = a.sender AND b.receiver = a.receiver AS fwd, b.sender = a.receiver AND b.receiver = a.sender AS rev
+      FROM ev a JOIN ev b ON least(a.sender, a.receiver) = least(b.sender, b.receiver) AND greatest(a.sender, a.receiver) = greatest(b.sender, b.receiver) AND b.us < a.us AND b.us >= a.us - {7 * 86_400_000_000}),
+    g AS (SELECT tx_id, {", ".join(parts)} FROM j GROUP BY 1), x AS (SELECT t.*, g.* EXCLUDE (tx_id) FROM t LEFT JOIN g USING (tx_id)), c AS (SELECT {caps} FROM x) SELECT tx_id, us, {", ".join(columns)} FROM x, c"""
+
+
+@query(_stage3_sql())
+def stage3_features(spark, sf_dir):
+    """All 45 pair columns: one stream over unordered pairs, one window over directed ones, ranges of bank pairs, and one fit."""
+    return rounded(build_features(_split(spark, sf_dir), catalog.stage3()), apart=APART)
+
+
+def _stage4_sql() -> str:
+    widths = {w: parse_window(w) for w in catalog.HISTORY_WINDOWS}
+    over = {w: _w(x, "a") for w, x in widths.items()}
+    one = [f"greatest(coalesce(sum(v) FILTER (side = '{d}') {over[w]}, 0), 0) AS {d}{w}" for w in widths for d in ("in", "out")]
+    one += [f"max(us) FILTER (side = 'in') {over[w]} AS lu{w}, arg_max(v, us::HUGEINT * 100000000 + tx_id) FILTER (side = 'in') {over[w]} AS lv{w}" for w in widths]
+    two = [f"coalesce(sum((side = 'out' AND lu{w} IS NOT NULL)::INT) {over[w]}, 0) AS sq{w}" for w in widths]
+    gap = "abs({r}.in{w} - {r}.out{w}) / nullif({r}.in{w} + {r}.out{w}, 0)"
+    caps = ", ".join(f"quantile_cont({gap.format(r=r, w=w)}, 0.25) FILTER (split = 'train') AS {r}_{w}" for r in ("s", "r") for w in catalog.FLOW_WINDOWS)
+    columns = []
+    for f in catalog.stage4():
+        metric, w, r = f.params["metric"], f.params["window"], f.params["role"][0]
+        x = {
+            "in_out_ratio": f"CASE WHEN {r}.out{w} > 0 THEN {r}.in{w} / {r}.out{w} ELSE 0 END", "sumdiff": f"{r}.in{w} - {r}.out{w}", "residual_abs": f"abs({r}.in{w} - {r}.out{w})",
+            "balanced_state_flag": f"coalesce(({gap.format(r=r, w=w)} <= {r}_{w})::INT, 0)", "seconds_since_last_in": f"coalesce((s.us - s.lu{w}) / 1e6, 0)",
+            "current_to_last_in_amount_ratio": f"CASE WHEN s.lv{w} > 0 THEN s.v / s.lv{w} ELSE 0 END", "recent_flag": f"(s.lu{w} IS NOT NULL)::INT", "sequence_count": f"s.sq{w}", "historical_sequence_count": f"r.sq{w}",
+        }[metric]
+        columns.append(f"round(({x})::DOUBLE + {APART}, 6) AS {f.output}")
+    joined = "m s JOIN m r ON s.tx_id = r.tx_id AND s.side = 'out' AND r.side = 'in' JOIN t ON t.tx_id = s.tx_id"
+    return f"""WITH {SP}, e AS (SELECT tx_id, us, sender AS a, 'out' AS side, amount AS v FROM ev UNION ALL SELECT tx_id, us, receiver, 'in', amount FROM ev),
+    l AS (SELECT *, {", ".join(one)} FROM e), m AS (SELECT *, {", ".join(two)} FROM l), c AS (SELECT {caps} FROM {joined}) SELECT s.tx_id, s.us, {", ".join(columns)} FROM {joined}, c"""
+
+
+@query(_stage4_sql())
+def stage4_features(spark, sf_dir):
+    """All 48 flow columns: one stream over accounts' events, one exchange back, one fit of eight thresholds."""
+    return rounded(build_features(_split(spark, sf_dir), catalog.stage4()), apart=APART)
+
+
 @query(_stage_sql(catalog.stage0()))
 def stage0_features(spark, sf_dir):
     """All 62 columns of the first history stage: two shuffles, one per account role."""
-    return rounded(build_features(_events(spark, sf_dir).withColumn("amount_received", F.col("amount") / 3), catalog.stage0()))
+    return rounded(build_features(_events(spark, sf_dir).withColumn("amount_received", F.col("amount") / 3), catalog.stage0()), apart=APART)
 
 
 @query(_stage_sql(catalog.stage1_stats()))
 def stage1_stats(spark, sf_dir):
-    return rounded(build_features(_events(spark, sf_dir).withColumn("amount_received", F.col("amount") / 3), catalog.stage1_stats()))
+    return rounded(build_features(_events(spark, sf_dir).withColumn("amount_received", F.col("amount") / 3), catalog.stage1_stats()), apart=APART)
 
 
 def _flow_sql() -> str:
