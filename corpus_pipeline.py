@@ -21,17 +21,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes boilerplate lines out of the texts; every document stays, with ``n_chars`` counted again.
 
-    Equal texts count as one page, or no copy of a document that is on many sites would keep its text; the next stage judges copies.
+    Equal texts count as one page, or no copy of a document that is on many sites would keep its text; the next stage judges copies. Other
+    columns stay as they are, whatever their names.
     """
-    cleaned = linededup.remove_boilerplate(docs, distinct_texts=True)
-    return cleaned.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    cleaned = linededup.remove_boilerplate(rows, distinct_texts=True)
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cleaned.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
+    """One document of each group of near duplicates stays, the one with the least doc_id. Of rows with that id and the same text, one stays."""
     found = ngramjoin.near_duplicates(spark, docs)
     copies = store.few(spark, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    again = store.table(spark, docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    again = store.few(spark, again)
+    several = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
