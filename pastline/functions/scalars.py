@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,25 @@ def non_negative(x: Column, name: str) -> Column:
     return F.when(x < 0, F.raise_error(F.lit(f"{name} has a negative value"))).otherwise(x)
 
 
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+
+def hour_of(us: Column) -> Column:
+    """The hour of a time in microseconds, in UTC whatever the session's zone."""
+    return F.floor(F.pmod(us, F.lit(DAY)) / F.lit(HOUR)).cast("int")
+
+
+def date_of(us: Column) -> Column:
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / F.lit(DAY)).cast("int"))
+
+
+def micros(df: DataFrame, column: str) -> Column:
+    """A timestamp column in microseconds. One without a zone is in UTC, whatever the session's zone."""
+    if dict(df.dtypes)[column] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def to_usd(amount: Column, currency: Column, rates: dict[str, float]) -> Column:
     """``amount`` times its currency's rate, to four digits; null for a currency without one."""
     rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), currency)
@@ -54,8 +73,29 @@ def contract_bool(text: object) -> bool:
     return text == "TRUE"
 
 
-def stage_family(column: str) -> tuple[str, str]:
-    """A feature's family and what it measures, by the parts of its name."""
-    family = column.split("__")[0] if "__" in column else "base"
-    kinds = (("count", r"count|nunique|degree"), ("flag", r"flag|is_|exists"), ("ratio", r"ratio|share|gap"), ("time", r"recency|seconds|hours|hour|day"), ("amount", r"amount|sum|mean|std|max|min"))
-    return family, next((k for k, p in kinds if re.search(p, column)), "other")
+#: Parts of names and what they stand for, in order of precedence (fixed values).
+METRICS = (
+    ("ratio_or_rate", ("ratio", "rate", "pct")), ("amount_or_balance", ("amount", "sumdiff", "residual", "balance", "net_flow")), ("flag", ("flag", "exists")),
+    ("count_or_degree", ("count", "degree", "fan", "unique")), ("time_gap", ("seconds", "hours", "time_since", "age", "recency")),
+)
+FAMILIES = (
+    ("ML-05 Stage 4 flow-balance", ("flowbalance", "flow_balance")), ("ML-05 Stage 4 pass-through", ("passflow", "pass_through")), ("Stage 5 gather-scatter optional", ("gather", "scatter")),
+    ("Stage 5 2-hop optional", ("twohop", "two_hop", "2hop", "temporal_path")), ("Stage 5 cycle optional", ("cycle", "triad")), ("Stage 5 bipartite optional", ("bipartite", "component_density")),
+    ("Stage 5 train-only topology optional", ("topology", "pagerank", "centrality")), ("Stage 3 pair/reverse", ("pair", "reverse", "self_loop")), ("Stage 2 fan-in/fan-out", ("fanin", "fanout", "fan_in", "fan_out")),
+    ("Stage 0 time history", ("timehist", "recency", "time_history")), ("Stage 1 account stats", ("account", "acct")), ("carried-forward selected", ("carry_forward",)),
+)
+
+
+def metric_type(column: str) -> str:
+    """What a feature measures, by the parts of its name; a name that begins with ``is_`` is a flag."""
+    name = column.strip().lower()
+    return next((k for k, parts in METRICS if any(p in name for p in parts) or k == "flag" and name.startswith("is_")), "other")
+
+
+def stage_family(column: str, group: str = "", operation: str = "", spec: str = "", stage: str = "") -> tuple[str, str]:
+    """A feature's family, by its name and what its contract says of it, and what it measures."""
+    said = " ".join(x.strip().lower() for x in (column, group, operation, spec, stage))
+    family = next((k for k, parts in FAMILIES if any(p in said for p in parts)), None)
+    if family is None:
+        family = "carried-forward selected" if "parent" in group.lower() else "other selected feature"
+    return family, metric_type(column)

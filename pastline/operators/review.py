@@ -7,12 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pastline.functions.scalars import normal_tail
-from pastline.operators import stats
-from pastline.plans.ordered import numbered, quantiles, totals_before
-
-PAIRS = [("TP", "FP"), ("TP", "FN"), ("TP", "TN"), ("FP", "FN"), ("FP", "TN"), ("FN", "TN")]
-
+from pastline.functions.scalars import hour_of
+from pastline.operators import association, stats
+from pastline.plans.ordered import numbered, quantiles
 
 def cell_rates(df: DataFrame, columns: list[str], group: str = "label") -> DataFrame:
     """Per feature, group and split: rows, and the shares of missing, zero and nonzero values."""
@@ -31,7 +28,7 @@ def group_summary(df: DataFrame, value: str = "amount", group: str = "grp") -> D
 
 def hourly(tx: DataFrame) -> DataFrame:
     """Rows and share of positives by hour of day."""
-    return tx.groupBy(F.hour(F.timestamp_micros("us")).alias("hour")).agg(F.count("*").alias("n"), F.avg("label").alias("positive_rate"))
+    return tx.groupBy(hour_of(F.col("us")).alias("hour")).agg(F.count("*").alias("n"), F.avg("label").alias("positive_rate"))
 
 
 def quantiles_by(df: DataFrame, columns: list[str], group: str, at: list[float]) -> DataFrame:
@@ -79,13 +76,13 @@ def sliding_batches(spark: SparkSession, df: DataFrame, size: int, stride: int,
 
 
 def typed_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``feature, n_unique, kind``: a numeric column with more than five values is numeric, any other categorical."""
+    """``feature, n_unique, kind``: a numeric column with more than five values is numeric, any other categorical. Different values of all columns
+    are found in one grouped pass."""
     types = dict(df.dtypes)
-    numeric = [c for c in columns if types[c] not in ("string", "boolean")]
-    counted = df.agg(*[F.countDistinct(c).alias(c) for c in columns])
-    pairs = ", ".join(f"'{c}', `{c}`, {'true' if c in numeric else 'false'}" for c in columns)
-    out = counted.select(F.expr(f"stack({len(columns)}, {pairs}) as (feature, n_unique, number)"))
-    return out.select("feature", "n_unique", F.when(F.col("number") & (F.col("n_unique") > 5), "numeric").otherwise("categorical").alias("kind"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v"), F.lit(types[c] not in ("string", "boolean")).alias("number")) for c in columns])).alias("p")
+    values = df.select(each).select("p.*").groupBy("feature", "number", "v").agg(F.count("*").alias("n"))
+    found = values.groupBy("feature", "number").agg(F.count("v").alias("n_unique"))
+    return found.select("feature", "n_unique", F.when(F.col("number") & (F.col("n_unique") > 5), "numeric").otherwise("categorical").alias("kind"))
 
 
 def categorical_woe(df: DataFrame, column: str, alpha: float = 0.5) -> DataFrame:
@@ -109,47 +106,23 @@ def top_pairs(df: DataFrame, columns: list[str], k: int) -> DataFrame:
 
 def mixed_association(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """``a, b, measure, value`` of all pairs: Pearson of two numeric columns, Cramér's V of two categorical ones, else the correlation ratio."""
-    names, parts = list(kinds), []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            if kinds[a] == kinds[b] == "numeric":
-                row, measure, value = stats.correlations(df, [a, b]).select("r"), "pearson", "r"
-            elif kinds[a] == kinds[b]:
-                row, measure, value = stats.cramers_v(df, a, b), "cramers_v", "cramers_v"
-            else:
-                category, number = (a, b) if kinds[a] == "categorical" else (b, a)
-                row, measure, value = stats.correlation_ratio(df, category, number), "eta", "eta"
-            parts.append(row.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(measure).alias("measure"), F.col(value).alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+    return association.mixed(df, kinds)
 
 
 def review_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Features by the sum of five absolute indicators (nulls as 0): drift of signed log means and of nonzero rates, label separation of means
-    and of nonzero rates, and the share of missing values."""
-    missing = stats.long_form(df, columns, []).groupBy("feature").agg(F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"))
-    both = missing.join(stats.drift(df, columns), "feature").join(stats.label_separation(df, columns), "feature")
-    indicators = ("log_gap", "nonzero_gap", "smd", "nonzero_diff", "missing_rate")
+    """Features by the sum of five absolute indicators (nulls as 0): the share of zeros, drift of signed log means and of nonzero rates, label
+    separation of means and of nonzero rates."""
+    zero = stats.long_form(df, columns, []).groupBy("feature").agg(F.avg(F.coalesce(F.col("value") == 0, F.lit(False)).cast("int")).alias("zero_rate"))
+    both = zero.join(stats.drift(df, columns), "feature").join(stats.label_separation(df, columns), "feature")
+    indicators = ("zero_rate", "log_gap", "nonzero_gap", "smd", "nonzero_diff")
     score = reduce(lambda x, y: x + y, [F.abs(F.coalesce(F.col(c), F.lit(0.0))) for c in indicators])
     return both.select("feature", *indicators, score.alias("review_score"))
 
 
-def compare_groups(spark: SparkSession, df: DataFrame, value: str = "amount", group: str = "grp", least: int = 5) -> DataFrame:
-    """Mann-Whitney tests of all pairs of TP, FP, FN and TN with ``least`` rows or more each: U of the first group, rank-biserial effect,
-    two-sided p by the normal approximation, and p adjusted by Benjamini and Hochberg.
-
-    Equal values are summed per pair first; ranks then come from totals over ranges of (pair, value), so no task sorts a pair.
-    """
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(a).alias("first"), F.lit(b).alias("second")) for i, (a, b) in enumerate(PAIRS)])).alias("p")
-    x = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), sides).where((F.col("g") == F.col("p.first")) | (F.col("g") == F.col("p.second")))
-    counts = x.groupBy("p.pair", "p.first", "p.second", "v").agg(F.count("*").alias("n"), F.count_if(F.col("g") == F.col("p.first")).alias("k"))
-    before = totals_before(spark, counts, ["pair", "v"], {"below": F.col("n")})
-    start = F.broadcast(before.groupBy("pair").agg(F.min("below").alias("start")))  # six rows
-    r = before.join(start, "pair").withColumn("rank", F.col("below") - F.col("start") + (F.col("n") + 1) / 2)
-    s = r.groupBy("pair", "first", "second").agg(F.sum(F.col("rank") * F.col("k")).alias("r1"), F.sum("k").alias("n1"), F.sum(F.col("n") - F.col("k")).alias("n2"))
-    n1, n2 = F.col("n1"), F.col("n2")
-    u = s.where((n1 >= least) & (n2 >= least)).withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
-    z = (F.col("u") - n1 * n2 / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
-    p = u.select("first", "second", "n1", "n2", "u", (2 * F.col("u") / (n1 * n2) - 1).alias("rank_biserial"), normal_tail(z).alias("p"))
-    ranked = p.withColumn("m", F.count("*").over(Window.partitionBy())).withColumn("i", F.row_number().over(Window.orderBy("p", "first", "second")))  # six rows
-    worst = F.min(F.col("p") * F.col("m") / F.col("i")).over(Window.orderBy("i").rowsBetween(0, Window.unboundedFollowing))
-    return ranked.select("first", "second", "n1", "n2", "u", "rank_biserial", "p", F.least(worst, F.lit(1.0)).alias("p_adjusted"))
+def compare_groups(spark: SparkSession, df: DataFrame, columns: list[str], group: str = "grp", least: int = 5) -> DataFrame:
+    """Mann-Whitney tests of ``columns`` between all pairs of TP, FP, FN and TN with ``least`` values or more each: U of the first group,
+    rank-biserial effect, two-sided p, and p adjusted by Benjamini and Hochberg over the features of a pair."""
+    long = stats.long_form(df.withColumn("grp", F.col(group)), columns, ["grp"])
+    t = association.rank_tests(spark, long, ["TP", "FP", "FN", "TN"], association.PAIRS).where((F.col("n1") >= least) & (F.col("n2") >= least))
+    t = association.adjusted(t, ["first", "second"])
+    return t.select("first", "second", "feature", "n1", "n2", "u", (F.try_divide(2 * F.col("u"), F.col("n1") * F.col("n2")) - 1).alias("rank_biserial"), "p", "p_adjusted")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pastline.operators.association import correlations, cramers_pairs, eta_pairs, rank_tests  # noqa: F401  (correlations is one of these summaries)
 from pastline.plans.ordered import quantiles, totals_before
 
 
@@ -18,87 +19,109 @@ def label_pivot(tx: DataFrame) -> DataFrame:
 
 
 def time_bins(tx: DataFrame, unit: str = "day") -> DataFrame:
-    return tx.groupBy("split", F.unix_micros(F.date_trunc(unit, F.timestamp_micros("us"))).alias("bin_us")).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
+    """Rows and positives per split and hour or day (in UTC)."""
+    width = {"hour": 3_600_000_000, "day": 86_400_000_000}[unit]
+    return tx.groupBy("split", (F.col("us") - F.pmod("us", F.lit(width))).alias("bin_us")).agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """One row per source row and column: many columns are then summed in one pass and one shuffle."""
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    """One row per source row and column: many columns are then summed in one pass and one shuffle. NaN becomes null."""
+    pairs = ", ".join(f"'{c}', nullif(cast(`{c}` as double), double('NaN'))" for c in columns)
     return df.select(*keep, F.expr(f"stack({len(columns)}, {pairs}) as (feature, value)"))
 
 
+def finite(v: Column) -> Column:
+    """``v`` if it is a finite number, else null."""
+    return F.when(F.abs(v) < float("inf"), v)
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    v, bad = F.col("value"), F.isnan("value") | (F.abs("value") == float("inf"))
+    """Per feature: rows, missing (null or NaN), infinite and zero values, different values, and ``near_zero_variance``: no more than one of them.
+    The least, quartiles, mean and greatest are those of finite values."""
+    v = F.col("value")
     x = long_form(df, columns, [])
-    cuts = F.broadcast(quantiles(x, "value", [0.25, 0.5, 0.75], ["feature"]))  # a row per feature
+    cuts = F.broadcast(quantiles(x, finite(v), [0.25, 0.5, 0.75], ["feature"]))  # a row per feature
     return x.groupBy("feature").agg(
-        F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(v.isNotNull() & bad).alias("infinite"), F.count_if(v == 0).alias("zero"), F.countDistinct("value").alias("n_unique"),
-        F.min(v).alias("low"), F.avg(v).alias("mean"), F.max(v).alias("high"),
+        F.count("*").alias("n"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.abs(v) == float("inf")).alias("infinite"), F.count_if(v == 0).alias("zero"), F.countDistinct("value").alias("n_unique"),
+        F.min(finite(v)).alias("low"), F.avg(finite(v)).alias("mean"), F.max(finite(v)).alias("high"),
     ).join(cuts, "feature", "left").select(
-        "feature", "n", "missing", "infinite", "zero", "n_unique", "low", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("p75"), "high",
+        "feature", "n", "missing", "infinite", "zero", "n_unique", (F.col("n_unique") <= 1).cast("int").alias("near_zero_variance"), "low", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("p75"), "high",
     )
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Partial sums per feature for each split and for all (``split`` is ``all`` there)."""
-    v = F.col("value")
-    return long_form(df, columns, ["split"]).groupingSets([["feature", "split"], ["feature"]], "feature", "split").agg(
-        F.grouping("split").alias("g"), F.count("*").alias("n"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.count_if(v == 0).alias("zero"), F.count_if(v.isNull()).alias("missing")
-    ).select("feature", F.when(F.col("g") == 1, "all").otherwise(F.col("split")).alias("split"), "n", "total", "squares", "zero", "missing")
+    """Partial sums per feature for all rows, each split and each label (``part``: ``all``, ``split train``, ``label 1`` ...). Sums and zeros are of
+    finite values."""
+    v, ok = F.col("value"), finite(F.col("value"))
+    part = F.when(F.grouping("split") == 0, F.concat(F.lit("split "), F.coalesce(F.col("split"), F.lit("null")))).when(F.grouping("label") == 0, F.concat(F.lit("label "), F.coalesce(F.col("label").cast("string"), F.lit("null")))).otherwise("all")
+    return long_form(df, columns, ["split", "label"]).groupingSets([["feature", "split"], ["feature", "label"], ["feature"]], "feature", "split", "label").agg(
+        part.alias("part"), F.count("*").alias("n"), F.sum(ok).alias("total"), F.sum(ok * ok).alias("squares"), F.count_if(ok == 0).alias("zero"), F.count_if(ok != 0).alias("nonzero"), F.count_if(v.isNull()).alias("missing"), F.count_if(F.abs(v) == float("inf")).alias("infinite"),
+    ).select("feature", "part", "n", "total", "squares", "zero", "nonzero", "missing", "infinite")
 
 
 def signed_log1p(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 
 
+def _clean() -> Column:
+    """Values as they enter means and rates over all rows: what isn't finite is 0."""
+    return F.coalesce(finite(F.col("value")), F.lit(0.0))
+
+
 def drift(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Means by split, ratios against train, the largest gap of signed log1p means and of nonzero rates."""
+    """Means by split, ratios against train, the largest gap of signed log1p means against train, and the range of nonzero rates. Missing and
+    infinite values are 0 in them, over all rows of a split; splits without rows count for no gap."""
+    v, splits = _clean(), ("train", "val", "test")
     m = long_form(df, columns, ["split"]).groupBy("feature").agg(
-        *[F.avg(F.when(F.col("split") == s, F.col("value"))).alias(f"mean_{s}") for s in ("train", "val", "test")],
-        *[F.avg(F.when(F.col("split") == s, (F.col("value") != 0).cast("int"))).alias(f"nz_{s}") for s in ("train", "val", "test")],
+        *[F.avg(F.when(F.col("split") == s, v)).alias(f"mean_{s}") for s in splits],
+        *[F.avg(F.when(F.col("split") == s, (v != 0).cast("int"))).alias(f"nz_{s}") for s in splits],
     )
-    gap = lambda f: F.greatest(F.abs(f("val") - f("train")), F.abs(f("test") - f("train")))
+    log = {s: signed_log1p(F.col(f"mean_{s}")) for s in splits}
+    rates = [F.col(f"nz_{s}") for s in splits]
     return m.select(
         "feature", "mean_train", "mean_val", "mean_test", F.try_divide("mean_val", "mean_train").alias("val_ratio"), F.try_divide("mean_test", "mean_train").alias("test_ratio"),
-        gap(lambda s: signed_log1p(F.col(f"mean_{s}"))).alias("log_gap"), gap(lambda s: F.col(f"nz_{s}")).alias("nonzero_gap"),
+        F.greatest(*[F.abs(log[s] - log["train"]) for s in splits]).alias("log_gap"), (F.greatest(*rates) - F.least(*rates)).alias("nonzero_gap"),
     )
 
 
 def label_separation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Means by label, their standardised difference and that of nonzero rates. Missing and infinite values are 0 in them."""
     pick = lambda l, x: F.when(F.col("label") == l, x)  # noqa: E731, E741
-    v, nz = F.col("value"), (F.col("value") != 0).cast("int")
+    v, nz = _clean(), (_clean() != 0).cast("int")
     g = long_form(df, columns, ["label"]).groupBy("feature").agg(*[f(pick(k, x)).alias(f"{n}{k}") for k in (0, 1) for n, f, x in (("mean", F.avg, v), ("var", F.var_pop, v), ("nz", F.avg, nz))])
     return g.select("feature", "mean0", "mean1", F.try_divide(F.col("mean1") - F.col("mean0"), F.sqrt((F.col("var0") + F.col("var1")) / 2)).alias("smd"), (F.col("nz1") - F.col("nz0")).alias("nonzero_diff"))
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Population correlations of all pairs (nulls as 0; 0 without variance), from one pass of sums."""
-    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.corr(x[a], x[b]), F.lit(0.0)).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
-
-
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
-    """From the contingency table's present cells alone."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
-    both = cells.join(cells.groupBy("a").agg(F.sum("o").alias("ra")), "a").join(cells.groupBy("b").agg(F.sum("o").alias("cb")), "b")
-    s = both.agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("q"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
-    k = F.least("r", "c") - 1
-    return s.select(F.when(k > 0, F.sqrt(F.least(F.greatest((F.col("q") - 1) / k, F.lit(0.0)), F.lit(1.0)))).otherwise(0.0).alias("cramers_v"))
+    """From the contingency table's present cells alone; no row without any."""
+    return cramers_pairs(df, [a, b]).select(F.col("value").alias("cramers_v"))
 
 
 def correlation_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
-    g = df.groupBy(category).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    s = g.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("n") * F.col("v")).alias("within"))
-    between = F.col("mm") - F.col("n") * F.col("grand") * F.col("grand")
-    return s.select(F.sqrt(F.least(F.greatest(F.coalesce(F.try_divide(between, between + F.col("within")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).alias("eta"))
+    """Rows without a category or a value don't count."""
+    return eta_pairs(df, [category], [value]).select(F.col("value").alias("eta"))
+
+
+def _few_edges(x: DataFrame, bins: int) -> DataFrame:
+    """``feature, q``: quantiles of features with fewer than ``bins`` different values, at as many steps as they have values. Spark's own
+    percentile holds no more than those few."""
+    v = finite(F.col("value"))
+    sizes = x.groupBy("feature").agg(F.countDistinct(v).alias("_u")).where((F.col("_u") >= 2) & (F.col("_u") < bins))
+    shares = [[k / q for k in range(q + 1)] for q in range(2, bins)]
+    found = x.join(F.broadcast(sizes), "feature").groupBy("feature", "_u").agg(F.percentile(v, F.array(*[F.lit(s) for part in shares for s in part])).alias("_all"))
+    starts = [sum(len(p) for p in shares[:k]) + 1 for k in range(len(shares))]
+    return found.select("feature", F.slice("_all", F.element_at(F.array(*map(F.lit, starts)), F.col("_u").cast("int") - 1), F.col("_u").cast("int") + 1).alias("q"))
 
 
 def woe_iv(df: DataFrame, columns: list[str], bins: int = 10, alpha: float = 0.5) -> DataFrame:
-    """Per feature and quantile bin: counts, smoothed WOE and IV. Repeated edges merge; edges belong to the lower bin."""
+    """Per feature and quantile bin: counts, smoothed WOE and IV. A feature has as many bins as different finite values, ``bins`` at most; repeated
+    edges merge and belong to the lower bin. Null and NaN are bin -1, infinities in the outer bins. Features with fewer than three edges have no
+    rows."""
     x = long_form(df, columns, ["label"])
-    edges = quantiles(x, "value", [k / bins for k in range(bins + 1)], ["feature"]).select("feature", F.array_distinct("q").alias("e")).withColumn("inner", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))))
+    many = quantiles(x, finite(F.col("value")), [k / bins for k in range(bins + 1)], ["feature"])
+    few = _few_edges(x, bins)
+    q = many.join(few.withColumnRenamed("q", "few"), "feature", "left").select("feature", F.coalesce("few", "q").alias("q"))
+    edges = q.select("feature", F.array_distinct("q").alias("e")).withColumn("inner", F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))))
     kept = F.broadcast(edges.where(F.size("e") >= 3).select("feature", "inner"))  # a row per feature
     binned = x.join(kept, "feature").withColumn("bin", F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter("inner", lambda e: e < F.col("value")))))
     g = binned.groupBy("feature", "bin").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
@@ -156,14 +179,11 @@ def score_histogram(scores: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def mann_whitney(spark: SparkSession, df: DataFrame, value: str = "value", group: str = "label") -> DataFrame:
-    """U of group 1 against group 0 with average ranks, the rank-biserial effect and a normal approximation of z. Equal values are counted
-    first, and ranks come from totals over ranges of values."""
-    g = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), F.sum(group).alias("k"))
-    r = totals_before(spark, g, ["v"], {"below": F.col("n")}).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
-    s = r.agg(F.sum(F.col("rank") * F.col("k")).alias("r1"), F.sum("k").alias("n1"), F.sum(F.col("n") - F.col("k")).alias("n0"))
-    u = s.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
-    n0, n1 = F.col("n0"), F.col("n1")
-    return u.select("u", "n0", "n1", (2 * F.col("u") / (n0 * n1) - 1).alias("rank_biserial"), ((F.col("u") - n0 * n1 / 2) / F.sqrt(n0 * n1 * (n0 + n1 + 1) / 12)).alias("z"))
+    """U of group 1 against group 0 with average ranks, the rank-biserial effect, and z and p by the normal approximation with ties corrected.
+    Null and NaN values don't count."""
+    long = df.select(F.lit(value).alias("feature"), F.col(value).cast("double").alias("value"), F.when(F.col(group) == 1, "1").when(F.col(group) == 0, "0").alias("grp"))
+    t = rank_tests(spark, long, ["1", "0"], [("1", "0")])
+    return t.select("u", F.col("n2").alias("n0"), "n1", (F.try_divide(2 * F.col("u"), F.col("n1") * F.col("n2")) - 1).alias("rank_biserial"), "z", "p")
 
 
 def keep_levels(df: DataFrame, column: str, top: int = 50, least: int = 100) -> DataFrame:

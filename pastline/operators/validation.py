@@ -115,8 +115,9 @@ def preview_checks(parts: dict[str, DataFrame], summary: DataFrame) -> DataFrame
 
 
 def attach_split(tx: DataFrame, source: DataFrame) -> DataFrame:
-    """``tx`` with the ``split`` of ``source`` by ``tx_id`` (its least split if it has several rows); a row without one is an error when read."""
-    one = source.groupBy("tx_id").agg(F.min("split").alias("split"))
+    """``tx`` with the ``split`` of ``source`` by ``tx_id``. A row without one, or with several that differ, is an error when read."""
+    differ = F.raise_error(F.concat(F.lit("several splits of "), F.col("tx_id").cast("string"))).cast("string")
+    one = source.groupBy("tx_id").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).select("tx_id", F.when(F.col("lo") != F.col("hi"), differ).otherwise(F.col("lo")).alias("split"))
     joined = tx.join(one, "tx_id", "left")
     return joined.withColumn("split", F.coalesce("split", F.raise_error(F.lit("a transaction has no split"))))
 

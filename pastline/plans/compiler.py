@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastline.functions.scalars import date_of, hour_of
 from pastline.operators.fitted import quantiles_of_train
 from pastline.plans import relations as R
 from pastline.plans.checkpoint import table
@@ -41,8 +42,10 @@ def _log1p(s: FeatureSpec) -> Column:
 
 
 def _part(s: FeatureSpec) -> Column:
-    t = F.timestamp_micros("us")
-    parts = {"hour": F.hour(t), "dayofweek": F.weekday(t), "is_weekend": (F.weekday(t) >= 5).cast("int"), "day": F.dayofmonth(t), "month": F.month(t)}
+    """Parts of the time in UTC, whatever the session's zone."""
+    day = date_of(F.col("us"))
+    weekday = F.weekday(day)
+    parts = {"hour": hour_of(F.col("us")), "dayofweek": weekday, "is_weekend": (weekday >= 5).cast("int"), "day": F.dayofmonth(day), "month": F.month(day)}
     name = str(s.params.get("part"))
     if name not in parts:
         raise SpecError(f"{s.output!r}: unknown part {name!r}")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastline.operators import fitted, flows, graph, split, stats
+from pastline.functions.scalars import date_of, hour_of
+from pastline.operators import association, fitted, flows, graph, split, stats
 from pastline.plans.compiler import build_features
 from pastline.sources import tables
 from pastline.specs import FeatureSpec, parse_window
@@ -25,6 +26,9 @@ t AS (SELECT ev.*, CASE WHEN us <= b1 THEN 'train' WHEN us <= b2 THEN 'val' ELSE
 #: A feature table for the statistics: amount, hour and a rolling count, with split and label.
 FT = SP + f""", f AS (SELECT tx_id, split, label, fmt, amount, hour(make_timestamp(us))::DOUBLE AS hour,
   (count(*) OVER (PARTITION BY sender ORDER BY us RANGE BETWEEN {D} PRECEDING AND 1 PRECEDING))::DOUBLE AS n_1d, round(amount / 10)::DOUBLE AS coarse FROM t)"""
+#: The same with columns that have nulls, NaN, infinities and ties: ``dirty``, one of four values (``few``), one value (``same``), and ``kind`` with nulls.
+DT = FT + """, d AS (SELECT f.*, CASE tx_id % 23 WHEN 0 THEN NULL WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN '-inf'::DOUBLE ELSE coarse END AS dirty,
+  CASE WHEN tx_id % 11 = 0 THEN NULL ELSE (1 + tx_id % 4)::DOUBLE END AS few, 3.0::DOUBLE AS same, CASE WHEN tx_id % 13 > 0 THEN fmt END AS kind FROM f)"""
 #: Scores between 0 and 1 with many ties.
 SC = EV + ", s AS (SELECT tx_id, label, ((tx_id * 7919 + label * 211) % 1000) / 1000.0::DOUBLE AS score FROM ev)"
 
@@ -48,11 +52,18 @@ def _split(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    tx = _split(spark, sf_dir).withColumn("hour", F.hour(F.timestamp_micros("us")).cast("double"))
+    tx = _split(spark, sf_dir).withColumn("hour", hour_of(F.col("us")).cast("double"))
     n = FeatureSpec("rolling_agg", "n_1d", {"entity": "sender", "value": "amount"}, {"window": "1d", "agg": "count"})
     return build_features(tx, [n], ("tx_id", "split", "label", "fmt", "amount", "hour")).withColumn("coarse", F.round(F.col("amount") / 10).cast("double"))
 
 
+def _dirty(spark, sf_dir):
+    k, f = F.col("tx_id") % 23, _features(spark, sf_dir)
+    dirty = F.when(k == 0, None).when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 3, -float("inf")).otherwise(F.col("coarse"))
+    few = F.when(F.col("tx_id") % 11 > 0, (1 + F.col("tx_id") % 4).cast("double"))
+    return f.withColumns({"dirty": dirty, "few": few, "same": F.lit(3.0), "kind": F.when(F.col("tx_id") % 13 > 0, F.col("fmt"))})
+
+
 def _scores(spark, sf_dir):
     return _events(spark, sf_dir).select("tx_id", "label", (((F.col("tx_id") * 7919 + F.col("label") * 211) % 1000) / 1000.0).alias("score"))
 
@@ -111,7 +122,7 @@ def current_row(spark, sf_dir):
 @query(f"WITH {EV} SELECT tx_id, CASE WHEN amount > 0 THEN round(ln(1 + amount), 6) ELSE 0 END AS amount_log1p, isodow(make_timestamp(us))::INT AS weekday, (isodow(make_timestamp(us)) >= 5)::INT AS weekend FROM ev")
 def edge_features(spark, sf_dir):
     """The graph's own rules: ISO weekdays from 1, and a weekend that begins on Friday."""
-    day = F.weekday(F.timestamp_micros("us")) + 1
+    day = F.weekday(date_of(F.col("us"))) + 1
     return rounded(_events(spark, sf_dir).select("tx_id", F.when(F.col("amount") > 0, F.log1p("amount")).otherwise(0.0).alias("amount_log1p"), day.alias("weekday"), (day >= 5).cast("int").alias("weekend")))
 
 
@@ -245,60 +256,101 @@ def time_bins(spark, sf_dir):
     return stats.time_bins(_split(spark, sf_dir))
 
 
-_LONG = FT + ", l AS (" + " UNION ALL ".join(f"SELECT tx_id, split, label, '{c}' AS feature, {c} AS value FROM f" for c in ("amount", "hour", "n_1d")) + ")"
 _COLS = ["amount", "hour", "n_1d"]
+_MESS = [*_COLS, "dirty", "few", "same"]
+_LONG = FT + ", l AS (" + " UNION ALL ".join(f"SELECT tx_id, split, label, '{c}' AS feature, {c} AS value FROM f" for c in _COLS) + ")"
+#: Long form of the dirty columns: NaN is missing; ``fin`` is the value if it is finite, ``v0`` 0 where it isn't.
+_DLONG = DT + ", l AS (SELECT *, CASE WHEN isfinite(value) THEN value END AS fin, CASE WHEN isfinite(value) THEN value ELSE 0 END AS v0 FROM (SELECT tx_id, split, label, grp, feature, CASE WHEN isnan(value) THEN NULL ELSE value END AS value FROM (" + " UNION ALL ".join(
+    f"SELECT tx_id, split, label, CASE WHEN (tx_id * 7919 + label * 211) % 1000 >= 500 THEN CASE WHEN label = 1 THEN 'TP' ELSE 'FP' END WHEN label = 1 THEN 'FN' ELSE 'TN' END AS grp, '{c}' AS feature, {c} AS value FROM d" for c in _MESS
+) + ")))"
 
 
-@query(f"""WITH {_LONG} SELECT feature, count(*) AS n, 0::BIGINT AS missing, 0::BIGINT AS infinite, count(*) FILTER (value = 0) AS zero, count(DISTINCT value) AS n_unique, round(min(value), 6) AS low, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS median,
-  round(avg(value), 6) AS mean, round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS high FROM l GROUP BY feature""")
+@query(f"""WITH {_DLONG} SELECT feature, count(*) AS n, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (isinf(value)) AS infinite, count(*) FILTER (value = 0) AS zero, count(DISTINCT value) AS n_unique, (count(DISTINCT value) <= 1)::INT AS near_zero_variance,
+  round(min(fin), 6) AS low, round(quantile_cont(fin, 0.25), 6) AS p25, round(quantile_cont(fin, 0.5), 6) AS median, round(avg(fin), 6) AS mean, round(quantile_cont(fin, 0.75), 6) AS p75, round(max(fin), 6) AS high FROM l GROUP BY feature""")
 def feature_profile(spark, sf_dir):
-    return rounded(stats.profile(_features(spark, sf_dir), _COLS))
+    return rounded(stats.profile(_dirty(spark, sf_dir), _MESS))
 
 
-@query(f"WITH {_LONG} SELECT feature, coalesce(split, 'all') AS split, count(*) AS n, round(sum(value), 3) AS total, round(sum(value * value), 1) AS squares, count(*) FILTER (value = 0) AS zero, 0::BIGINT AS missing FROM l GROUP BY GROUPING SETS ((feature, split), (feature))")
+@query(f"""WITH {_DLONG}, p AS (SELECT *, 'all' AS part FROM l UNION ALL SELECT *, 'split ' || split FROM l UNION ALL SELECT *, 'label ' || label FROM l)
+SELECT feature, part, count(*) AS n, round(sum(fin), 3) AS total, round(sum(fin * fin), 1) AS squares, count(*) FILTER (fin = 0) AS zero, count(*) FILTER (fin <> 0) AS nonzero, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (isinf(value)) AS infinite FROM p GROUP BY 1, 2""")
 def partial_sums(spark, sf_dir):
-    m = stats.moments(_features(spark, sf_dir), _COLS)
+    m = stats.moments(_dirty(spark, sf_dir), _MESS)
     return m.withColumn("total", F.round("total", 3)).withColumn("squares", F.round("squares", 1))
 
 
 _SL = "(sign({0}) * ln(1 + abs({0})))"
 
 
-@query(f"""WITH {_LONG}, m AS (SELECT feature, {", ".join(f"avg(value) FILTER (split = '{s}') AS {s}, avg((value <> 0)::INT) FILTER (split = '{s}') AS nz_{s}" for s in ("train", "val", "test"))} FROM l GROUP BY feature)
+@query(f"""WITH {_DLONG}, m AS (SELECT feature, {", ".join(f"avg(v0) FILTER (split = '{s}') AS {s}, avg((v0 <> 0)::INT) FILTER (split = '{s}') AS nz_{s}" for s in ("train", "val", "test"))} FROM l GROUP BY feature)
 SELECT feature, round(train, 6) AS mean_train, round(val, 6) AS mean_val, round(test, 6) AS mean_test, round(val / nullif(train, 0), 6) AS val_ratio, round(test / nullif(train, 0), 6) AS test_ratio,
-  round(greatest(abs({_SL.format("val")} - {_SL.format("train")}), abs({_SL.format("test")} - {_SL.format("train")})), 6) AS log_gap, round(greatest(abs(nz_val - nz_train), abs(nz_test - nz_train)), 6) AS nonzero_gap FROM m""")
+  round(greatest(abs({_SL.format("val")} - {_SL.format("train")}), abs({_SL.format("test")} - {_SL.format("train")})), 6) AS log_gap, round(greatest(nz_val, nz_train, nz_test) - least(nz_val, nz_train, nz_test), 6) AS nonzero_gap FROM m""")
 def split_drift(spark, sf_dir):
-    return rounded(stats.drift(_features(spark, sf_dir), _COLS))
+    return rounded(stats.drift(_dirty(spark, sf_dir), _MESS))
 
 
-@query(f"""WITH {_LONG}, m AS (SELECT feature, {", ".join(f"avg(value) FILTER (label = {k}) AS m{k}, var_pop(value) FILTER (label = {k}) AS v{k}, avg((value <> 0)::INT) FILTER (label = {k}) AS z{k}" for k in (0, 1))} FROM l GROUP BY feature)
-SELECT feature, round(m0, 6) AS mean0, round(m1, 6) AS mean1, round((m1 - m0) / nullif(sqrt((v0 + v1) / 2), 0), 6) AS smd, round(z1 - z0, 6) AS nonzero_diff FROM m""")
+@query(f"""WITH {_DLONG}, m AS (SELECT feature, {", ".join(f"avg(v0) FILTER (label = {k}) AS m{k}, var_pop(v0) FILTER (label = {k}) AS v{k}, avg((v0 <> 0)::INT) FILTER (label = {k}) AS z{k}" for k in (0, 1))} FROM l GROUP BY feature)
+SELECT feature, round(m0, 6) AS mean0, round(m1, 6) AS mean1, round((m1 - m0) / nullif(sqrt((v0 + v1) / 2), 0), 6) + 0.0::DOUBLE AS smd, round(z1 - z0, 6) + 0.0::DOUBLE AS nonzero_diff FROM m""")
 def label_separation(spark, sf_dir):
-    return rounded(stats.label_separation(_features(spark, sf_dir), _COLS))
+    return rounded(stats.label_separation(_dirty(spark, sf_dir), _MESS)).withColumns({c: F.col(c) + 0.0 for c in ("smd", "nonzero_diff")})
+
+
+_PAIRED = [(a, b) for i, a in enumerate(_MESS) for b in _MESS[i + 1 :]]
+_ZERO = "CASE WHEN isfinite({0}) THEN {0} ELSE 0 END"
+
 
+def _corr_sql(clean, empty: str) -> str:
+    parts = [f"SELECT '{a}' AS a, '{b}' AS b, {clean(a, b)} AS r FROM d" for a, b in _PAIRED]
+    return f"WITH {DT} SELECT a, b, round({empty}, 6) + 0.0::DOUBLE AS r FROM (" + " UNION ALL ".join(parts) + ")"
 
-@query(f"WITH {FT} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM f" for a, b in (("amount", "hour"), ("amount", "n_1d"), ("hour", "n_1d"))) + ")")
+
+@query(_corr_sql(lambda a, b: f"CASE WHEN var_pop({_ZERO.format(a)}) > 0 AND var_pop({_ZERO.format(b)}) > 0 THEN corr({_ZERO.format(a)}, {_ZERO.format(b)}) END", "coalesce(r, 0)"))
 def correlation_matrix(spark, sf_dir):
-    return rounded(stats.correlations(_features(spark, sf_dir), _COLS))
+    """All pairs from one scan; what isn't finite is 0, a column of one value correlates with nothing."""
+    return rounded(stats.correlations(_dirty(spark, sf_dir), _MESS)).withColumn("r", F.col("r") + 0.0)
+
+
+def _pairwise(a: str, b: str) -> str:
+    both = f"NOT coalesce(isnan({a}), true) AND NOT coalesce(isnan({b}), true)"
+    x, y = (_ZERO.format(c) for c in (a, b))
+    return f"CASE WHEN count(*) FILTER ({both} AND (isinf({a}) OR isinf({b}))) = 0 AND var_pop({x}) FILTER ({both}) > 0 AND var_pop({y}) FILTER ({both}) > 0 THEN corr({x}, {y}) FILTER ({both}) END"
+
+
+@query(_corr_sql(_pairwise, "r"))
+def pearson_pairs(spark, sf_dir):
+    """Over the rows that have both values; a pair with an infinity has none."""
+    return rounded(association.pearson(_dirty(spark, sf_dir), _MESS)).withColumn("r", F.col("r") + 0.0)
 
 
-@query(f"""WITH {FT}, c AS (SELECT fmt AS a, hour AS b, count(*) AS o FROM f GROUP BY 1, 2), r AS (SELECT a, sum(o) AS ra FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS cb FROM c GROUP BY 1)
-SELECT round(sqrt(least(greatest((sum(o * o / (ra * cb)) - 1) / (least(count(DISTINCT a), count(DISTINCT b)) - 1), 0), 1)), 6) AS cramers_v FROM c JOIN r USING (a) JOIN k USING (b)""")
+_CRAMER = "SELECT round(sqrt(least(greatest((sum(o * o / (ra * cb)) - 1) / (least(count(DISTINCT a), count(DISTINCT b)) - 1), 0), 1)), 6) AS cramers_v FROM c JOIN r USING (a) JOIN k USING (b)"
+
+
+@query(f"""WITH {DT}, c AS (SELECT kind AS a, hour AS b, count(*) AS o FROM d WHERE kind IS NOT NULL AND hour IS NOT NULL GROUP BY 1, 2), r AS (SELECT a, sum(o) AS ra FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS cb FROM c GROUP BY 1) {_CRAMER}""")
 def cramers_v(spark, sf_dir):
-    return rounded(stats.cramers_v(_features(spark, sf_dir), "fmt", "hour"))
+    return rounded(stats.cramers_v(_dirty(spark, sf_dir), "kind", "hour"))
+
 
+def _eta(category: str, value: str) -> str:
+    rows = f"(SELECT {category} AS k, {value} AS v FROM d WHERE {category} IS NOT NULL AND NOT coalesce(isnan({value}), true))"
+    return f"(SELECT round(sqrt(sum(n * (m - mu) * (m - mu)) / max(sst)), 6) FROM (SELECT k, count(*) AS n, avg(v) AS m FROM {rows} GROUP BY k), (SELECT avg(v) AS mu, var_pop(v) * count(*) AS sst FROM {rows}))"
 
-@query(f"WITH {FT}, g AS (SELECT fmt, count(*) AS n, avg(amount) AS m FROM f GROUP BY fmt), a AS (SELECT avg(amount) AS mu, var_pop(amount) * count(*) AS sst FROM f) SELECT round(sqrt(sum(n * (m - mu) * (m - mu)) / max(sst)), 6) AS eta FROM g, a")
+
+@query(f"WITH {DT} SELECT {_eta('kind', 'few')} AS eta")
 def correlation_ratio(spark, sf_dir):
-    return rounded(stats.correlation_ratio(_features(spark, sf_dir), "fmt", "amount"))
+    return rounded(stats.correlation_ratio(_dirty(spark, sf_dir), "kind", "few"))
+
 
+def _woe_sql(final: str) -> str:
+    """As many bins as different finite values, ten at most."""
+    edges = ", ".join(f"list_sort(list_distinct(quantile_cont(fin, {[k / q for k in range(q + 1)]}))) AS e{q}" for q in range(2, 11))
+    pick = "CASE least(u, 10) " + " ".join(f"WHEN {q} THEN e{q}" for q in range(2, 11)) + " END"
+    return f"""WITH {_DLONG}, e AS (SELECT feature, count(DISTINCT fin) AS u, {edges} FROM l GROUP BY feature), i0 AS (SELECT feature, {pick} AS e FROM e), i AS (SELECT feature, e[2:-2] AS e FROM i0 WHERE len(e) >= 3),
+b AS (SELECT feature, label, CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(e, lambda x: x < value)) END AS bin FROM l JOIN i USING (feature)), g AS (SELECT feature, bin::INT AS bin, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM b GROUP BY 1, 2),
+h AS (SELECT *, (pos + 0.5) / (sum(pos) OVER w + 0.5 * count(*) OVER w) AS pd, (neg + 0.5) / (sum(neg) OVER w + 0.5 * count(*) OVER w) AS nd FROM g WINDOW w AS (PARTITION BY feature)) {final}"""
 
-@query(f"""WITH {_LONG}, e AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {[k / 10 for k in range(11)]}))) AS e FROM l GROUP BY feature), i AS (SELECT feature, e[2:-2] AS e FROM e WHERE len(e) >= 3),
-b AS (SELECT feature, label, len(list_filter(e, lambda x: x < value)) AS bin FROM l JOIN i USING (feature)), g AS (SELECT feature, bin::INT AS bin, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM b GROUP BY 1, 2),
-h AS (SELECT *, (pos + 0.5) / (sum(pos) OVER w + 0.5 * count(*) OVER w) AS pd, (neg + 0.5) / (sum(neg) OVER w + 0.5 * count(*) OVER w) AS nd FROM g WINDOW w AS (PARTITION BY feature))
-SELECT feature, bin, pos, neg, round(ln(pd / nd), 6) AS woe, round((pd - nd) * ln(pd / nd), 6) AS iv FROM h""")
+
+@query(_woe_sql("SELECT feature, bin, pos, neg, round(ln(pd / nd), 6) + 0.0::DOUBLE AS woe, round((pd - nd) * ln(pd / nd), 6) AS iv FROM h"))
 def woe_iv(spark, sf_dir):
-    return rounded(stats.woe_iv(_features(spark, sf_dir), _COLS))
+    return rounded(stats.woe_iv(_dirty(spark, sf_dir), _MESS)).withColumn("woe", F.col("woe") + 0.0)
 
 
 @query(f"WITH {SC}, g AS (SELECT score, count(*) AS n, sum(label) AS p FROM s GROUP BY score), c AS (SELECT score, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER () AS a FROM g WINDOW w AS (ORDER BY score DESC)) SELECT score AS threshold, round(cp / cn, 6) AS precision, round(cp / a, 6) AS recall, round(2 * cp / (cn + a), 6) AS f1 FROM c ORDER BY 2 * cp / (cn + a) DESC, score LIMIT 1")
@@ -328,10 +380,22 @@ def score_histogram(spark, sf_dir):
     return stats.score_histogram(_scores(spark, sf_dir))
 
 
-@query(f"""WITH {FT}, r AS (SELECT label, rank() OVER (ORDER BY amount) + (count(*) OVER (PARTITION BY amount) - 1) / 2.0 AS r FROM f), s AS (SELECT sum(r) FILTER (label = 1)::DOUBLE AS r1, sum(label)::DOUBLE AS n1, count(*) FILTER (label = 0)::DOUBLE AS n0 FROM r), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s)
-SELECT u, n0::BIGINT AS n0, n1::BIGINT AS n1, round(2 * u / (n0 * n1) - 1, 6) AS rank_biserial, round((u - n0 * n1 / 2) / sqrt(n0 * n1 * (n0 + n1 + 1) / 12), 6) AS z FROM u""")
+#: Two-sided normal tail of ``far``, by the same approximation of the error function.
+_TAIL = "(1 / (1 + 0.3275911 * x))"
+_P = f"CASE WHEN s > 0 AND far > 0 THEN least({_TAIL} * (0.254829592 + {_TAIL} * (-0.284496736 + {_TAIL} * (1.421413741 + {_TAIL} * (-1.453152027 + {_TAIL} * 1.061405429)))) * exp(-x * x), 1) ELSE 1 END"
+
+
+def _ranks_sql(rows: str, by: str) -> str:
+    """From ``rows`` (``by, one, v``; ``one`` marks the first group): u, z and p with ties corrected."""
+    return f"""k0 AS ({rows}), k1 AS (SELECT {by}, v, count(*) AS n, sum(one) AS k FROM k0 GROUP BY ALL), k2 AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY v) - n AS below FROM k1),
+k3 AS (SELECT {by}, sum(k * (below + (n + 1) / 2.0))::DOUBLE AS r1, sum(k)::DOUBLE AS n1, sum(n - k)::DOUBLE AS n2, sum(n::DOUBLE * n * n - n) AS ties FROM k2 GROUP BY ALL),
+k4 AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS s FROM k3),
+k5 AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / nullif(s, 0) AS far FROM k4), k6 AS (SELECT *, abs(far) / sqrt(2.0) AS x FROM k5), tests AS (SELECT *, {_P} AS p, CASE WHEN s > 0 THEN (u - n1 * n2 / 2) / s END AS z FROM k6)"""
+
+
+@query(f"WITH {DT}, {_ranks_sql('SELECT 0 AS b, label AS one, dirty AS v FROM d WHERE NOT coalesce(isnan(dirty), true)', 'b')} SELECT u, n2::BIGINT AS n0, n1::BIGINT AS n1, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial, round(z, 6) AS z, round(p, 6) AS p FROM tests")
 def mann_whitney(spark, sf_dir):
-    return rounded(stats.mann_whitney(spark, _features(spark, sf_dir), "amount"))
+    return rounded(stats.mann_whitney(spark, _dirty(spark, sf_dir), "dirty"))
 
 
 @query(f"WITH {EV}, c AS (SELECT receiver AS l, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, l LIMIT 20), k AS (SELECT l FROM c WHERE n >= 100 OR (SELECT max(n) FROM c) < 100) SELECT tx_id, CASE WHEN l IS NULL THEN '__OTHER__' ELSE receiver::VARCHAR END AS r_level FROM ev LEFT JOIN k ON receiver = l".replace("receiver AS l", "receiver::VARCHAR AS l").replace("receiver = l", "receiver::VARCHAR = l"))

@@ -11,7 +11,9 @@ from pastline.operators import flows, graph, model, review, validation
 from pastline.plans import catalog
 from pastline.plans.checkpoint import shared_dir
 from pastline.plans.compiler import build_features
-from pastline.queries import _COLS, _LONG, APART, EV, FT, SC, SP, _events, _features, _h, _scores, _split, _w, query, rounded
+from pastline.queries import (
+    _COLS, _CRAMER, _DLONG, _LONG, _MESS, _ZERO, APART, DT, EV, FT, SC, SP, _dirty, _eta, _events, _features, _h, _pairwise, _ranks_sql, _scores, _split, _w, _woe_sql, query, rounded,
+)
 from pastline.sources import files
 from pastline.specs import parse_window
 
@@ -305,49 +307,57 @@ _IV = "g AS (SELECT fmt AS level, count(*) FILTER (late = 1) AS pos, count(*) FI
 
 @query(f"WITH {EV}, {_IV}, h AS (SELECT *, (pos + 0.5) / (sum(pos) OVER () + 0.5 * count(*) OVER ()) AS pd, (neg + 0.5) / (sum(neg) OVER () + 0.5 * count(*) OVER ()) AS nd FROM g) SELECT level, pos, neg, round(ln(pd / nd), 6) AS woe, round((pd - nd) * ln(pd / nd), 6) AS iv FROM h")
 def categorical_woe(spark, sf_dir):
-    late = (F.hour(F.timestamp_micros("us")) >= 12).cast("int")
+    late = (scalars.hour_of(F.col("us")) >= 12).cast("int")
     return rounded(review.categorical_woe(_events(spark, sf_dir).withColumn("label", late), "fmt"))
 
 
-@query(f"""WITH {_LONG}, e AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {[k / 10 for k in range(11)]}))) AS e FROM l GROUP BY feature), i AS (SELECT feature, e[2:-2] AS e FROM e WHERE len(e) >= 3),
-b AS (SELECT feature, label, len(list_filter(e, lambda x: x < value)) AS bin FROM l JOIN i USING (feature)), g AS (SELECT feature, bin::INT AS bin, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM b GROUP BY 1, 2),
-h AS (SELECT *, (pos + 0.5) / (sum(pos) OVER w + 0.5 * count(*) OVER w) AS pd, (neg + 0.5) / (sum(neg) OVER w + 0.5 * count(*) OVER w) AS nd FROM g WINDOW w AS (PARTITION BY feature)), tt AS (SELECT feature, count(*) AS bins, sum((pd - nd) * ln(pd / nd)) AS iv FROM h GROUP BY 1)
-SELECT (rank() OVER (ORDER BY iv DESC))::INT AS place, feature, bins, round(iv, 6) AS iv, CASE WHEN iv < 0.02 THEN 'useless' WHEN iv < 0.1 THEN 'weak' WHEN iv < 0.3 THEN 'medium' WHEN iv < 0.5 THEN 'strong' ELSE 'suspicious' END AS strength FROM tt""")
+@query(_woe_sql(""", tt AS (SELECT feature, count(*) AS bins, sum((pd - nd) * ln(pd / nd)) AS iv FROM h GROUP BY 1)
+SELECT (rank() OVER (ORDER BY iv DESC))::INT AS place, feature, bins, round(iv, 6) AS iv, CASE WHEN iv < 0.02 THEN 'useless' WHEN iv < 0.1 THEN 'weak' WHEN iv < 0.3 THEN 'medium' WHEN iv < 0.5 THEN 'strong' ELSE 'suspicious' END AS strength FROM tt"""))
 def iv_ranking(spark, sf_dir):
-    return rounded(review.iv_ranking(_features(spark, sf_dir), _COLS))
+    return rounded(review.iv_ranking(_dirty(spark, sf_dir), _MESS))
 
 
-@query(f"WITH {FT}, r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM f" for a, b in (("amount", "hour"), ("amount", "n_1d"), ("amount", "coarse"), ("hour", "n_1d"), ("hour", "coarse"), ("n_1d", "coarse"))) + ") SELECT a, b, round(r, 6) AS r FROM r ORDER BY abs(r) DESC, a, b LIMIT 3")
+_TOP = [*_MESS, "coarse"]
+
+
+@query(f"WITH {DT}, r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN var_pop({_ZERO.format(a)}) > 0 AND var_pop({_ZERO.format(b)}) > 0 THEN corr({_ZERO.format(a)}, {_ZERO.format(b)}) ELSE 0 END AS r FROM d" for i, a in enumerate(_TOP) for b in _TOP[i + 1 :]) + ") SELECT a, b, round(r, 6) AS r FROM r ORDER BY abs(r) DESC, a, b LIMIT 5")
 def top_correlated_pairs(spark, sf_dir):
-    return rounded(review.top_pairs(_features(spark, sf_dir), [*_COLS, "coarse"], 3))
+    return rounded(review.top_pairs(_dirty(spark, sf_dir), _TOP, 5))
+
 
+_KINDS = {"amount": "numeric", "kind": "categorical", "few": "numeric", "hour": "categorical"}
 
-@query(f"""WITH {FT}, c AS (SELECT fmt AS a, hour AS b, count(*) AS o FROM f GROUP BY 1, 2), r AS (SELECT a, sum(o) AS ra FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS cb FROM c GROUP BY 1), m AS (SELECT avg(amount) AS mu, var_pop(amount) * count(*) AS sst FROM f)
-SELECT 'amount' AS a, 'n_1d' AS b, 'pearson' AS measure, round(corr(amount, n_1d), 6) AS value FROM f
-UNION ALL SELECT 'amount', x.c, 'eta', round(v, 6) FROM (SELECT 'fmt' AS c, sqrt(sum(n * (gm - mu) * (gm - mu)) / max(sst)) AS v FROM (SELECT fmt, count(*) AS n, avg(amount) AS gm FROM f GROUP BY 1), m UNION ALL SELECT 'hour', sqrt(sum(n * (gm - mu) * (gm - mu)) / max(sst)) FROM (SELECT hour, count(*) AS n, avg(amount) AS gm FROM f GROUP BY 1), m) x
-UNION ALL SELECT 'n_1d', x.c, 'eta', round(v, 6) FROM (SELECT 'fmt' AS c, sqrt(sum(n * (gm - mu) * (gm - mu)) / max(sst)) AS v FROM (SELECT fmt, count(*) AS n, avg(n_1d) AS gm FROM f GROUP BY 1), (SELECT avg(n_1d) AS mu, var_pop(n_1d) * count(*) AS sst FROM f) UNION ALL SELECT 'hour', sqrt(sum(n * (gm - mu) * (gm - mu)) / max(sst)) FROM (SELECT hour, count(*) AS n, avg(n_1d) AS gm FROM f GROUP BY 1), (SELECT avg(n_1d) AS mu, var_pop(n_1d) * count(*) AS sst FROM f)) x
-UNION ALL SELECT 'fmt', 'hour', 'cramers_v', round(sqrt(least(greatest((sum(o * o / (ra * cb)) - 1) / (least(count(DISTINCT a), count(DISTINCT b)) - 1), 0), 1)), 6) FROM c JOIN r USING (a) JOIN k USING (b)""")
+
+@query(f"""WITH {DT}, c AS (SELECT kind AS a, hour AS b, count(*) AS o FROM d WHERE kind IS NOT NULL AND hour IS NOT NULL GROUP BY 1, 2), r AS (SELECT a, sum(o) AS ra FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS cb FROM c GROUP BY 1)
+SELECT 'amount' AS a, 'few' AS b, 'pearson' AS measure, round({_pairwise('amount', 'few')}, 6) + 0.0::DOUBLE AS value FROM d
+UNION ALL SELECT 'amount', 'kind', 'eta', {_eta('kind', 'amount')} UNION ALL SELECT 'kind', 'few', 'eta', {_eta('kind', 'few')} UNION ALL SELECT 'amount', 'hour', 'eta', {_eta('hour', 'amount')} UNION ALL SELECT 'few', 'hour', 'eta', {_eta('hour', 'few')}
+UNION ALL SELECT 'kind', 'hour', 'cramers_v', * FROM ({_CRAMER})""")
 def mixed_association(spark, sf_dir):
-    return rounded(review.mixed_association(_features(spark, sf_dir), {"amount": "numeric", "n_1d": "numeric", "fmt": "categorical", "hour": "categorical"}))
+    return rounded(review.mixed_association(_dirty(spark, sf_dir), _KINDS)).withColumn("value", F.col("value") + 0.0)
 
 
 _SLOG = "(sign({0}) * ln(1 + abs({0})))"
 
 
-@query(f"""WITH {_LONG}, m AS (SELECT feature, avg((value IS NULL)::INT) AS missing_rate, {", ".join(f"avg(value) FILTER (split = '{s}') AS {s}, avg((value <> 0)::INT) FILTER (split = '{s}') AS nz_{s}" for s in ("train", "val", "test"))},
-{", ".join(f"avg(value) FILTER (label = {k}) AS m{k}, var_pop(value) FILTER (label = {k}) AS v{k}, avg((value <> 0)::INT) FILTER (label = {k}) AS z{k}" for k in (0, 1))} FROM l GROUP BY feature),
-i AS (SELECT feature, greatest(abs({_SLOG.format("val")} - {_SLOG.format("train")}), abs({_SLOG.format("test")} - {_SLOG.format("train")})) AS log_gap, greatest(abs(nz_val - nz_train), abs(nz_test - nz_train)) AS nonzero_gap, (m1 - m0) / nullif(sqrt((v0 + v1) / 2), 0) AS smd, z1 - z0 AS nonzero_diff, missing_rate FROM m)
-SELECT feature, round(log_gap, 6) AS log_gap, round(nonzero_gap, 6) AS nonzero_gap, round(smd, 6) + 0.0::DOUBLE AS smd, round(nonzero_diff, 6) + 0.0::DOUBLE AS nonzero_diff, round(missing_rate, 6) AS missing_rate, round(abs(coalesce(log_gap, 0)) + abs(coalesce(nonzero_gap, 0)) + abs(coalesce(smd, 0)) + abs(coalesce(nonzero_diff, 0)) + abs(missing_rate), 6) AS review_score FROM i""")
+@query(f"""WITH {_DLONG}, m AS (SELECT feature, avg(coalesce(value = 0, false)::INT) AS zero_rate, {", ".join(f"avg(v0) FILTER (split = '{s}') AS {s}, avg((v0 <> 0)::INT) FILTER (split = '{s}') AS nz_{s}" for s in ("train", "val", "test"))},
+{", ".join(f"avg(v0) FILTER (label = {k}) AS m{k}, var_pop(v0) FILTER (label = {k}) AS v{k}, avg((v0 <> 0)::INT) FILTER (label = {k}) AS z{k}" for k in (0, 1))} FROM l GROUP BY feature),
+i AS (SELECT feature, zero_rate, greatest(abs({_SLOG.format("val")} - {_SLOG.format("train")}), abs({_SLOG.format("test")} - {_SLOG.format("train")})) AS log_gap, greatest(nz_val, nz_train, nz_test) - least(nz_val, nz_train, nz_test) AS nonzero_gap, (m1 - m0) / nullif(sqrt((v0 + v1) / 2), 0) AS smd, z1 - z0 AS nonzero_diff FROM m)
+SELECT feature, round(zero_rate, 6) AS zero_rate, round(log_gap, 6) AS log_gap, round(nonzero_gap, 6) AS nonzero_gap, round(smd, 6) + 0.0::DOUBLE AS smd, round(nonzero_diff, 6) + 0.0::DOUBLE AS nonzero_diff, round(zero_rate + abs(coalesce(log_gap, 0)) + abs(coalesce(nonzero_gap, 0)) + abs(coalesce(smd, 0)) + abs(coalesce(nonzero_diff, 0)), 6) AS review_score FROM i""")
 def review_priority(spark, sf_dir):
-    return rounded(review.review_scores(_features(spark, sf_dir), _COLS))
+    return rounded(review.review_scores(_dirty(spark, sf_dir), _MESS)).withColumns({c: F.col(c) + 0.0 for c in ("smd", "nonzero_diff")})
+
+
+_SIDES = "SELECT unnest(['TP', 'TP', 'TP', 'FP', 'FP', 'FN']) AS a, unnest(['FP', 'FN', 'TN', 'FN', 'TN', 'TN']) AS b"
 
 
-@query(f"""WITH {_CONF}, p AS (SELECT unnest(['TP', 'TP', 'TP', 'FP', 'FP', 'FN']) AS a, unnest(['FP', 'FN', 'TN', 'FN', 'TN', 'TN']) AS b), x AS (SELECT a, b, (grp = a)::INT AS one, rank() OVER w + (count(*) OVER (PARTITION BY a, b, amount) - 1) / 2.0 AS r FROM p JOIN c ON grp IN (a, b) WINDOW w AS (PARTITION BY a, b ORDER BY amount)),
-s2 AS (SELECT a, b, sum(r) FILTER (one = 1)::DOUBLE AS r1, sum(one)::DOUBLE AS n1, (count(*) - sum(one))::DOUBLE AS n2 FROM x GROUP BY 1, 2), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s2 WHERE n1 >= 5 AND n2 >= 5), z AS (SELECT *, abs((u - n1 * n2 / 2) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)) / sqrt(2.0) AS z FROM u),
-t AS (SELECT *, 1 / (1 + 0.3275911 * z) AS t FROM z), q AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z) AS p FROM t), o AS (SELECT *, row_number() OVER (ORDER BY p, a, b) AS i, count(*) OVER () AS m FROM q)
-SELECT a AS first, b AS second, n1::BIGINT AS n1, n2::BIGINT AS n2, u, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial, round(p, 6) AS p, round(least(min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS p_adjusted FROM o""")
+@query(f"""WITH {_DLONG}, {_ranks_sql(f"SELECT a, b, feature, (grp = a)::INT AS one, value AS v FROM ({_SIDES}) JOIN l ON grp IN (a, b) WHERE value IS NOT NULL", "a, b, feature")},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY p, feature) AS i, count(*) OVER (PARTITION BY a, b) AS m FROM tests WHERE n1 >= 5 AND n2 >= 5)
+SELECT a AS first, b AS second, feature, n1::BIGINT AS n1, n2::BIGINT AS n2, u, round(2 * u / (n1 * n2) - 1, 6) + 0.0::DOUBLE AS rank_biserial, round(p, 6) AS p, round(least(min(p * m / i) OVER (PARTITION BY a, b ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS p_adjusted FROM ranked""")
 def group_tests(spark, sf_dir):
-    return rounded(review.compare_groups(spark, _grouped(spark, sf_dir)))
+    """Six columns between all pairs of groups; p adjusted over the columns of a pair."""
+    df = _dirty(spark, sf_dir)
+    score = ((F.col("tx_id") * 7919 + F.col("label") * 211) % 1000) / 1000.0
+    return rounded(review.compare_groups(spark, df.withColumn("grp", review.confusion_group(score, F.col("label"), 0.5)), _MESS)).withColumn("rank_biserial", F.col("rank_biserial") + 0.0)
 
 
 _MAP = "mp AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT sender AS node FROM ev UNION SELECT receiver FROM ev))"

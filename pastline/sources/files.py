@@ -46,11 +46,15 @@ def write(spark: SparkSession, df: DataFrame, path: str, kind: str = "parquet",
 
 
 def write_splits(spark: SparkSession, df: DataFrame, path: str, overwrite: bool = False) -> dict[str, str]:
-    """All rows under ``all`` and each split's under its own name, from one scan of the stored whole."""
+    """All rows under ``all`` and each split's under its own name, read from the stored whole. A row of another split, or of none, is an error before
+    any split is written, so that the parts have all rows."""
     paths = {k: f"{path}/{k}" for k in ("all", "train", "val", "test")}
     guard(spark, list(paths.values()), overwrite)
     df.write.mode("overwrite").parquet(paths["all"])
     whole = spark.read.parquet(paths["all"])
+    other = whole.where(F.col("split").isNull() | ~F.col("split").isin("train", "val", "test")).groupBy("split").count().limit(5).collect()
+    if other:
+        raise InputError(f"rows of no split to write: {', '.join(f'{r[0]} ({r[1]})' for r in other)}")
     for k in ("train", "val", "test"):
         whole.where(F.col("split") == k).write.mode("overwrite").parquet(paths[k])
     return paths

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pastline.functions.scalars import HOUR, micros
+
 
 class InputError(ValueError):
     """An input table that breaks its contract."""
@@ -51,9 +53,11 @@ def standardize(df: DataFrame, explicit: dict[str, str] | None = None) -> DataFr
 
 def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as transactions; hours make the timestamp ties that the past-only law is about."""
-    return read(spark, sf_dir, "events").select(
+    events = read(spark, sf_dir, "events")
+    us = micros(events, "ts")
+    return events.select(
         F.col("event_id").alias("tx_id"), F.col("user_id").alias("sender"), ((F.col("event_id") * 31 + 7) % 97).alias("receiver"),
-        F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))).alias("us"), F.col("value").alias("amount"), F.col("event_type").alias("fmt"),
+        (us - F.pmod(us, F.lit(HOUR))).alias("us"), F.col("value").alias("amount"), F.col("event_type").alias("fmt"),
         (F.col("event_type") == "error").cast("int").alias("label"), (F.col("user_id") % 25).alias("sender_bank"), (((F.col("event_id") * 31 + 7) % 97) % 25).alias("receiver_bank"),
     )
 
@@ -62,7 +66,7 @@ def tx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as transactions: customers and suppliers share one account space."""
     li, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(
-        "l_orderkey", "l_linenumber", "l_partkey", F.col("o_custkey").alias("sender"), F.col("l_suppkey").alias("receiver"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"),
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("o_custkey").alias("sender"), F.col("l_suppkey").alias("receiver"), micros(li, "l_shipdate").alias("us"),
         F.col("l_extendedprice").alias("amount"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("amount_received"), F.col("o_orderpriority").alias("fmt"), (F.col("l_returnflag") == "R").cast("int").alias("label"),
     )
 

@@ -26,7 +26,7 @@ def test_names_and_contracts():
     for bad in ("true", "1", "", None):
         with pytest.raises(ValueError, match="neither"):
             scalars.contract_bool(bad)
-    assert scalars.stage_family("pair__amount_ratio__w7d") == ("pair", "ratio")
+    assert scalars.stage_family("pair__amount_ratio__w7d") == ("Stage 3 pair/reverse", "ratio_or_rate")
     with pytest.raises(SpecError, match="leak"):
         check_no_leak([" Label "], "x")
 
