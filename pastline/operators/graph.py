@@ -61,13 +61,17 @@ def formatted_edges(tx: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def graph_checks(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``check, violations`` of a formatted edge list and its account mapping; every check has a row."""
-    e = edges.agg(
+    """``check, violations`` of a formatted edge list and its account mapping; every check has a row. An edge of val or test must come after all
+    edges of the splits before it."""
+    split, us = F.col("split"), F.col("us")
+    ends = edges.agg(F.max(F.when(split == "train", us)).alias("train_end"), F.max(F.when(split.isin("train", "val"), us)).alias("val_end"))
+    e = edges.join(F.broadcast(ends)).agg(  # one row
         F.count_if(F.col("from_idx").isNull() | F.col("to_idx").isNull()).alias("edge without node"), F.count_if(F.col("tx_id").isNull()).alias("edge without id"),
         (F.count("tx_id") - F.countDistinct("tx_id")).alias("repeated edge id"), F.count_if(F.col("label").isNull() | ~F.col("label").isin(0, 1)).alias("label that is not 0 or 1"),
-        F.count_if(F.col("split").isNull() | ~F.col("split").isin("train", "val", "test")).alias("unknown split"), F.count_if(F.col("us").isNull()).alias("edge without time"),
+        F.count_if(split.isNull() | ~split.isin("train", "val", "test")).alias("unknown split"), F.count_if(us.isNull()).alias("edge without time"),
+        F.count_if(((split == "val") & (us <= F.col("train_end"))) | ((split == "test") & (us <= F.col("val_end")))).alias("edge before an earlier split ends"),
     )
-    m = mapping.agg((F.count("*") - F.countDistinct("node")).alias("repeated node"), (F.count("*") - F.countDistinct("idx")).alias("repeated index"), F.count_if(F.col("idx").isNull()).alias("node without index"))
+    m = mapping.agg((F.count("*") - F.countDistinct("node")).alias("repeated node"), (F.count("idx") - F.countDistinct("idx")).alias("repeated index"), F.count_if(F.col("idx").isNull()).alias("node without index"))
     both = e.join(m)  # one row each
     pairs = ", ".join(f"'{c}', `{c}`" for c in both.columns)
     return both.select(F.expr(f"stack({len(both.columns)}, {pairs}) as (check, violations)"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pastline.functions import scalars
-from pastline.operators import flows, graph, model, review, validation
+from pastline.operators import encoding, flows, graph, model, review, validation
 from pastline.plans import catalog
 from pastline.plans.checkpoint import shared_dir
 from pastline.plans.compiler import build_features
@@ -90,22 +90,29 @@ def feature_breaches(spark, sf_dir):
     return validation.feature_breaches(_events(spark, sf_dir).withColumn("dirty", dirty), ["amount", "dirty"])
 
 
-@query(f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS missing, 0::BIGINT AS other, count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label = 1) AS positives FROM ev")
+_BAD_LABEL = "CASE WHEN tx_id % 19 = 1 THEN NULL WHEN tx_id % 19 = 2 THEN 'NaN'::DOUBLE WHEN tx_id % 19 = 3 THEN 2 ELSE label END"
+
+
+@query(f"WITH {EV}, x AS (SELECT {_BAD_LABEL} AS y FROM ev) SELECT count(*) AS n, count(*) FILTER (y IS NULL OR isnan(y)) AS missing, count(*) FILTER (y NOT IN (0, 1) AND NOT isnan(y)) AS other, count(*) FILTER (y = 0) AS negatives, count(*) FILTER (y = 1) AS positives FROM x")
 def label_counts(spark, sf_dir):
-    return validation.label_counts(_events(spark, sf_dir))
+    k = F.col("tx_id") % 19
+    return validation.label_counts(_events(spark, sf_dir).withColumn("label", F.when(k == 1, None).when(k == 2, float("nan")).when(k == 3, 2.0).otherwise(F.col("label"))))
 
 
-@query(f"WITH {SC} SELECT count(*) AS n, 0::BIGINT AS missing, count(*) FILTER (score > 0.95) AS outside, 0::BIGINT AS bad_label, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM s")
+@query(f"""WITH {SC}, x AS (SELECT CASE WHEN tx_id % 17 = 1 THEN NULL WHEN tx_id % 17 = 2 THEN 'NaN'::DOUBLE WHEN score > 0.95 THEN score + 1 WHEN tx_id % 17 = 3 THEN -score - 0.001 ELSE score END AS score, CASE WHEN tx_id % 23 = 4 THEN NULL WHEN tx_id % 23 = 5 THEN 9 ELSE label END AS label FROM s)
+SELECT count(*) AS n, count(*) FILTER (score IS NULL OR isnan(score)) AS missing, count(*) FILTER (NOT isnan(score) AND (score < 0 OR score > 1)) AS outside, count(*) FILTER (label IS NULL OR label NOT IN (0, 1)) AS bad_label, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives FROM x""")
 def score_breaches(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    return validation.score_breaches(s.withColumn("score", F.when(F.col("score") > 0.95, F.col("score") + 1).otherwise(F.col("score"))))
+    k, j, s = F.col("tx_id") % 17, F.col("tx_id") % 23, F.col("score")
+    score = F.when(k == 1, None).when(k == 2, float("nan")).when(s > 0.95, s + 1).when(k == 3, -s - 0.001).otherwise(s)
+    return validation.score_breaches(_scores(spark, sf_dir).withColumns({"score": score, "label": F.when(j == 4, None).when(j == 5, 9).otherwise(F.col("label"))}))
 
 
-@query(f"WITH {SP} SELECT split, count(*) AS n, count(*) AS stated, true AS ok FROM t GROUP BY 1")
+@query(f"WITH {SP}, n AS (SELECT split, count(*) AS n FROM t WHERE split <> 'test' GROUP BY 1), s AS (SELECT split, count(*) FILTER (split <> 'val' OR tx_id % 7 > 0) AS stated FROM t GROUP BY 1) SELECT split, n, stated, n IS NOT DISTINCT FROM stated AS ok FROM n FULL JOIN s USING (split)")
 def preview_checks(spark, sf_dir):
+    """A part that is absent and one with fewer rows stated than it has."""
     tx = _split(spark, sf_dir)
-    summary = tx.groupBy("split").agg(F.count("*").alias("n"))
-    return validation.preview_checks({s: tx.where(F.col("split") == s) for s in validation.SPLITS}, summary)
+    summary = tx.groupBy("split").agg(F.count_if((F.col("split") != "val") | (F.col("tx_id") % 7 > 0)).alias("n"))
+    return validation.preview_checks({s: tx.where(F.col("split") == s) for s in ("train", "val")}, summary)
 
 
 @query(f"WITH {EV} SELECT tx_id, round(amount * CASE fmt WHEN 'click' THEN 1.0 WHEN 'view' THEN 1.25 WHEN 'purchase' THEN 0.5 END, 4) AS usd FROM ev")
@@ -360,6 +367,35 @@ def group_tests(spark, sf_dir):
     return rounded(review.compare_groups(spark, df.withColumn("grp", review.confusion_group(score, F.col("label"), 0.5)), _MESS)).withColumn("rank_biserial", F.col("rank_biserial") + 0.0)
 
 
+_CAT = f"x AS (SELECT tx_id, split, label, amount, fmt, sender::VARCHAR || '>' || receiver::VARCHAR AS pair, receiver::VARCHAR AS r FROM t)"
+_VOC = ", ".join(f"v_{c} AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM (SELECT DISTINCT {c} AS c FROM x WHERE split = 'train'))" for c in ("fmt", "pair", "r"))
+
+
+def _categories(spark, sf_dir):
+    tx = _split(spark, sf_dir)
+    pair = F.concat(F.col("sender").cast("string"), F.lit(">"), F.col("receiver").cast("string"))
+    return tx.select("tx_id", "split", "label", "amount", "fmt", pair.alias("pair"), F.col("receiver").cast("string").alias("r"))
+
+
+_ENCODINGS = [encoding.EncodingSpec("", "amount"), encoding.EncodingSpec("fmt", "fmt_code", "label_code"), encoding.EncodingSpec("pair", "pair_native", "xgb_native"), encoding.EncodingSpec("pair", "pair_code", "label_code"), encoding.EncodingSpec("r", "r_code", "label_code")]
+
+
+@query(f"""WITH {SP}, {_CAT}, {_VOC} SELECT tx_id, split, label, amount, coalesce(v_fmt.code, -1)::INT AS fmt_code, coalesce(v_pair.c, '__UNKNOWN__') AS pair_native, coalesce(v_pair.code, -1)::INT AS pair_code, coalesce(v_r.code, -1)::INT AS r_code
+  FROM x LEFT JOIN v_fmt ON v_fmt.c = fmt LEFT JOIN v_pair ON v_pair.c = pair LEFT JOIN v_r ON v_r.c = r""")
+def stored_encodings(spark, sf_dir):
+    """Fitted, stored, checked and replayed from the store."""
+    path, df = _new_path(spark, "encodings"), _categories(spark, sf_dir)
+    encoding.store(spark, df, _ENCODINGS, path)
+    return encoding.encode_stored(spark, df, path)
+
+
+@query(f"""WITH {SP}, {_CAT}, {_VOC} SELECT 'fmt_code' AS output, 'fmt' AS source, 'label_code' AS encoding, c AS category, code::INT AS code FROM v_fmt UNION ALL SELECT 'pair_code', 'pair', 'label_code', c, code::INT FROM v_pair
+  UNION ALL SELECT 'pair_native', 'pair', 'xgb_native', c, NULL FROM v_pair UNION ALL SELECT 'r_code', 'r', 'label_code', c, code::INT FROM v_r UNION ALL SELECT 'pair_native', 'pair', 'xgb_native', '__UNKNOWN__', NULL""")
+def encoding_mappings(spark, sf_dir):
+    specs = encoding.normalize_specs(_ENCODINGS)
+    return encoding.mapping_rows(specs, encoding.fit(_categories(spark, sf_dir), specs))
+
+
 _MAP = "mp AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM (SELECT sender AS node FROM ev UNION SELECT receiver FROM ev))"
 
 
@@ -369,13 +405,28 @@ def formatted_edges(spark, sf_dir):
     return graph.formatted_edges(tx, graph.node_map(tx))
 
 
-@query("SELECT unnest(['edge without node', 'edge without id', 'repeated edge id', 'label that is not 0 or 1', 'unknown split', 'edge without time', 'repeated node', 'repeated index', 'node without index']) AS \"check\", unnest([0, 0, 1, 0, 0, 0, 0, 0, 0])::BIGINT AS violations")
+#: Edges and nodes with one kind of fault each, by their ids; ``early`` edges of val have a time before train's end.
+_BROKEN = f"""WITH {SP}, {_MAP}, e0 AS (SELECT tx_id, a.idx AS fi, b.idx AS ti, us, split, label FROM t JOIN mp a ON a.node = sender JOIN mp b ON b.node = receiver),
+e AS (SELECT CASE WHEN tx_id % 101 = 1 THEN NULL ELSE tx_id END AS id, CASE WHEN tx_id % 103 = 2 THEN NULL ELSE fi END AS fi, ti, CASE WHEN tx_id % 107 = 3 THEN NULL WHEN tx_id % 97 = 5 THEN 0 ELSE us END AS us,
+  CASE WHEN tx_id % 109 = 4 THEN 'holdout' WHEN tx_id % 109 = 5 THEN NULL ELSE split END AS split, CASE WHEN tx_id % 113 = 6 THEN 7 WHEN tx_id % 113 = 7 THEN NULL ELSE label END AS label FROM e0 UNION ALL SELECT tx_id, fi, ti, us, split, label FROM e0 WHERE tx_id % 127 = 8),
+m AS (SELECT CASE WHEN idx % 29 = 1 THEN node + 1 ELSE node END AS node, CASE WHEN idx % 31 = 2 THEN NULL WHEN idx % 37 = 3 THEN idx + 1 ELSE idx END AS idx FROM mp)"""
+
+
+@query(f"""{_BROKEN} SELECT 'edge without node' AS "check", count(*) FILTER (fi IS NULL OR ti IS NULL) AS violations FROM e UNION ALL SELECT 'edge without id', count(*) FILTER (id IS NULL) FROM e UNION ALL SELECT 'repeated edge id', count(id) - count(DISTINCT id) FROM e
+UNION ALL SELECT 'label that is not 0 or 1', count(*) FILTER (label IS NULL OR label NOT IN (0, 1)) FROM e UNION ALL SELECT 'unknown split', count(*) FILTER (split IS NULL OR split NOT IN ('train', 'val', 'test')) FROM e UNION ALL SELECT 'edge without time', count(*) FILTER (us IS NULL) FROM e
+UNION ALL SELECT 'edge before an earlier split ends', (SELECT count(*) FROM e, (SELECT max(us) FILTER (split = 'train') AS a, max(us) FILTER (split = 'val') AS b FROM e) WHERE (split = 'val' AND us <= a) OR (split = 'test' AND us <= greatest(a, b)))
+UNION ALL SELECT 'repeated node', count(*) - count(DISTINCT node) FROM m UNION ALL SELECT 'repeated index', count(idx) - count(DISTINCT idx) FROM m UNION ALL SELECT 'node without index', count(*) FILTER (idx IS NULL) FROM m""")
 def graph_checks(spark, sf_dir):
     tx = _split(spark, sf_dir)
     mapping = graph.node_map(tx)
-    edges = graph.formatted_edges(tx, mapping)
-    again = edges.orderBy("tx_id").limit(1)  # one edge twice
-    return graph.graph_checks(edges.unionByName(again), mapping)
+    e, k, i = graph.formatted_edges(tx, mapping), F.col("tx_id"), F.col("idx")
+    unless = lambda bad, c, other=None: F.when(bad, other).otherwise(F.col(c)).alias(c)
+    broken = e.select(
+        unless(k % 101 == 1, "tx_id"), unless(k % 103 == 2, "from_idx"), "to_idx", F.when(k % 107 == 3, None).when(k % 97 == 5, 0).otherwise(F.col("us")).alias("us"),
+        F.when(k % 109 == 4, "holdout").when(k % 109 == 5, None).otherwise(F.col("split")).alias("split"), F.when(k % 113 == 6, 7).when(k % 113 == 7, None).otherwise(F.col("label")).alias("label"),
+    )
+    nodes = mapping.select(F.when(i % 29 == 1, F.col("node") + 1).otherwise(F.col("node")).alias("node"), F.when(i % 31 == 2, None).when(i % 37 == 3, i + 1).otherwise(i).alias("idx"))
+    return graph.graph_checks(broken.unionByName(e.where(k % 127 == 8).select(*broken.columns)), nodes)
 
 
 @query(f"""WITH {EV}, c AS (SELECT sender, receiver, min((us, tx_id)) AS m FROM ev GROUP BY 1, 2), p AS (SELECT sender, receiver, (row_number() OVER (PARTITION BY receiver ORDER BY m) - 1)::INT AS i, (row_number() OVER (PARTITION BY sender ORDER BY m) - 1)::INT AS o FROM c),
