@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pastline.plans.checkpoint import table
-from pastline.plans.ordered import numbered
+from pastline.plans.checkpoint import drop, table
+from pastline.plans.ordered import numbered, numbered_within, previous
 
 
 def nodes(tx: DataFrame) -> DataFrame:
@@ -36,13 +36,14 @@ def pagerank(spark: SparkSession, tx: DataFrame, damping: float = 0.85, iteratio
     rank = nodes(tx).join(edges.select(F.col("sender").alias("node")).distinct().withColumn("links", F.lit(True)), "node", "left")
     rank = table(spark, rank, "nodes")
     n = rank.count()
-    rank = rank.withColumn("rank", F.lit(1.0 / n))
+    rank, stored = rank.withColumn("rank", F.lit(1.0 / n)), rank
     for _ in range(iterations):
         given = edges.join(rank.select(F.col("node").alias("sender"), "rank"), "sender").groupBy(F.col("receiver").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
         loose = F.broadcast(rank.agg(F.coalesce(F.sum(F.when(F.col("links").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")))  # one row
         after = rank.join(given, "node", "left").join(loose).select("node", "links", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"), F.col("rank").alias("was"))
         after = table(spark, after, "rank")
-        rank = after.drop("was")
+        drop(spark, stored)  # the step before is read no more
+        rank, stored = after.drop("was"), after
         if tol and after.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tol:
             break
     return rank.select("node", "rank")
@@ -92,17 +93,25 @@ def ego_flags(tx: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def ports(tx: DataFrame) -> DataFrame:
-    """Each edge's place of its sender among the receiver's senders by first contact (ties by edge id), and the other way round."""
+    """Each edge's place of its sender among the receiver's senders by first contact (ties by edge id), and the other way round. Places are counted
+    over ranges, so a hub is in many tasks."""
+    spark = tx.sparkSession
     contact = tx.groupBy("sender", "receiver").agg(F.min(F.struct("us", "tx_id")).alias("first"))
-    place = lambda by: (F.row_number().over(Window.partitionBy(by).orderBy("first")) - 1).cast("int")
-    numbered = contact.select("sender", "receiver", place("receiver").alias("in_port"), place("sender").alias("out_port"))
-    return tx.join(numbered, ["sender", "receiver"]).select("tx_id", "in_port", "out_port")
+    contact = table(spark, contact.select("sender", "receiver", F.col("first.us").alias("us"), F.col("first.tx_id").alias("tx_id")), "contacts")
+    into = numbered_within(spark, contact, "receiver", ["us", "tx_id"], "in_port").select("sender", "receiver", F.col("in_port").cast("int"))
+    out = numbered_within(spark, contact, "sender", ["us", "tx_id"], "out_port").select("sender", "receiver", F.col("out_port").cast("int"))
+    return tx.join(into.join(out, ["sender", "receiver"]), ["sender", "receiver"]).select("tx_id", "in_port", "out_port")
 
 
 def time_deltas(tx: DataFrame) -> DataFrame:
-    """Whole seconds since the previous edge of the receiver and of the sender; 0 for the first."""
-    gap = lambda by: F.coalesce(F.floor((F.col("us") - F.lag("us").over(Window.partitionBy(by).orderBy("us", "tx_id"))) / 1e6), F.lit(0)).cast("long")
-    return tx.select("tx_id", gap("receiver").alias("in_delta"), gap("sender").alias("out_delta"))
+    """Whole seconds since the previous edge of the receiver and of the sender; 0 for the first. The edge before comes from ranges of node, time and
+    id, so a hub is in many tasks."""
+    out = []
+    for node, name in (("receiver", "in_delta"), ("sender", "out_delta")):
+        found = previous(tx.sparkSession, tx.select("tx_id", node, "us"), [node, "us", "tx_id"], {"_node": F.col(node), "_us": F.col("us")})
+        gap = F.when(F.col("_node").eqNullSafe(F.col(node)), F.floor((F.col("us") - F.col("_us")) / 1e6)).otherwise(0)
+        out.append(found.select("tx_id", F.coalesce(gap, F.lit(0)).cast("long").alias(name)))
+    return out[0].join(out[1], "tx_id")
 
 
 def with_reverse(tx: DataFrame) -> DataFrame:
@@ -126,3 +135,49 @@ def khop(tx: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 def last_neighbours(tx: DataFrame, k: int) -> DataFrame:
     """The ``k`` latest edges of each receiver."""
     return tx.select("tx_id", "receiver", F.row_number().over(Window.partitionBy("receiver").orderBy(F.desc("us"), F.desc("tx_id"))).alias("place")).where(F.col("place") <= k)
+
+
+def _draw(*parts: object) -> Column:
+    """60 bits of the MD5 of the parts joined by ``-``: the same in any engine."""
+    text = F.concat_ws("-", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def links(tx: DataFrame) -> DataFrame:
+    """``node, next``: distinct undirected links, in both directions, without loops."""
+    both = tx.select(F.col("sender").alias("node"), F.col("receiver").alias("next")).unionByName(tx.select(F.col("receiver").alias("node"), F.col("sender").alias("next")))
+    return both.where("node <> next").distinct()
+
+
+def random_walks(spark: SparkSession, tx: DataFrame, seeds: DataFrame, length: int, walks: int = 1, seed: int = 7) -> DataFrame:
+    """``root, walk, step, node``: ``walks`` walks over undirected links from each of ``seeds`` (``node``), of ``length`` steps; one ends early at a node
+    without links.
+
+    Links are numbered within their node over ranges; a step draws a number below the node's degree by a seeded hash of (root, walk, step)
+    and joins on (node, number), so a hub's walks meet as many keys as it has links. Equal seeds give equal walks at any partitioning.
+    """
+    placed = table(spark, numbered_within(spark, links(tx), "node", ["next"], "place"), "links")
+    degree = table(spark, placed.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    each = F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")
+    now = table(spark, seeds.select(F.col("node").alias("root"), each).select("root", "walk", F.lit(0).alias("step"), F.col("root").alias("node")), "walks")
+    every = now
+    for k in range(1, length + 1):
+        drawn = now.join(degree, "node").select("root", "walk", "node", F.pmod(_draw(seed, F.col("root"), F.col("walk"), k), F.col("degree")).alias("place"))
+        now = table(spark, drawn.join(placed, ["node", "place"]).select("root", "walk", F.lit(k).alias("step"), F.col("next").alias("node")), "walks")
+        every = every.unionByName(now)
+    return every
+
+
+def sampled_neighbours(spark: SparkSession, tx: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 7) -> DataFrame:
+    """``root, hop, node, next``: from each of ``seeds`` (``node``), per hop and reached node as many of its undirected neighbours as ``fanouts`` says,
+    those with the least seeded hash of (root, hop, node, neighbour). A node reached twice in a hop is sampled once."""
+    around = table(spark, links(tx), "links")
+    now = seeds.select(F.col("node").alias("root"), F.col("node")).distinct()
+    every = None
+    for hop, k in enumerate(fanouts, 1):
+        order = Window.partitionBy("root", "node").orderBy(_draw(seed, F.col("root"), hop, F.col("node"), F.col("next")), "next")
+        found = now.join(around, "node").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("root", F.lit(hop).alias("hop"), "node", "next")
+        found = table(spark, found, "sampled")
+        every = found if every is None else every.unionByName(found)
+        now = found.select("root", F.col("next").alias("node")).distinct()
+    return every

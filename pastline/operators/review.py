@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pastline.functions.scalars import hour_of
 from pastline.operators import association, stats
-from pastline.plans.ordered import numbered, quantiles
+from pastline.plans.checkpoint import table
+from pastline.plans.ordered import numbered, previous, quantiles, totals_before
 
 def cell_rates(df: DataFrame, columns: list[str], group: str = "label") -> DataFrame:
     """Per feature, group and split: rows, and the shares of missing, zero and nonzero values."""
@@ -67,6 +68,47 @@ def class_weights(df: DataFrame) -> DataFrame:
     return df.join(sizes, "label").select(*df.columns, (1 / F.col("_n")).alias("weight"))
 
 
+def weighted_draws(spark: SparkSession, df: DataFrame, n: int, seed: int, units: str, key: str = "tx_id") -> DataFrame:
+    """``draw, key``: ``n`` draws with replacement, each row with a chance in proportion to its whole, non-negative ``units``.
+
+    A draw's place is a seeded hash of its number below the sum of all units. Rows get their places in the order of ``key`` by running totals over
+    ranges, and each draw takes the last row at or before its place; so draws are the same at any partitioning.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(units).cast("long").alias("units")).where("units > 0")
+    placed = table(spark, totals_before(spark, rows, ["key"], {"at": F.col("units")}), "placed")
+    total = placed.agg(F.sum("units")).first()[0] or 0
+    at = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")
+    draws = spark.range(n if total else 0).select(F.lit(None).cast(dict(placed.dtypes)["key"]).alias("key"), F.pmod(at, F.lit(max(1, total))).alias("at"), F.col("id").alias("draw"))
+    both = placed.select("key", "at", F.lit(-1).cast("long").alias("draw")).unionByName(draws)
+    found = previous(spark, both, ["at", "draw"], {"row": F.col("key")}, last=True)
+    return found.where("draw >= 0").select("draw", F.col("row").alias(key))
+
+
+def column_profile(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
+    """``column, type, non_null, missing, missing_rate, n_unique, low, high, mean, top_values``: numbers and times have a range (as text), numbers a
+    mean, other columns their ``top`` values with counts as JSON, in order. NaN is missing. One pass over (column, value)."""
+    types = dict(df.dtypes)
+    number = {c: types[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) for c in columns}
+    time = {c: types[c].startswith(("timestamp", "date")) for c in columns}
+    text = lambda c: F.when(~F.isnan(F.col(c)), F.col(c).cast("string")) if types[c] in ("float", "double") else F.col(c).cast("string")
+    pairs = [F.struct(F.lit(c).alias("column"), text(c).alias("v"), (F.col(c).cast("double") if number[c] else F.lit(None).cast("double")).alias("x")) for c in columns]
+    values = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").groupBy("column", "v").agg(F.count("*").alias("n"), F.min("x").alias("x"))
+    values = table(df.sparkSession, values, "values")
+    x = F.when(~F.isnan("x"), F.col("x"))
+    found = values.groupBy("column").agg(
+        F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"), F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("v").alias("n_unique"),
+        F.min_by("v", x).alias("low"), F.max_by("v", x).alias("high"), (F.sum(x * F.col("n")) / F.sum(F.when(x.isNotNull(), F.col("n")))).alias("mean"), F.min("v").alias("first"), F.max("v").alias("last"),
+    )
+    ranked = values.where(F.col("v").isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "v"))).where(F.col("r") <= top)
+    said = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "v", "n"))), lambda e: F.concat(F.regexp_replace(F.to_json(F.array(e["v"])), r"^\[|\]$", ""), F.lit(":"), e["n"].cast("string"))), ","), F.lit("}"))
+    tops = ranked.groupBy(F.col("column").alias("c")).agg(said.alias("top_values"))
+    kinds = F.broadcast(df.sparkSession.createDataFrame([(c, types[c], number[c], time[c]) for c in columns], "k string, type string, number boolean, time boolean"))
+    j = found.join(kinds, F.col("column") == F.col("k")).join(F.broadcast(tops), F.col("column") == F.col("c"), "left")  # a row per column
+    low, high = (F.when(F.col("number"), F.col(a)).when(F.col("time"), F.col(b)) for a, b in (("low", "first"), ("high", "last")))
+    rate = F.col("missing") / (F.col("missing") + F.col("non_null"))
+    return j.select("column", "type", "non_null", "missing", rate.alias("missing_rate"), "n_unique", low.alias("low"), high.alias("high"), "mean", F.when(~F.col("number") & ~F.col("time"), F.coalesce("top_values", F.lit("{}"))).alias("top_values"))
+
+
 def sliding_batches(spark: SparkSession, df: DataFrame, size: int, stride: int, order: list[str]) -> DataFrame:
     """Rows with the ids of the batches that hold them: batch ``b`` has the places from ``b * stride`` to ``b * stride + size - 1``."""
     placed = numbered(spark, df, order, "_place")

@@ -41,4 +41,14 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the cluster's shared folder and reads it back."""
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._stored_at = path
+    return held
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files behind tables of :func:`table` that nothing reads any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(conf).delete(path, True)

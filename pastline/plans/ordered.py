@@ -31,6 +31,39 @@ def numbered(spark: SparkSession, df: DataFrame, order: list[str | Column], name
     return totals_before(spark, df, order, {name: F.lit(1).cast("long")})
 
 
+def numbered_within(spark: SparkSession, df: DataFrame, by: str, order: list[str | Column], name: str) -> DataFrame:
+    """``df`` with each row's place in ``order`` among the rows of the same ``by``, from 0. A value of ``by`` that most rows have is in many tasks."""
+    run = totals_before(spark, df, [by, *order], {"_before": F.lit(1).cast("long")})
+    starts = run.groupBy(F.col(by).alias("_by")).agg(F.min("_before").alias("_start"))
+    return run.join(starts, F.col(by).eqNullSafe(F.col("_by"))).select(*df.columns, (F.col("_before") - F.col("_start")).alias(name))
+
+
+def previous(spark: SparkSession, df: DataFrame, order: list[str], columns: dict[str, Column], last: bool = False) -> DataFrame:
+    """``df`` with the values that ``columns`` have in the row before, in ``order`` (without ties); null for the first row. With ``last``, each is
+    the latest value before the row that isn't null.
+
+    Rows are dealt by ranges and stored; where a range begins, the values come from the ranges before it, of which there is one row per
+    partition.
+    """
+    names = list(columns)
+    dealt = df.select("*", *[c.alias(f"_p{i}") for i, c in enumerate(columns.values())]).repartitionByRange(*[F.col(c) for c in order])
+    dealt = table(spark, dealt.withColumn("_range", F.spark_partition_id()), "ordered")
+    key = F.struct(*[F.col(c) for c in order])
+    if last:
+        ends = [F.max_by(F.when(F.col(f"_p{i}").isNotNull(), F.col(f"_p{i}")), F.when(F.col(f"_p{i}").isNotNull(), key)).alias(f"_e{i}") for i in range(len(names))]
+    else:
+        ends = [F.max_by(f"_p{i}", key).alias(f"_e{i}") for i in range(len(names))]
+    ranges = dealt.groupBy("_range").agg(*ends)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = [(F.last(f"_e{i}", True).over(before) if last else F.lag(f"_e{i}").over(Window.orderBy("_range"))).alias(f"_c{i}") for i in range(len(names))]
+    ranges = F.broadcast(ranges.select("_range", *carried))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    rows = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.select("*", F.row_number().over(inside).alias("_n"), *[(F.last(f"_p{i}", True).over(rows) if last else F.lag(f"_p{i}").over(inside)).alias(f"_l{i}") for i in range(len(names))])
+    at_start = [F.coalesce(f"_l{i}", f"_c{i}") if last else F.when(F.col("_n") == 1, F.col(f"_c{i}")).otherwise(F.col(f"_l{i}")) for i in range(len(names))]
+    return local.join(ranges, "_range").select(*df.columns, *[c.alias(n) for n, c in zip(names, at_start, strict=True)])
+
+
 def quantiles(df: DataFrame, value: str | Column, at: list[float], by: list[str] | None = None) -> DataFrame:
     """Per group of ``by`` (columns with few different values, such as a feature's name; none: one row): ``q``, the values at the shares ``at``,
     between neighbours by straight lines.

@@ -451,3 +451,61 @@ def boosted_trees(spark, sf_dir):
     return model.evaluate(spark, model.score(f, model.train(f, columns, maxIter=5, maxDepth=3), columns))
 
 
+def _hex(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH {EV}, u AS (SELECT tx_id, 1000000000000 // count(*) OVER (PARTITION BY label) AS units FROM ev), c AS (SELECT tx_id, units, sum(units) OVER (ORDER BY tx_id) - units AS at, sum(units) OVER () AS total FROM u),
+d AS (SELECT k AS draw, {_hex("'7-' || k")} % (SELECT max(total) FROM c)::BIGINT AS at FROM range(2000) x(k)) SELECT draw, tx_id FROM d JOIN c ON d.at >= c.at AND d.at < c.at + units""")
+def weighted_draws(spark, sf_dir):
+    """2,000 draws with replacement, both labels with equal shares in all."""
+    tx = _events(spark, sf_dir)
+    sizes = F.broadcast(tx.groupBy("label").agg(F.count("*").alias("n")))
+    return review.weighted_draws(spark, tx.join(sizes, "label").withColumn("units", F.expr("1000000000000 div n")), 2000, 7, "units")
+
+
+_LINKS = "lk AS (SELECT DISTINCT node, nx FROM (SELECT sender AS node, receiver AS nx FROM ev UNION ALL SELECT receiver, sender FROM ev) WHERE node <> nx)"
+
+
+def _walk_sql(length: int) -> str:
+    out = f"WITH {EV}, {_LINKS}, p AS (SELECT node, nx, row_number() OVER (PARTITION BY node ORDER BY nx) - 1 AS place, count(*) OVER (PARTITION BY node) AS degree FROM lk), w0 AS (SELECT DISTINCT sender AS root, k::INT AS walk, sender AS node FROM ev, range(2) x(k) WHERE tx_id % 10 = 3)"
+    for k in range(1, length + 1):
+        draw = _hex(f"concat_ws('-', 7, root, walk, {k})")
+        out += f", w{k} AS (SELECT root, walk, p.nx AS node FROM w{k - 1} w JOIN p ON p.node = w.node AND p.place = {draw} % p.degree)"
+    return out + " " + " UNION ALL ".join(f"SELECT root, walk, {k} AS step, node FROM w{k}" for k in range(length + 1))
+
+
+@query(_walk_sql(4))
+def graph_walks(spark, sf_dir):
+    tx = _events(spark, sf_dir)
+    return graph.random_walks(spark, tx, tx.where("tx_id % 10 = 3").select(F.col("sender").alias("node")).distinct(), 4, 2)
+
+
+def _sample_sql(fanouts: list[int]) -> str:
+    out = f"WITH {EV}, {_LINKS}, f0 AS (SELECT DISTINCT sender AS root, sender AS node FROM ev WHERE tx_id % 50 = 3)"
+    for hop, k in enumerate(fanouts, 1):
+        draw = _hex(f"concat_ws('-', 7, root, {hop}, f.node, nx)")
+        out += f", s{hop} AS (SELECT root, node, nx FROM (SELECT root, f.node, nx, row_number() OVER (PARTITION BY root, f.node ORDER BY {draw}, nx) AS r FROM f{hop - 1} f JOIN lk ON lk.node = f.node) WHERE r <= {k}), f{hop} AS (SELECT DISTINCT root, nx AS node FROM s{hop})"
+    return out + " " + " UNION ALL ".join(f"SELECT root, {h} AS hop, node, nx AS next FROM s{h}" for h in range(1, len(fanouts) + 1))
+
+
+@query(_sample_sql([5, 3]))
+def graph_sampled_neighbours(spark, sf_dir):
+    tx = _events(spark, sf_dir)
+    return graph.sampled_neighbours(spark, tx, tx.where("tx_id % 50 = 3").select(F.col("sender").alias("node")).distinct(), [5, 3])
+
+
+def _profile_sql() -> str:
+    parts = []
+    for c, kind in (("few", "double"), ("tx_id", "bigint"), ("kind", "string"), ("split", "string")):
+        number = kind != "string"
+        known = f"NOT coalesce(isnan({c}), true)" if kind == "double" else f"{c} IS NOT NULL"
+        stats = f"min({c}) FILTER ({known})::DOUBLE AS low, max({c}) FILTER ({known})::DOUBLE AS high, round(avg({c}) FILTER ({known}), 6) AS mean, NULL::VARCHAR AS top_values" if number else f"NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mean, (SELECT '{{' || string_agg('\"' || v || '\":' || n, ',' ORDER BY n DESC, v) || '}}' FROM (SELECT {c} AS v, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 5)) AS top_values"
+        parts.append(f"SELECT '{c}' AS \"column\", '{kind}' AS type, count(*) FILTER ({known}) AS non_null, count(*) - count(*) FILTER ({known}) AS missing, round((count(*) - count(*) FILTER ({known})) / count(*), 6) AS missing_rate, count(DISTINCT {c}) FILTER ({known}) AS n_unique, {stats} FROM d")
+    return f"WITH {DT} " + " UNION ALL ".join(parts)
+
+
+@query(_profile_sql())
+def column_profile(spark, sf_dir):
+    p = review.column_profile(_dirty(spark, sf_dir), ["few", "tx_id", "kind", "split"])
+    return rounded(p.withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double")}))
