@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastline.functions.scalars import base_ratios, derived_name, non_negative
 from pastline.plans.ordered import numbered, quantiles
 from pastline.sources.tables import InputError
 
@@ -25,6 +26,12 @@ def encode(df: DataFrame, column: str) -> DataFrame:
     return joined.select(*df.columns, F.coalesce("code", F.lit(-1)).alias(f"{column}_code"), F.coalesce("code", "_size").alias(f"{column}_node"), F.coalesce("value", F.lit(UNKNOWN)).alias(f"{column}_native"))
 
 
+def encode_one(df: DataFrame, column: str, name: str, source: DataFrame) -> DataFrame:
+    """``df`` with the code of ``column`` by the train rows of ``source``; unseen and null are -1."""
+    vocab = vocabulary(source, column).toDF("_value", "_code")
+    return df.join(vocab, F.col(column).cast("string") == F.col("_value"), "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("_code", F.lit(-1)).alias(name))
+
+
 def unknown_summary(df: DataFrame, column: str) -> DataFrame:
     """Per split: rows with a value that train lacks, how many such values, and the first five."""
     unseen = df.where(F.col(column).isNotNull()).join(vocabulary(df, column), F.col(column).cast("string") == F.col("value"), "left_anti")
@@ -80,3 +87,33 @@ def check_sentinels(df: DataFrame, recency: str, first: str) -> int:
     """Rows whose recency is -1 without being first, or the other way round, or negative otherwise."""
     r, f = F.col(recency), F.col(first)
     return df.agg(F.count_if(((r == -1) != (f == 1)) | ((r < 0) & (r != -1))).alias("n")).first()["n"]
+
+
+def post_stage(df: DataFrame, features: list[str], recency: dict[str, str], q: float = 0.9999) -> DataFrame:
+    """``df`` with, for each base ratio among ``features``, its log1p and its value clipped at the train quantile (named by :func:`derived_name`), and
+    with the sentinel of the ``recency`` columns (each with its first-row flag) as 0.
+
+    All quantiles are fitted in one pass over the train rows. A ratio below 0, and a recency of -1 that its flag does not match, are errors when
+    the row is read.
+    """
+    ratios = base_ratios(features)
+    caps = quantiles_of_train(df, {c: (F.col(f"`{c}`"), q) for c in ratios}) if ratios else None
+    joined = df.join(F.broadcast(caps)) if ratios else df  # one row
+    columns = []
+    for c in df.columns:
+        x = F.col(f"`{c}`")
+        if c in recency:
+            first = F.col(f"`{recency[c]}`")
+            bad = ((x == -1) != (first == 1)) | ((x < 0) & (x != -1))
+            x = F.when(bad, F.raise_error(F.lit(f"{c} does not match {recency[c]}")).cast("double")).otherwise(sentinel_to_zero(x))
+        columns.append(x.alias(c))
+    for c in ratios:
+        x = non_negative(F.col(f"`{c}`"), c)
+        columns += [F.log1p(x).alias(derived_name(c, "log1p")), F.least(F.col(f"`{c}`"), F.col(f"`cap|{c}`")).alias(derived_name(c, "clip_train_p9999"))]
+    return joined.select(*columns)
+
+
+def clip_summary(df: DataFrame, features: list[str]) -> DataFrame:
+    """``feature, split, clipped``: rows of each split whose value :func:`post_stage` clipped, per base ratio of ``features``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"`{c}`") > F.col(f"`{derived_name(c, 'clip_train_p9999')}`")).alias("over")) for c in base_ratios(features)])).alias("p")
+    return df.select("split", pairs).groupBy("p.feature", "split").agg(F.count_if("p.over").alias("clipped"))

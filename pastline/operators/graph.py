@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pastline.plans.checkpoint import drop, table
 from pastline.plans.ordered import numbered, numbered_within, previous
+from pastline.sources.tables import InputError
 
 
 def nodes(tx: DataFrame) -> DataFrame:
@@ -61,6 +62,48 @@ def formatted_edges(tx: DataFrame, mapping: DataFrame) -> DataFrame:
     return e.join(one, "from_id", "left").join(two, "to_id", "left").select("tx_id", "from_id", "to_id", "from_idx", "to_idx", "amount", "us", "split", "label")
 
 
+def with_node_features(edges: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
+    """``edges`` (``from_idx, to_idx`` ...) with both nodes' ``columns`` of ``features`` (``node_idx``), as ``from_*`` and ``to_*``; 0 for a node without a
+    row or a value. Column names may not hide those of the edges. A repeated ``node_idx`` is an error."""
+    made = [f"{side}_{c}" for side in ("from", "to") for c in columns]
+    if set(made) & set(edges.columns):
+        raise InputError(f"{', '.join(sorted(set(made) & set(edges.columns)))} would be hidden")
+    once = features.groupBy("node_idx").agg(F.count("*").alias("_n"), *[F.max(F.col(c).cast("double")).alias(c) for c in columns])
+    once = once.select("node_idx", *[F.when(F.col("_n") > 1, F.raise_error(F.lit("a node has several rows of features")).cast("double")).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in columns])
+    out = edges
+    for side in ("from", "to"):
+        mine = once.select(F.col("node_idx").alias("_node"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+        out = out.join(mine, F.col(f"{side}_idx") == F.col("_node"), "left").drop("_node")
+    return out.na.fill(0.0, made).select(*edges.columns, *made)
+
+
+def feature_metadata(columns: list[tuple[str, str]], kind: str) -> list[dict]:
+    """For each (name, type) of an ``edge`` or ``node`` table: is it a feature, where it comes from, how it could leak, what a null becomes. By names
+    (fixed values)."""
+    node = {
+        **dict.fromkeys(("train_only_pagerank",), ("unweighted_pagerank", "fit_on_train_split_edges_only", "fill_0_for_val_test_only_node")), **dict.fromkeys(("train_only_in_degree", "train_only_out_degree"), ("train_edge_graph", "train_split_edges_only", "fill_0_for_val_test_only_node")),
+        **dict.fromkeys(("train_only_in_amount_sum_log1p", "train_only_out_amount_sum_log1p"), ("train_edge_aggregation", "train_split_edges_only", "fill_0_for_val_test_only_node")),
+    }
+    row = ("current_transaction_row", "low", "as_is_or_current_row_transform")
+    current = ("amount", "amount__current__log1p", "amount_received__current__value", "amount_received__current__log1p", "cat__payment_currency__code", "cat__receiving_currency__code", "cat__payment_format__code")
+    time = ("time__row__hour", "time__row__dayofweek", "time__row__is_weekend")
+    out = []
+    for name, dtype in columns:
+        if kind == "node":
+            used = name not in ("node_idx", "account_id")
+            source, risk, null = node.get(name, ("identifier_or_status", "review" if used else "not_model_feature", "not_applicable"))
+        else:
+            used = name not in ("from_id", "to_id", "split", "label")
+            if not used:
+                source, risk, null = "metadata_or_edge_endpoint", "not_model_feature", "must_not_null" if name in ("from_id", "to_id") else "not_applicable"
+            elif name.startswith("pair_"):
+                source, risk, null = "safe_pair_history", "low_if_past_timestamp_only", "fill_0_when_no_past_pair_history"
+            else:
+                source, risk, null = ("timestamp_derived", "low", "not_null") if name in time else row if name in current else ("edge_feature_candidate", "review", "review")
+        out.append({"column_name": name, "dtype": dtype, "used": used, "source": source, "leakage": risk, "null_policy": null})
+    return out
+
+
 def graph_checks(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """``check, violations`` of a formatted edge list and its account mapping; every check has a row. An edge of val or test must come after all
     edges of the splits before it."""

@@ -122,6 +122,23 @@ def attach_split(tx: DataFrame, source: DataFrame) -> DataFrame:
     return joined.withColumn("split", F.coalesce("split", F.raise_error(F.lit("a transaction has no split"))))
 
 
+def align_by_key(left: DataFrame, right: DataFrame, key: str, metadata: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right`` by ``key``. Keys that repeat or that only one side has, and ``metadata`` that differ between the
+    sides (two nulls are equal), are errors, found in one pass before anything is joined for good."""
+    mark = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"_n{n}"), *[F.max(c).alias(f"_{c}{n}") for c in metadata])
+    both = mark(left, 1).withColumnRenamed(key, "_k1").join(mark(right, 2).withColumnRenamed(key, "_k2"), F.col("_k1").eqNullSafe(F.col("_k2")), "full")
+    r = both.agg(
+        F.count_if((F.col("_n1") > 1) | (F.col("_n2") > 1)).alias("repeated keys"), F.count_if(F.col("_n1").isNull()).alias("keys on the right alone"), F.count_if(F.col("_n2").isNull()).alias("keys on the left alone"),
+        *[F.count_if(F.col("_n1").isNotNull() & F.col("_n2").isNotNull() & ~F.col(f"_{c}1").eqNullSafe(F.col(f"_{c}2"))).alias(f"rows with another {c}") for c in metadata],
+    ).first()
+    bad = [f"{n} {what}" for what, n in r.asDict().items() if n]
+    if bad:
+        raise InputError("; ".join(bad))
+    more = [c for c in right.columns if c != key and c not in metadata and c not in left.columns]
+    other = right.select(F.col(key).alias("_key"), *more)
+    return left.join(other, F.col(key).eqNullSafe(F.col("_key"))).select(*left.columns, *more)
+
+
 def load_split(spark: SparkSession, path: str, features: list[str], expected: str, label: str = "label", allow_missing: bool = False, rows: int | None = None) -> DataFrame:
     """``label`` and the features in order, of a stored split that passes every check."""
     df = spark.read.parquet(path)

@@ -13,10 +13,12 @@ FLOW_WINDOWS = ("6h", "1d", "3d", "7d")
 BANK_WINDOWS, STABLE_WINDOWS, SENDER_PASS_WINDOWS = ("1d", "3d", "7d"), ("1d", "3d", "7d"), ("1h", "6h", "1d")
 
 
-def baseline(value: str = "amount") -> list[FeatureSpec]:
-    """Current-row features that need no fit: the amount, its log1p, hour, weekday and weekend."""
+def baseline(value: str = "amount", categories: tuple[str, ...] = ()) -> list[FeatureSpec]:
+    """Current-row features: the amount, its log1p, hour, weekday and weekend, and a train-fitted code of each of ``categories`` (five of them make
+    the ten columns of the baseline)."""
     parts = [FeatureSpec("datetime_part", f"base__{n}", {}, {"part": p}) for n, p in (("dayofweek", "dayofweek"), ("hour", "hour"), ("is_weekend", "is_weekend"))]
-    return [FeatureSpec("log1p", "base__amount_log1p", {"value": value}), FeatureSpec("current_value", "base__amount", {"value": value}), *parts]
+    codes = [FeatureSpec("category_code", f"base__{c}__code", {"value": c}) for c in categories]
+    return [FeatureSpec("log1p", "base__amount_log1p", {"value": value}), FeatureSpec("current_value", "base__amount", {"value": value}), *codes, *parts]
 
 
 def stage0(sender: str = "sender", receiver: str = "receiver", amount: str = "amount", received: str = "amount_received") -> list[FeatureSpec]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastline.functions.scalars import date_of, hour_of
-from pastline.operators.fitted import quantiles_of_train
+from pastline.operators.fitted import encode_one, quantiles_of_train
 from pastline.plans import relations as R
 from pastline.plans.checkpoint import table
 from pastline.plans.frames import history
@@ -59,7 +59,7 @@ def _self_loop(s: FeatureSpec) -> Column:
 ROW: dict[str, Callable[[FeatureSpec], Column]] = {
     "recency_seconds_since_last": _recency, "is_first_by_entity": _is_first, "cumulative_count": _cumulative, "current_value": _value, "log1p": _log1p, "datetime_part": _part, "current_self_loop": _self_loop,
 }
-OPERATIONS = (*ROW, *R.ENTITY, *R.ACCOUNT, "pair_window", "pair_history", "bank_pair_history")
+OPERATIONS = (*ROW, *R.ENTITY, *R.ACCOUNT, "pair_window", "pair_history", "bank_pair_history", "category_code")
 #: Fixed names of two metrics that are fitted on the train split.
 BALANCED, CLIPPED = "balanced_state_flag", "current_vs_forward_mean_ratio_log1p_clip_p999_hist2"
 
@@ -77,7 +77,7 @@ def _check(s: FeatureSpec, columns: list[str]) -> None:
         raise SpecError(f"{s.output!r}: unknown metric {metric!r} or role {role!r}")
     if s.operation == "passflow_window" and (metric not in R.PASS or (role == "receiver") != (metric == "historical_sequence_count")):
         raise SpecError(f"{s.output!r}: metric {metric!r} is not one of role {role!r}")
-    if metric in (BALANCED, CLIPPED) and "split" not in columns:
+    if (metric in (BALANCED, CLIPPED) or s.operation == "category_code") and "split" not in columns:
         raise SpecError(f"{s.output!r} is fitted on the train split: no column split")
 
 
@@ -162,6 +162,8 @@ def build_features(df: DataFrame, specs: list[FeatureSpec], keep: tuple[str, ...
         out = out.select("*", *[c.alias(n) for n, c in columns])
     for s in of("bank_pair_history"):
         out = R.earlier_rows(out, [s.role("sender_bank"), s.role("receiver_bank")], s.output, df)
+    for s in of("category_code"):
+        out = encode_one(out, s.role("value"), s.output, df)
     if accounts := of(*R.ACCOUNT):
         out, more = _account(out, df, key, accounts)
         fits += more

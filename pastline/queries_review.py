@@ -7,15 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from pastline.functions import scalars
-from pastline.operators import encoding, flows, graph, model, review, validation
+from pastline.operators import encoding, fitted, flows, graph, model, review, validation
 from pastline.plans import catalog
-from pastline.plans.checkpoint import shared_dir
+from pastline.plans.checkpoint import shared_dir, table
 from pastline.plans.compiler import build_features
 from pastline.queries import (
     _COLS, _CRAMER, _DLONG, _LONG, _MESS, _ZERO, APART, DT, EV, FT, SC, SP, _dirty, _eta, _events, _features, _h, _pairwise, _ranks_sql, _scores, _split, _w, _woe_sql, query, rounded,
 )
 from pastline.sources import files
-from pastline.specs import parse_window
+from pastline.specs import FeatureSpec, parse_window
 
 _CONF = SC.replace("s AS (SELECT tx_id, label,", "s AS (SELECT tx_id, label, amount, us,") + ", c AS (SELECT *, CASE WHEN score >= 0.5 THEN CASE WHEN label = 1 THEN 'TP' ELSE 'FP' END WHEN label = 1 THEN 'FN' ELSE 'TN' END AS grp FROM s)"
 _TX = "tx_id long, us long, split string, label int, amount double"
@@ -509,3 +509,56 @@ def _profile_sql() -> str:
 def column_profile(spark, sf_dir):
     p = review.column_profile(_dirty(spark, sf_dir), ["few", "tx_id", "kind", "split"])
     return rounded(p.withColumns({"low": F.col("low").cast("double"), "high": F.col("high").cast("double")}))
+
+
+_BASE = ("fmt", "sender_bank", "receiver_bank", "sender", "receiver")
+
+
+@query(f"""WITH {SP}, {", ".join(f"v_{c} AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS code FROM (SELECT DISTINCT {c}::VARCHAR AS c FROM t WHERE split = 'train'))" for c in _BASE)}
+SELECT tx_id, round(ln(1 + amount), 6) AS base__amount_log1p, round(amount::DOUBLE, 6) AS base__amount, {", ".join(f"coalesce(v_{c}.code, -1)::INT AS base__{c}__code" for c in _BASE)}, (isodow(make_timestamp(us)) - 1)::INT AS base__dayofweek, hour(make_timestamp(us))::INT AS base__hour, (isodow(make_timestamp(us)) >= 6)::INT AS base__is_weekend
+FROM t {" ".join(f"LEFT JOIN v_{c} ON v_{c}.c = t.{c}::VARCHAR" for c in _BASE)}""")
+def baseline_features(spark, sf_dir):
+    """The ten current-row columns."""
+    return rounded(build_features(_split(spark, sf_dir), catalog.baseline(categories=_BASE), ("tx_id",)))
+
+
+_POST = f"""{SP}, a AS (SELECT tx_id, split, coalesce((us - max(us) {_h("sender")}) / 1e6, -1)::DOUBLE AS rec, (count(*) {_h("sender")} = 0)::INT AS first, coalesce(amount / nullif(avg(amount) {_w(86_400_000_000)}, 0), 0)::DOUBLE AS ratio, coalesce(amount / nullif(avg(amount) {_w(86_400_000_000, "receiver")}, 0), 0)::DOUBLE AS back FROM t),
+c AS (SELECT quantile_cont(ratio, 0.9999) AS c1, quantile_cont(back, 0.9999) AS c2 FROM a WHERE split = 'train')"""
+
+
+def _posted(spark, sf_dir):
+    value = lambda e: {"entity": e, "value": "amount"}
+    specs = [
+        FeatureSpec("recency_seconds_since_last", "rec", {"entity": "sender"}), FeatureSpec("is_first_by_entity", "first", {"entity": "sender"}),
+        FeatureSpec("cur_vs_mean_ratio", "out__ratio__w1d", value("sender"), {"window": "1d"}), FeatureSpec("cur_vs_mean_ratio", "in__ratio__w1d", value("receiver"), {"window": "1d"}),
+    ]
+    f = table(spark, build_features(_split(spark, sf_dir), specs, ("tx_id", "split")), "features")
+    return fitted.post_stage(f, f.columns, {"rec": "first"})
+
+
+@query(f"""WITH {_POST} SELECT tx_id, split, CASE WHEN rec = -1 THEN 0 ELSE rec END AS rec, first, round(ratio + {APART}, 6) AS out__ratio__w1d, round(back + {APART}, 6) AS in__ratio__w1d, round(ln(1 + ratio) + {APART}, 6) AS out__ratio__log1p__w1d,
+  round(least(ratio, c1) + {APART}, 6) AS out__ratio__clip_train_p9999__w1d, round(ln(1 + back) + {APART}, 6) AS in__ratio__log1p__w1d, round(least(back, c2) + {APART}, 6) AS in__ratio__clip_train_p9999__w1d FROM a, c""")
+def post_features(spark, sf_dir):
+    return rounded(_posted(spark, sf_dir), apart=APART)
+
+
+@query(f"WITH {_POST} SELECT 'out__ratio__w1d' AS feature, split, count(*) FILTER (ratio > c1) AS clipped FROM a, c GROUP BY 2 UNION ALL SELECT 'in__ratio__w1d', split, count(*) FILTER (back > c2) FROM a, c GROUP BY 2")
+def clip_summary(spark, sf_dir):
+    posted = _posted(spark, sf_dir)
+    return fitted.clip_summary(posted, ["out__ratio__w1d", "in__ratio__w1d"])
+
+
+@query(f"WITH {SP}, {_MAP}, d AS (SELECT node, count(*) AS n FROM (SELECT DISTINCT sender AS node, receiver FROM t WHERE split = 'train') GROUP BY 1) SELECT tx_id, a.idx AS from_idx, b.idx AS to_idx, coalesce(x.n, 0)::DOUBLE AS from_out_degree, coalesce(y.n, 0)::DOUBLE AS to_out_degree FROM t JOIN mp a ON a.node = sender JOIN mp b ON b.node = receiver LEFT JOIN d x ON x.node = sender LEFT JOIN d y ON y.node = receiver")
+def graph_node_features(spark, sf_dir):
+    tx = _split(spark, sf_dir)
+    mapping = table(spark, graph.node_map(tx), "nodes")
+    edges = graph.formatted_edges(tx, mapping).select("tx_id", "from_idx", "to_idx")
+    features = graph.degrees(tx).join(mapping, "node").where("out_degree > 0").select(F.col("idx").alias("node_idx"), "out_degree")  # the others have no row
+    return graph.with_node_features(edges, features, ["out_degree"])
+
+
+@query(f"WITH {SP} SELECT tx_id, split, label, round(amount * 2, 6) AS twice FROM t")
+def aligned_parts(spark, sf_dir):
+    """Two files of the same rows, joined by id after their metadata were found equal."""
+    tx = _split(spark, sf_dir)
+    return rounded(validation.align_by_key(tx.select("tx_id", "split", "label"), tx.select("tx_id", "label", "split", (F.col("amount") * 2).alias("twice")), "tx_id", ["split", "label"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,33 @@ def rows_hash(df: DataFrame) -> str:
     part = lambda at: F.conv(F.substring(F.col("h"), at, 15), 16, 10)
     r = df.select(row.alias("h")).agg(F.count("*").alias("n"), F.sum(part(1).cast("decimal(20,0)")).alias("s"), F.bit_xor(part(16).cast("long")).alias("x")).first()
     return text_hash(to_json([r["n"], str(r["s"]), r["x"]]))
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of a stored table: names, lengths and times of its files, without reading them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.unix_micros("modificationTime").alias("us"))
+    return text_hash(to_json([list(r) for r in files.orderBy("name", "length", "us").collect()]))
+
+
+def cached(spark: SparkSession, spec: dict, source: str, store: str, compute: Callable[[], DataFrame], force: bool = False) -> tuple[DataFrame, str]:
+    """The result of ``compute`` for ``spec`` over the table stored at ``source``, kept under ``store``, and ``hit``, ``miss`` or ``stale``.
+
+    A kept result is used if it was made by an equal spec from files that are still the same; if they changed it is made again, as with
+    ``force``. A result counts once its record is written, which comes last.
+    """
+    at, now = f"{store}/{text_hash(to_json(spec))}", fingerprint(spark, source)
+    key = f"{at}/{now}"
+    if not force and files_at(spark, f"{key}/record") and read_json(spark, f"{key}/record")[0] == {"spec": spec, "source": now}:
+        return spark.read.parquet(f"{key}/result"), "hit"
+    state = "stale" if files_at(spark, at) else "miss"
+    if files_at(spark, key):  # an unfinished or forced one
+        where = spark._jvm.org.apache.hadoop.fs.Path(key)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    compute().write.parquet(f"{key}/result")
+    write_json(spark, {"spec": spec, "source": now}, f"{key}/record")
+    return spark.read.parquet(f"{key}/result"), state
+
+
+def files_at(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

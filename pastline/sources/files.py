@@ -45,6 +45,13 @@ def write(spark: SparkSession, df: DataFrame, path: str, kind: str = "parquet",
     df.write.mode("overwrite" if overwrite else "error").options(**({"header": True} if kind == "csv" else {})).format(kind).save(path)
 
 
+def write_sorted(spark: SparkSession, df: DataFrame, path: str, order: list[str], overwrite: bool = False) -> None:
+    """Parquet files that are in ``order`` one after another (by name) and inside: rows are dealt by ranges and sorted there. ``order`` should end in a
+    unique column, or equal rows stand in any order."""
+    guard(spark, [path], overwrite)
+    df.orderBy(*order).write.mode("overwrite" if overwrite else "error").parquet(path)
+
+
 def write_splits(spark: SparkSession, df: DataFrame, path: str, overwrite: bool = False) -> dict[str, str]:
     """All rows under ``all`` and each split's under its own name, read from the stored whole. A row of another split, or of none, is an error before
     any split is written, so that the parts have all rows."""
