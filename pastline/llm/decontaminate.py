@@ -236,7 +236,14 @@ def _search(index: Index, hashes: np.ndarray, before: np.ndarray, similarity: fl
                         entry[3] += 1
                         if value > entry[0]:
                             entry[:3] = [value, int(at[lo + w] - before[row]), size + k - 1]
-    return [(row, index.names[i], *v) for (row, i), v in best.items()]
+    found: dict[tuple[int, int | None], list] = {}
+    for (row, i), v in best.items():  # texts of one item_id are one item
+        held = found.setdefault((row, index.names[i]), v)
+        if held is not v:
+            held[3] += v[3]
+            if v[0] > held[0]:
+                held[:3] = v[:3]
+    return [(row, name, *v) for (row, name), v in found.items()]
 
 
 def _parts(spark: SparkSession, benchmark: DataFrame) -> Iterator[Index]:
@@ -279,7 +286,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sim
 
     A document with fewer shingles than the item is judged whole.
 
-    ``word_start`` and ``n_words`` tell the best window, ``n_windows`` how many reach the bound. Null texts match nothing; clean
+    ``word_start`` and ``n_words`` tell the best window, ``n_windows`` how many reach the bound; rows of one item_id are one item, with the windows
+    of all its texts. Null texts match nothing; clean
     documents have no row; an empty benchmark gives an empty result. Rows of one doc_id are judged, and named, each by its own text; of
     equally similar windows the first is told. A very long text is taken whole, alone in its kernel call.
     """

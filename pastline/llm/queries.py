@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastline.llm import chat, classifier, collocations, decontaminate, exactdedup, langid, linededup, ngramjoin, packing, repair, rules, substrings, tokenfiles
@@ -13,6 +13,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out() -> Column:
+    """A row without a doc_id is not held out: it teaches."""
+    return (F.coalesce(langid.remainder(), F.lit(0)) == 2).alias("held_out")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(spark, _read(spark, sf_dir, "documents"), default_vocabulary())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -54,14 +59,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.with_language(spark, _read(spark, sf_dir, "documents"))
-    return found.select("doc_id", (langid.remainder() == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(), "lang_pred", "score")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     model = classifier.fit(docs, labels.where(langid.remainder() != 2))
-    return classifier.score(spark, docs, model).select("doc_id", (langid.remainder() == 2).alias("held_out"), "score", (F.col("score") >= classifier.CUT).cast("int").alias("predicted"))
+    return classifier.score(spark, docs, model).select("doc_id", _held_out(), "score", (F.col("score") >= classifier.CUT).cast("int").alias("predicted"))
 
 
 def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

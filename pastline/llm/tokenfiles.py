@@ -28,7 +28,7 @@ _BLOCK_TYPES = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("n_texts
 
 
 def blocks(docs: DataFrame, vocabulary: str, block_tokens: int = R.BLOCK_TOKENS) -> DataFrame:
-    """Coded blocks of the texts in ascending doc_id order (ties in any order); a null text is empty."""
+    """Coded blocks of the texts in ascending doc_id order (rows of one doc_id by text); a null text is empty."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(vocabulary)

@@ -95,3 +95,13 @@ def test_packing_and_token_files_of_repeated_ids(spark, frame, rows, tmp_path):
         tokenfiles.blocks(frame.repartition(1 + 4 * k), default_vocabulary(), block_tokens=50).write.parquet(path)
         starts.append(sorted(map(tuple, tokenfiles.read_ids(spark, path).collect()), key=lambda r: r[1]))
     assert starts[0] == starts[1] and Counter((r[0], r[2]) for r in starts[0]) == sizes
+
+
+def test_repeated_items_are_one_item(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    other = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"a b {passage} c {other}"), (2, "clean words only")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage), (7, passage), (7, other), (8, other)], "item_id long, text string")
+    got = decontaminate.contaminated(spark, docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 7), (1, 8)]
+    assert all(r["similarity"] == 1.0 for r in got)
