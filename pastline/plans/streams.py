@@ -68,6 +68,26 @@ def before(x: np.ndarray, kind=np.int64) -> np.ndarray:
     return np.concatenate([np.zeros(1, kind), np.cumsum(x, dtype=kind)])
 
 
+#: Bits of a part of a value: totals of 2 ** 32 rows fit 64 bits.
+LIMB = 30
+
+
+def _limbs(x: np.ndarray) -> tuple[int, list[np.ndarray]]:
+    """Running totals of ``x`` as whole numbers, and the power of two that the first counts in; each further one counts in units less by ``LIMB`` bits.
+    Three hold every bit of values down to 2 ** -37 of the largest; what is below 2 ** -90 of it is rounded."""
+    most = np.abs(x).max(initial=0.0)
+    unit = int(np.frexp(most)[1]) - LIMB
+    out, rest = [], x
+    for k in range(3):
+        scaled = np.ldexp(rest, LIMB * k - unit)
+        whole = np.floor(scaled) if k < 2 else np.rint(scaled)
+        out.append(before(whole.astype(np.int64)))
+        rest = rest - np.ldexp(whole, unit - LIMB * k)
+        if not rest.any():
+            break
+    return unit, out
+
+
 class Frames:
     """Aggregates of one column over any frames of a chunk, with SQL's treatment of null, NaN and infinity."""
 
@@ -75,14 +95,10 @@ class Frames:
         self.chunk = chunk
         finite = np.isfinite(x)
         ok = known & finite
-        self.known, self.x = known, x
+        self.known, self.x, self.ok = known, x, ok
         self.n = before(known)
-        # Around the key's mean, so that little is lost in the differences of long totals.
-        size = np.maximum(np.add.reduceat(ok.astype(np.int64), chunk.begins), 1)
-        mean = np.add.reduceat(np.where(ok, x, 0.0), chunk.begins) / size
-        self.centre = np.repeat(mean, chunk.ends - chunk.begins).astype(np.longdouble)
-        d = np.where(ok, np.where(finite, x, 0.0).astype(np.longdouble) - self.centre, 0)
-        self.s1, self.s2 = before(d, np.longdouble), before(d * d, np.longdouble)
+        self.unit, self.limbs = _limbs(np.where(ok, x, 0.0))
+        self._spread: tuple[np.ndarray, np.ndarray] | None = None
         self.odd = None if finite[known].all() else [before(known & y) for y in (np.isnan(x), x == np.inf, x == -np.inf)]
         self._tables: dict[bool, list[np.ndarray]] = {}
 
@@ -92,19 +108,30 @@ class Frames:
     def sum(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """NaN marks an empty frame, like SQL's null."""
         n = self.count(lo, hi)
-        out = (self.s1[hi] - self.s1[lo] + self.centre * n).astype(np.float64)
+        out = self._exact(lo, hi)
         if self.odd is not None:
             nan, plus, minus = (p[hi] - p[lo] > 0 for p in self.odd)
             out = np.where(nan | plus & minus, np.nan, np.where(plus, np.inf, np.where(minus, -np.inf, out)))
         return np.where(n > 0, out, np.nan)
 
+    def _exact(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The sum of finite values, rounded once at the end: nothing stays behind of rows outside the frame."""
+        parts = [p[hi] - p[lo] for p in self.limbs]
+        for k in range(len(parts) - 1, 0, -1):
+            parts[k - 1] += parts[k] >> LIMB
+            parts[k] &= (1 << LIMB) - 1
+        total = np.zeros(len(lo), np.longdouble)
+        for k in range(len(parts) - 1, -1, -1):
+            total += np.ldexp(parts[k].astype(np.longdouble), self.unit - LIMB * k)
+        return total.astype(np.float64)
+
     def mean(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return self.sum(lo, hi) / np.maximum(self.count(lo, hi), 1)
 
     def std(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Of the sample; NaN with fewer than two values."""
         n = self.count(lo, hi)
-        one, two = self.s1[hi] - self.s1[lo], self.s2[hi] - self.s2[lo]
+        one, two = (p[hi] - p[lo] for p in self._around_mean())
         out = np.sqrt(np.maximum(two - one * one / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)).astype(np.float64)
         same = self.extreme(lo, hi, True) == self.extreme(lo, hi, False)
         out = np.where(same, 0.0, out)  # equal values have no spread, whatever rounding leaves
@@ -112,6 +139,17 @@ class Frames:
             out = np.where(sum(p[hi] - p[lo] for p in self.odd) > 0, np.nan, out)
         return np.where(n > 1, out, np.nan)
 
+    def _around_mean(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running totals of the distance to the key's mean and of its square, so that little is lost in their differences."""
+        if self._spread is None:
+            begins, ends = self.chunk.begins, self.chunk.ends
+            size = np.maximum(np.add.reduceat(self.ok.astype(np.int64), begins), 1)
+            mean = np.add.reduceat(np.where(self.ok, self.x, 0.0), begins) / size
+            d = np.where(self.ok, self.x, 0.0).astype(np.longdouble)
+            d = np.where(self.ok, d - np.repeat(mean, ends - begins), 0)
+            self._spread = before(d, np.longdouble), before(d * d, np.longdouble)
+        return self._spread
+
     def extreme(self, lo: np.ndarray, hi: np.ndarray, largest: bool) -> np.ndarray:
         """NaN is above all numbers, and marks an empty frame."""
         pick = np.maximum if largest else np.fmin  # maximum keeps a NaN, fmin passes over it

@@ -2,10 +2,14 @@
 
 import math
 import random
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pastline.operators import fitted
 from pastline.plans import catalog, relations, streams
 from pastline.plans.compiler import BALANCED, build_features
 from pastline.plans.frames import past
@@ -149,3 +153,34 @@ def test_no_rows(spark):
     df = spark.createDataFrame([], TX)
     for stage in (catalog.stage2, catalog.stage3, catalog.stage4):
         assert build_features(df, stage()).count() == 0
+
+
+def _zero_windows(senders=20, cycles=60, seed=5):
+    """Per sender, over and over: two amounts, days later an amount of 0, and a row (test) whose window holds that 0 alone."""
+    rng = random.Random(seed)
+    out = []
+    for s in range(senders):
+        for i in range(cycles):
+            t = i * 400_000
+            own = [(t, round(rng.expovariate(rng.choice([0.00001, 30])), 2)), (t + 10, 1.0), (t + 200_000, 0.0), (t + 200_010, round(rng.expovariate(0.00001), 2))]
+            out += [(f"s{s}", at * S, v, "test" if at == t + 200_010 else "train") for at, v in own]
+    return [(i, s, "shop", 0, 0, t, v, v, split) for i, (s, t, v, split) in enumerate(out)]
+
+
+def test_nothing_stays_of_rows_that_left_a_ratio_window(spark):
+    df = spark.createDataFrame(_zero_windows(), TX)
+    spec = FeatureSpec("cur_vs_mean_ratio", "out__ratio__w1d", {"entity": "sender", "value": "amount"}, {"window": "1d"})
+    f = build_features(df, [spec], ("tx_id", "split"))
+    assert {r[1] for r in fitted.post_stage(f, f.columns, {}).where("split = 'test'").select("tx_id", "out__ratio__w1d").collect()} == {0.0}
+
+
+def test_sums_are_rounded_once():
+    rng = np.random.default_rng(3)
+    n = 2000
+    us = np.sort(rng.integers(0, 900, (4, n // 4)), axis=1).ravel()
+    for scale in (1.0, 1e-300, 1e290):
+        x = np.round(rng.exponential(50, n), 2) * rng.choice([1, 0, -1], n) * scale
+        chunk = streams.Chunk(pa.table({"us": us, "x": x}), np.repeat(np.arange(4), n // 4), "us", 1000)
+        lo, hi = chunk.lo(100), chunk.hi()
+        got = streams.Frames(chunk, x, np.ones(n, bool)).sum(lo, hi)
+        assert all(g == float(sum(map(Fraction, x[a:b].tolist()))) for g, a, b in zip(got, lo, hi, strict=True) if b > a)
