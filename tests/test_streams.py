@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pastline.operators import fitted
+from pastline.operators import fitted, flows
 from pastline.plans import catalog, relations, streams
 from pastline.plans.compiler import BALANCED, build_features
 from pastline.plans.frames import past
@@ -174,6 +174,12 @@ def test_nothing_stays_of_rows_that_left_a_ratio_window(spark):
     assert {r[1] for r in fitted.post_stage(f, f.columns, {}).where("split = 'test'").select("tx_id", "out__ratio__w1d").collect()} == {0.0}
 
 
+def test_balanced_state_without_history_but_zeros(spark):
+    tx = spark.createDataFrame(_zero_windows(), TX)
+    found = flows.balanced_state(flows.flow_balance(tx, 86_400 * S), tx).join(tx, "tx_id").where("split = 'test'")
+    assert {r["balanced_state_flag"] for r in found.collect()} == {0}
+
+
 def test_sums_are_rounded_once():
     rng = np.random.default_rng(3)
     n = 2000
