@@ -180,6 +180,13 @@ def test_balanced_state_without_history_but_zeros(spark):
     assert {r["balanced_state_flag"] for r in found.collect()} == {0}
 
 
+def test_flow_balance_of_zeros(spark):
+    tx = spark.createDataFrame(_zero_windows(), TX)
+    last = flows.flow_balance(tx, 86_400 * S).join(tx, "tx_id").where("split = 'test'").collect()
+    assert len(last) == 1200
+    assert {(r["sender_in"], r["sender_out"], r["sender_in_out_ratio"], r["sender_sumdiff"], r["sender_relative_gap"]) for r in last} == {(0.0, 0.0, 0.0, 0.0, None)}
+
+
 def test_sums_are_rounded_once():
     rng = np.random.default_rng(3)
     n = 2000
