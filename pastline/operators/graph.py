@@ -180,10 +180,21 @@ def last_neighbours(tx: DataFrame, k: int) -> DataFrame:
     return tx.select("tx_id", "receiver", F.row_number().over(Window.partitionBy("receiver").orderBy(F.desc("us"), F.desc("tx_id"))).alias("place")).where(F.col("place") <= k)
 
 
+#: Links of a node that one task meets at once, about.
+LINK_BLOCK = 4096
+#: Neighbours whose hash is below the limit that a sample is first sought under, about: for each one wanted, and besides.
+HITS = (4.0, 16.0)
+
+
+def _hash(*parts: object) -> Column:
+    """The first 60 bits of the MD5 of the parts joined by ``-``, as 15 hex digits: they sort as the number does."""
+    text = F.concat_ws("-", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.substring(F.md5(text), 1, 15)
+
+
 def _draw(*parts: object) -> Column:
     """60 bits of the MD5 of the parts joined by ``-``: the same in any engine."""
-    text = F.concat_ws("-", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.conv(_hash(*parts), 16, 10).cast("long")
 
 
 def links(tx: DataFrame) -> DataFrame:
@@ -215,12 +226,31 @@ def sampled_neighbours(spark: SparkSession, tx: DataFrame, seeds: DataFrame, fan
     """``root, hop, node, next``: from each of ``seeds`` (``node``), per hop and reached node as many of its undirected neighbours as ``fanouts`` says,
     those with the least seeded hash of (root, hop, node, neighbour). A node reached twice in a hop is sampled once."""
     around = table(spark, links(tx), "links")
+    degree = table(spark, around.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
+    blocks = F.ceil(F.col("degree") / LINK_BLOCK).cast("int")
+    around = table(spark, around.join(degree, "node").select("node", "next", F.pmod(F.xxhash64("next"), blocks).cast("int").alias("block")), "blocks")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     now = seeds.select(F.col("node").alias("root"), F.col("node")).distinct()
     every = None
     for hop, k in enumerate(fanouts, 1):
-        order = Window.partitionBy("root", "node").orderBy(_draw(seed, F.col("root"), hop, F.col("node"), F.col("next")), "next")
-        found = now.join(around, "node").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("root", F.lit(hop).alias("hop"), "node", "next")
-        found = table(spark, found, "sampled")
+        now = table(spark, now.join(degree, "node"), "reached")
+        draw = _hash(seed, F.col("root"), hop, F.col("node"), F.col("next"))
+        order = Window.partitionBy("root", "node").orderBy("draw", "next")
+
+        def least(rows: DataFrame, hits: float | None, draw=draw, order=order, k=k) -> DataFrame:
+            # So few rows bear so much work that Spark would join their partitions to one.
+            spread = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).repartition(parts, "node", "block")
+            met = spread.join(around, ["node", "block"]).select("root", "node", "next", "degree", draw.alias("draw"))
+            if hits is not None:
+                met = met.where((F.col("degree") <= hits) | (F.col("draw") < F.lpad(F.lower(F.hex((F.lit(hits * 2.0**60) / F.col("degree")).cast("long"))), 15, "0")))
+            return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+
+        # Hashes below a limit, ``HITS`` for each, are dealt out; whoever finds fewer than k is met again without a limit.
+        first = table(spark, least(now, HITS[0] * k + HITS[1]), "sampled")
+        done = first.groupBy("root", "node").agg(F.count("*").alias("found"))
+        short = now.join(done, ["root", "node"], "left").where(F.coalesce("found", F.lit(0)) < F.least(F.lit(k), F.col("degree"))).select("root", "node", "degree")
+        again = table(spark, least(short, None), "sampled")
+        found = first.join(short, ["root", "node"], "left_anti").unionByName(again).select("root", F.lit(hop).alias("hop"), "node", "next")
         every = found if every is None else every.unionByName(found)
         now = found.select("root", F.col("next").alias("node")).distinct()
     return every

@@ -1,8 +1,10 @@
 """Work that must not be done again or dealt out row by row: scores of an evaluation, neighbours of a hub."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from pastline.operators import model
+from pastline.operators import graph, model
 
 
 def test_evaluate_computes_each_score_once(spark):
@@ -15,3 +17,22 @@ def test_evaluate_computes_each_score_once(spark):
     rows = spark.createDataFrame([(i, "val" if i % 2 else "test", i % 3 % 2) for i in range(200)], "tx_id long, split string, label int")
     model.evaluate(spark, rows.withColumn("score", F.udf(score, "double")("tx_id"))).collect()
     assert seen.value == 200
+
+
+def test_sampled_neighbours_of_a_hub_in_blocks(spark, monkeypatch):
+    """Links in blocks; a limit that leaves many with too few, which are met again; nodes of few links."""
+    monkeypatch.setattr(graph, "LINK_BLOCK", 16)
+    monkeypatch.setattr(graph, "HITS", (0.5, 1.0))
+    pairs = [(i, 0) for i in range(1, 90)] + [(i, i + 1) for i in range(1, 20)]
+    tx = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "tx_id long, sender long, receiver long")
+    got = graph.sampled_neighbours(spark, tx, spark.createDataFrame([(i,) for i in range(1, 30)], "node long"), [4, 3]).collect()
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    now, want = {(r, r) for r in range(1, 30)}, set()
+    for hop, k in ((1, 4), (2, 3)):
+        kept = {(r, hop, n, x) for r, n in now for x in sorted(around[n], key=lambda x: (hashlib.md5(f"7-{r}-{hop}-{n}-{x}".encode()).hexdigest()[:15], x))[:k]}  # noqa: B023
+        want |= kept
+        now = {(r, x) for r, _, _, x in kept}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
