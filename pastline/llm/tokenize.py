@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pastline.llm import textkernel as K
 
 END_ID = 2
-#: Pieces kept in a worker's memo; beyond, the memo starts afresh (a bound on memory, not on work).
+#: Pieces kept in a worker's memo; beyond, it keeps those of the texts at hand alone (a bound on memory, not on work).
 MEMO_PIECES = 400_000
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch  # but İ, which becomes two characters
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 white, 2 letter, 3 punctuation
@@ -47,10 +48,23 @@ class PieceTokenizer:
         self.ids = np.zeros(1 << 20, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.memo), len(pieces)
+        self.used = self.count = 0
+
+    def _keep(self, names: list[str], where: np.ndarray) -> np.ndarray:
+        """Forgets all pieces but ``names``, which are at ``where`` (if not negative); returns their new places."""
+        known = where >= 0
+        at, place = np.unique(where[known], return_inverse=True)
+        lengths = self.lengths[at]
+        flat = self.ids[K.ragged(self.starts[at], lengths)]
+        self._clear()
+        self._append(flat, lengths)
+        out = where.copy()
+        out[known] = place
+        self.memo.update((x, i) for x, i in zip(names, out.tolist(), strict=True) if i >= 0)
+        return out
+
+    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = self.count, len(lengths)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + m > len(self.starts):
@@ -59,10 +73,22 @@ class PieceTokenizer:
         self.starts[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.lengths[n : n + m] = lengths
         self.used += len(flat)
-        self.memo.update(zip(pieces, range(n, n + m), strict=True))
+        self.count += m
+
+    def _add(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = self.count
+        self._append(flat, lengths)
+        self.memo.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _PLAIN(p)]
+        lower: dict[str, str] = {}  # of runs of letters: the vocabulary's own rules lower them, so those that differ in case share their ids
+        other = []
+        for p in pieces:
+            if _PLAIN(p):
+                lower[p] = p.lower()
+            else:
+                other.append(p)
+        plain = [p for p in dict.fromkeys(lower.values()) if p not in self.memo]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             found = self.plain.encode_batch_fast([" ".join(part[i : i + 200]) for i in range(0, len(part), 200)], add_special_tokens=False)
@@ -71,7 +97,7 @@ class PieceTokenizer:
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not end each word with a word-end id")
             self._add(part, flat, np.diff(ends, prepend=0))
-        other = [p for p in pieces if not _PLAIN(p)]
+        self.memo.update((p, self.memo[q]) for p, q in lower.items())
         if other:
             ids = [e.ids for e in self.full.encode_batch_fast(other, add_special_tokens=False)]
             lengths = np.array([len(x) for x in ids], np.int64)
@@ -92,13 +118,15 @@ class PieceTokenizer:
         bounds = np.append(starts, len(data)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
-        names = [x.strip(" \t\n\r") for x in coded.dictionary.to_pylist()]
+        names = [x.strip(" \t\n\r") for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        where = np.fromiter(map(self.memo.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(where < 0).tolist()
         if len(self.memo) > MEMO_PIECES:
-            self._clear()
-        new = list(dict.fromkeys(x for x in names if x not in self.memo))
-        if new:
-            self._learn(new)
-        where = np.fromiter(map(self.memo.__getitem__, names), np.int64, len(names))
+            where = self._keep(names, where)
+        if missing:
+            new = [names[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)))
+            where[missing] = np.fromiter(map(self.memo.__getitem__, new), np.int64, len(new))
         index = where[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
         lengths = self.lengths[index]
         before = np.searchsorted(starts, offsets)
