@@ -2,8 +2,10 @@
 
 Texts are scanned a few times. Two scans fill count-min sketches of the phrases (two words; then three and four, where all their pairs may be
 frequent), whose cells never count too little; a third takes as candidates the phrases that no cell rules out. Candidates and their words are
-compiled into Aho-Corasick automata of bounded size, each phrase guarded by a delimiter on both sides, and each is run over the texts: every
-match is counted, overlapping ones too. Thresholds and scores use these exact counts alone, so a full sketch costs time and loses nothing.
+compiled into Aho-Corasick automata of bounded size, each phrase guarded by a delimiter on both sides. A last scan cuts the texts into windows, the
+words from each place that can begin a candidate, and deals them out by their first words, so that a window meets the one automaton that has
+what begins there, and the texts are read once for any number of automata: every match is counted, overlapping ones too. Thresholds and scores use
+these exact counts alone, so a full sketch costs time and loses nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -35,8 +37,12 @@ CELL_BITS, BLOCK_BITS = 26, 20
 HELD = 4 << 20
 #: Places of the last candidates that a task has written: those that come again soon aren't written again.
 SEEN = 1 << 20
-#: Bytes of the phrases of one automaton, about.
-AUTOMATON_BYTES = 3 << 20
+#: Bytes of the phrases of one automaton, about, and the least number of parts that phrases and windows are dealt out by.
+AUTOMATON_BYTES, SHARDS = 3 << 20, 128
+#: Words from the start of a phrase that say where it is dealt: of shorter ones all.
+FIRST = 3
+#: Bytes of different windows that a task holds; phrases that it deals out, and bytes of windows that it counts, at once.
+WINDOW_BYTES, DEALT_ROWS, TALLY_BYTES = 32 << 20, 200_000, 1 << 18
 #: Bytes of texts that the kernels take at once.
 SLICE = 1 << 20
 #: Parts of a language's candidates that are ranked apart before their first ``TOP`` meet.
@@ -51,6 +57,7 @@ PACKED = "block int, langs array<string>, lang_at binary, keys binary, sizes bin
 #: Blocks (as a power of two) that candidates are dealt out by, and bytes of them that a task holds.
 PARTS, PACKED_BYTES = 6, 2 << 20
 FOUND = "lang string, phrase string, n long"
+DEALT = "shard int, lang string, kind int, text binary, times binary"
 
 
 @dataclass
@@ -134,8 +141,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
                 yield lang, mine.slice(at, to - at)
 
 
-def sketch(spark: SparkSession, docs: DataFrame, least: int, pairs: Broadcast | None = None) -> np.ndarray:
-    """Bits of the cells that count ``least`` or more: of two-word phrases, or, with the bits of those, of longer ones. Fixed in size."""
+def sketch(spark: SparkSession, docs: DataFrame, least: int, pairs: Broadcast | None = None, size: int = 2) -> np.ndarray:
+    """Bits of the cells that count ``least`` or more: of phrases of ``size`` words, or, with the bits of pairs, of longer ones. Fixed in size."""
 
     def written(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         at, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -150,19 +157,19 @@ def sketch(spark: SparkSession, docs: DataFrame, least: int, pairs: Broadcast |
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "width", "cells", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, held = [], 0
         for lang, text in _texts(batches):
             words = split(text, lang)
-            for n, h, ok in [(2, *grams(words, 2))] if pairs is None else possible(words, pairs.value):
+            for n, h, ok in [(size, *grams(words, size))] if pairs is None else possible(words, pairs.value):
                 if pairs is not None and n == 2:
                     continue
                 found = cells(h[ok])
                 parts += found
-                size += 2 * len(found[0])
-            if size >= HELD:
+                held += 2 * len(found[0])
+            if held >= HELD:
                 yield from written(parts)
-                parts, size = [], 0
-        if size:
+                parts, held = [], 0
+        if held:
             yield from written(parts)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +193,9 @@ def sketch(spark: SparkSession, docs: DataFrame, least: int, pairs: Broadcast |
     parts = docs.mapInArrow(count, CELLS).repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
     bits = np.zeros((2 << CELL_BITS) // 8, np.uint8)
     each = (1 << BLOCK_BITS) // 8
-    for r in parts.collect():  # a row per block, of a fixed number of bits
+    with store.freed(spark):
+        rows = parts.collect()  # a row per block, of a fixed number of bits
+    for r in rows:
         bits[r["block"] * each : (r["block"] + 1) * each] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return bits
 
@@ -205,7 +214,7 @@ def candidates(docs: DataFrame, pairs: Broadcast, longer: Broadcast) -> DataFram
         new = np.flatnonzero(np.diff(block[order], prepend=-1))
         rows = []
         for mine in np.split(order, new[1:]) if len(order) else []:
-            rows.append((int(block[mine[0]]), lang_of, langs[mine].astype("<i4").tobytes(), keys[mine].tobytes(), size[mine].astype("<i8").tobytes(), text[K.ragged(begin[mine], size[mine])].tobytes()))
+            rows.append((int(block[mine[0]]), lang_of, zlib.compress(langs[mine].astype("<i4"), 1), keys[mine].tobytes(), zlib.compress(size[mine].astype("<i8"), 1), zlib.compress(text[K.ragged(begin[mine], size[mine])], 1)))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.list_(pa.string()), *[pa.binary()] * 4))], names=[x.split()[0] for x in PACKED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,21 +245,22 @@ def candidates(docs: DataFrame, pairs: Broadcast, longer: Broadcast) -> DataFram
         if held:
             yield flush()
         # Words of each language, by their own block so that they are told from candidates.
-        counts = [pa.array([-1] * len(total), pa.int32()), pa.array([[x] for x in total], pa.list_(pa.string())), *[pa.array([b""] * len(total), pa.binary())] * 2, pa.array([np.int64(n).tobytes() for n in total.values()], pa.binary()), pa.array([b""] * len(total), pa.binary())]
+        counts = [pa.array([-1] * len(total), pa.int32()), pa.array([[x] for x in total], pa.list_(pa.string())), *[pa.array([b""] * len(total), pa.binary())] * 2, pa.array([zlib.compress(np.int64(n).tobytes(), 1) for n in total.values()], pa.binary()), pa.array([b""] * len(total), pa.binary())]
         yield pa.RecordBatch.from_arrays(counts, names=[x.split()[0] for x in PACKED.split(", ")])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, np.zeros(0, np.uint64)
         for batch in batches:
             for i, block in enumerate(batch.column("block").to_pylist()):
-                of = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)  # noqa: B023, E731
+                raw = lambda name: batch.column(name)[i].as_buffer()  # noqa: B023, E731
+                of = lambda name, kind: np.frombuffer(zlib.decompress(raw(name)), kind)  # noqa: B023, E731
                 names, size = batch.column("langs")[i].values, of("sizes", "<i8")
                 if block < 0:
                     yield pa.RecordBatch.from_arrays([names, pa.nulls(1, pa.string()), pa.array(size)], names=["lang", "phrase", "n"])
                     continue
                 if block != now:
                     now, known = block, np.zeros(0, np.uint64)
-                keys, first = np.unique(of("keys", "<u8"), return_index=True)
+                keys, first = np.unique(np.frombuffer(raw("keys"), "<u8"), return_index=True)
                 at = np.searchsorted(known, keys)
                 fresh = np.ones(len(keys), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] != keys
                 first = first[fresh]
@@ -281,48 +291,169 @@ def automata(key: object, langs: list[str], phrases: list[str]) -> dict[str, aho
     return _built[key]
 
 
-def matches(spark: SparkSession, docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``id, n``: occurrences of the ``patterns`` (``id, lang, phrase``, a bounded number) in their language's texts, added up."""
-    rows = patterns.select("id", "lang", "phrase").toPandas()  # AUTOMATON_BYTES, about
-    shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), rows["lang"].tolist(), rows["phrase"].tolist()))
-    key = (spark.sparkContext.applicationId, shared._jbroadcast.id())
-    langs = rows["lang"].unique().tolist()
-    mine = docs.where(F.col("lang").isin(langs)) if len(langs) <= 100 else docs
+def _once(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each key, and the sum of its ``times``."""
+    order = np.argsort(keys)
+    new = np.flatnonzero(np.append(True, np.diff(keys[order]) > 0)) if len(order) else order
+    return order[new], np.add.reduceat(times[order], new) if len(new) else times
+
+
+@dataclass
+class Windows:
+    """Different windows of texts: hashes, parts, places of their languages, how often each occurs, and their bytes: `` w w w `` and a line feed."""
+
+    keys: np.ndarray
+    shard: np.ndarray
+    lang: np.ndarray
+    times: np.ndarray
+    size: np.ndarray
+    text: np.ndarray
+
+    def once(self) -> Windows:
+        """Equal windows as one."""
+        first, times = _once(self.keys, self.times)
+        begin = np.cumsum(self.size) - self.size
+        return Windows(self.keys[first], self.shard[first], self.lang[first], times, self.size[first], self.text[K.ragged(begin[first], self.size[first])])
+
+    def written(self, langs: list[str]) -> Iterator[pa.RecordBatch]:
+        """A row for each part and language."""
+        order, begin = np.lexsort((self.shard, self.lang)), np.cumsum(self.size) - self.size
+        new = np.flatnonzero((np.diff(self.shard[order], prepend=-1) != 0) | (np.diff(self.lang[order], prepend=-1) != 0))
+        rows = [(int(self.shard[m[0]]), langs[self.lang[m[0]]], 1, zlib.compress(self.text[K.ragged(begin[m], self.size[m])], 1), zlib.compress(self.times[m].astype("<u4"), 1)) for m in (np.split(order, new[1:]) if len(order) else [])]
+        yield _dealt(rows)
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=[x.split()[0] for x in DEALT.split(", ")])
+
+
+def windows(words: Words, lang: int, shards: int, marks: np.ndarray, pairs: np.ndarray, longer: np.ndarray) -> Windows:
+    """What begins at each place, each once: a word of ``marks``, a possible pair, and the longest possible phrase of ``FIRST`` words or more. A phrase
+    occurs as often as the windows of its kind (one word, two, more) that begin with it, each of them in the phrase's own part."""
+    one, ok = grams(words, 1)
+    ok[ok] = held(marks, one[ok])
+    kinds = [(one, np.ones(len(one), np.int64), one, ok)]
+    for n, h, ok in possible(words, pairs, longer):
+        if n <= FIRST:
+            kinds.append((h.copy(), np.full(len(h), n), h, ok))
+        else:  # where a longer one is possible too, the window is that
+            key, long, _, _ = kinds[-1]
+            at = np.flatnonzero(ok)
+            key[at], long[at] = h[at], n
+    keys, long, by, at = [np.concatenate(x) for x in zip(*[(key[i], long[i], by[i], i) for key, long, by, i in ((key, long, by, np.flatnonzero(ok)) for key, long, by, ok in kinds)], strict=True)]
+    first, times = _once(keys, np.ones(len(keys), np.int64))
+    long, by, at = long[first], by[first], at[first]
+    # The text has a space before and after each word.
+    begin, size = words.starts[at] - 1, words.ends[at + long - 1] - words.starts[at] + 3
+    text = words.text[K.ragged(begin, size)]
+    text[np.cumsum(size) - 1] = 10
+    return Windows(keys[first], (by % np.uint64(shards)).astype(np.int64), np.full(len(first), lang), times, size, text)
+
+
+def places(phrases: pa.Array, lang: str, shards: int) -> np.ndarray:
+    """The part of each phrase."""
+    words = split(phrases, lang)
+    first = np.flatnonzero(np.diff(words.piece, prepend=0))
+    n, out = np.diff(np.append(first, len(words.hashes))), np.zeros(len(first), np.uint64)
+    for k in range(1, FIRST + 1):
+        mine = np.minimum(n, FIRST) == k
+        out[mine] = grams(words, k)[0][first[mine]]
+    return (out % np.uint64(shards)).astype(np.int64)
+
+
+def tally(made: ahocorasick.Automaton, sizes: np.ndarray, kinds: np.ndarray, text: bytes, times: np.ndarray) -> np.ndarray:
+    """How often each phrase of an automaton (of ``sizes`` in characters with both guards, of ``kinds`` words, ``FIRST`` at most) begins a window of its kind."""
+    data = np.frombuffer(text, np.uint8)
+    last = np.flatnonzero(data == 10)
+    begin = np.append(0, last[:-1] + 1)
+    kind = np.minimum(np.add.reduceat(data == 32, begin, dtype=np.int64) - 1, FIRST)
+    at = np.cumsum((data & 0xC0) != 0x80)[begin] - 1  # in characters
+    found = np.fromiter(chain.from_iterable(made.iter(text.decode())), np.int64).reshape(-1, 2)
+    start = found[:, 0] - sizes[found[:, 1]] + 1
+    of = np.searchsorted(at, start, "right") - 1
+    mine = (at[of] == start) & (kind[of] == kinds[found[:, 1]])
+    counts = np.zeros(len(sizes), np.int64)
+    np.add.at(counts, found[mine, 1], times[of[mine]])
+    return counts
+
+
+def counted(spark: SparkSession, docs: DataFrame, patterns: DataFrame, pairs: Broadcast, longer: Broadcast) -> DataFrame:
+    """``lang, phrase, f`` of the stored ``patterns`` (``lang, phrase``), each counted by an automaton; the texts are read once.
+
+    Windows of a task that share a 64-bit hash count as one (two of a million do with a chance below 1e-7).
+    """
+    size = F.length(F.col("phrase").cast("binary")) + 8
+    shards = max(SHARDS, -(-2 * (patterns.agg(F.sum(size)).first()[0] or 0) // AUTOMATON_BYTES))
+    marks = spark.sparkContext.broadcast(sketch(spark, patterns.select(F.col("phrase").alias("text"), "lang"), 1, None, 1))
+    most, run = WINDOW_BYTES, (spark.sparkContext.applicationId, marks._jbroadcast.id())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def written() -> Iterator[pa.RecordBatch]:
+            all_ = pa.Table.from_batches(held)
+            for lang in all_["lang"].unique().to_pylist():
+                mine = all_["phrase"].filter(pc.equal(all_["lang"], lang)).combine_chunks()
+                to = places(mine, lang, shards)
+                order = np.argsort(to, kind="stable")
+                yield _dealt([(int(to[x[0]]), lang, 0, zlib.compress("\n".join(mine.take(pa.array(x)).to_pylist()).encode(), 1), b"") for x in np.split(order, np.flatnonzero(np.diff(to[order])) + 1)])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= DEALT_ROWS:
+                yield from written()
+                held = []
+        if any(map(len, held)):
+            yield from written()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, parts, size = {}, [], 0
+
+        def joined() -> Windows:
+            return Windows(*(np.concatenate([getattr(p, f) for p in parts]) for f in Windows.__dataclass_fields__)).once()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, langs, phrases = shared.value
-        made = automata(key, langs, phrases)
-        counts, value = np.zeros(len(ids), np.int64), itemgetter(1)
         for lang, text in _texts(batches):
-            if lang in made:
-                written = split(text, lang).text.tobytes().decode()
-                counts += np.bincount(np.fromiter(map(value, made[lang].iter(written)), np.int64), minlength=len(ids))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(counts[some])], names=["id", "n"])
+            parts.append(windows(split(text, lang), langs.setdefault(lang, len(langs)), shards, marks.value, pairs.value, longer.value))
+            size += len(parts[-1].text) + 40 * len(parts[-1].keys)
+            if size > most:
+                parts = [joined()]
+                size = len(parts[0].text) + 40 * len(parts[0].keys)
+                if size > most // 2:
+                    yield from parts[0].written(list(langs))
+                    langs, parts, size = {}, [], 0
+        if parts:
+            yield from joined().written(list(langs))
 
-    return mine.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, phrases, text, times, counts = None, [], [], [], None
 
+        def met() -> np.ndarray:
+            made = automata((run, *now), [now[1]] * len(phrases), phrases)[now[1]]
+            sizes, kinds = np.array([len(p) + 2 for p in phrases]), np.array([min(FIRST, p.count(" ") + 1) for p in phrases])
+            return tally(made, sizes, kinds, b"".join(text), np.frombuffer(b"".join(times), "<u4"))
 
-def counted(spark: SparkSession, docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``lang, phrase, f`` of the stored ``patterns`` (``lang, phrase``), each counted by an automaton."""
-    size = F.length(F.col("phrase").cast("binary")) + 8
-    total = patterns.agg(F.sum(size)).first()[0] or 0
-    groups = max(1, -(-total // AUTOMATON_BYTES))
-    # Ranges keep a language's phrases together, so that a text is read for few groups; a range that came out large is cut by hash.
-    dealt = patterns.repartitionByRange(groups, "lang", "phrase") if groups > 1 else patterns.coalesce(1)
-    held = store.table(spark, dealt.select("*", F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("range")), "patterns")
-    parts = []
-    for r in held.groupBy("range").agg(F.sum(size).alias("bytes")).collect():
-        cuts = -(-r["bytes"] * 2 // (3 * AUTOMATON_BYTES))
-        for k in range(cuts):
-            mine = held.where((F.col("range") == r["range"]) & (F.pmod(F.xxhash64("phrase"), F.lit(cuts)) == k))
-            parts.append(store.table(spark, matches(spark, docs, mine), "matches"))
-    if not parts:
-        return patterns.select("lang", "phrase", F.lit(0).cast("long").alias("f"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return held.join(found, "id").select("lang", "phrase", F.col("n").alias("f"))
+        def done() -> Iterator[pa.RecordBatch]:
+            if phrases and (text or counts is not None):
+                f = (met() if text else 0) + (0 if counts is None else counts)
+                yield pa.RecordBatch.from_arrays([pa.array([now[1]] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(f)], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for shard, lang, kind, some, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shard, lang) != now:
+                    yield from done()
+                    now, phrases, text, times, counts = (shard, lang), [], [], [], None
+                if not kind:
+                    phrases += zlib.decompress(some).decode().split("\n")
+                elif phrases:
+                    text.append(zlib.decompress(some))
+                    times.append(zlib.decompress(n))
+                    if sum(map(len, text)) >= TALLY_BYTES:
+                        counts = met() if counts is None else counts + met()
+                        text, times = [], []
+        yield from done()
+
+    rows = patterns.mapInArrow(deal, DEALT).unionByName(docs.mapInArrow(cut, DEALT))
+    return rows.repartition("shard").sortWithinPartitions("shard", "lang", "kind").mapInArrow(count, FOUND).select("lang", "phrase", F.col("n").alias("f"))
 
 
 def frequent(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -336,7 +467,7 @@ def frequent(spark: SparkSession, docs: DataFrame, least: int = LEAST) -> tuple[
     phrases = found.where(F.col("phrase").isNotNull()).select("lang", "phrase")
     single = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase"))
     patterns = store.table(spark, phrases.unionByName(single).distinct(), "phrases")
-    counts = store.table(spark, counted(spark, texts, patterns).where(F.col("f") >= least).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "counts")
+    counts = store.table(spark, counted(spark, texts, patterns, pairs, longer).where(F.col("f") >= least).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "counts")
     return counts, found.where(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("n").alias("n"))
 
 

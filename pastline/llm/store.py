@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -57,15 +59,22 @@ def small_batches(spark: SparkSession, rows: str = BATCH_ROWS) -> None:
     _ship(spark.sparkContext)
 
 
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and reads it back: cuts the lineage, survives lost executors, frees the shuffle files behind it."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs meanwhile go as soon as it has ended."""
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
+def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` once and reads it back: cuts the lineage, survives lost executors, frees the shuffle files behind it."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    with freed(spark):
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held._stored_at = path
     return held

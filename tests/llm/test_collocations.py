@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pastline.llm import collocations
 
@@ -80,3 +81,25 @@ def test_written_anew():
     assert words.text.tobytes().decode() == " a b \n c d \n é \n f \n"
     a = collocations.automata("t", ["en"] * 3, ["a b", "b", "to to"])["en"]
     assert sorted(v for _, v in a.iter(" a b \n to to to b \n")) == [0, 1, 1, 2, 2]
+
+
+def test_texts_are_read_four_times_for_any_number_of_automata(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "AUTOMATON_BYTES", 200)
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        seen.add(1)
+        return f"the {i % 7} of {i % 5} and {i % 3} to {i % 4}, so"
+
+    docs = spark.range(400, numPartitions=3).select(F.udf(text)("id").alias("text"), F.lit("en").alias("lang"))
+    assert collocations.collocations(spark, docs).count() > 10 and seen.value == 4 * 400
+
+
+def test_one_automaton_for_all_windows(spark, monkeypatch):
+    """Phrases that begin inside a window, or in one of another kind, are not counted there, though all meet one automaton."""
+    for name, value in (("SHARDS", 1), ("WINDOW_BYTES", 1000)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = _rows()
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = sorted(tuple(r[c] for c in COLUMNS) for r in collocations.collocations(spark, df, 4, 2000).collect())
+    assert got == sorted(plain(rows, 4, 2000)) and got
