@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pastline.operators import draws
 from pastline.plans.checkpoint import drop, table
 from pastline.plans.ordered import numbered, numbered_within, previous
 from pastline.sources.tables import InputError
@@ -180,8 +181,8 @@ def last_neighbours(tx: DataFrame, k: int) -> DataFrame:
     return tx.select("tx_id", "receiver", F.row_number().over(Window.partitionBy("receiver").orderBy(F.desc("us"), F.desc("tx_id"))).alias("place")).where(F.col("place") <= k)
 
 
-#: Links of a node that one task meets at once, about.
-LINK_BLOCK = 4096
+#: Links of a node, and roots that have reached it, that meet at once, about.
+LINK_BLOCK, ROOT_BLOCK = 1 << 14, 1 << 10
 #: Neighbours whose hash is below the limit that a sample is first sought under, about: for each one wanted, and besides.
 HITS = (4.0, 16.0)
 
@@ -224,32 +225,36 @@ def random_walks(spark: SparkSession, tx: DataFrame, seeds: DataFrame, length: i
 
 def sampled_neighbours(spark: SparkSession, tx: DataFrame, seeds: DataFrame, fanouts: list[int], seed: int = 7) -> DataFrame:
     """``root, hop, node, next``: from each of ``seeds`` (``node``), per hop and reached node as many of its undirected neighbours as ``fanouts`` says,
-    those with the least seeded hash of (root, hop, node, neighbour). A node reached twice in a hop is sampled once."""
+    those with the least seeded hash of (root, hop, node, neighbour). A node reached twice in a hop is sampled once. Accounts are numbers or text."""
     around = table(spark, links(tx), "links")
     degree = table(spark, around.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-    blocks = F.ceil(F.col("degree") / LINK_BLOCK).cast("int")
-    around = table(spark, around.join(degree, "node").select("node", "next", F.pmod(F.xxhash64("next"), blocks).cast("int").alias("block")), "blocks")
+    block = lambda column, n, size: F.pmod(F.xxhash64(column), F.ceil(F.col(n) / size)).alias("block")
+    dealt = around.join(degree, "node").groupBy("node", block("next", "degree", LINK_BLOCK)).agg(F.collect_list(F.col("next").cast("string")).alias("nexts"))
+    dealt = table(spark, dealt.drop("block"), "blocks")  # lists of LINK_BLOCK, about
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     now = seeds.select(F.col("node").alias("root"), F.col("node")).distinct()
     every = None
     for hop, k in enumerate(fanouts, 1):
         now = table(spark, now.join(degree, "node"), "reached")
-        draw = _hash(seed, F.col("root"), hop, F.col("node"), F.col("next"))
         order = Window.partitionBy("root", "node").orderBy("draw", "next")
+        kinds = {"root": now.schema["root"].dataType, "node": now.schema["node"].dataType, "next": around.schema["next"].dataType}
 
-        def least(rows: DataFrame, hits: float | None, draw=draw, order=order, k=k) -> DataFrame:
+        def least(rows: DataFrame, hits: float | None, hop=hop, k=k, order=order, kinds=kinds) -> DataFrame:
+            share = F.lit(None).cast("double") if hits is None else F.when(F.col("degree") > hits, F.lit(hits) / F.col("degree"))
+            reached = rows.groupBy("node").agg(F.count("*").alias("reached"))
+            roots = rows.join(reached, "node").groupBy("node", "degree", block("root", "reached", ROOT_BLOCK)).agg(F.collect_list(F.col("root").cast("string")).alias("roots"))
             # So few rows bear so much work that Spark would join their partitions to one.
-            spread = rows.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).repartition(parts, "node", "block")
-            met = spread.join(around, ["node", "block"]).select("root", "node", "next", "degree", draw.alias("draw"))
-            if hits is not None:
-                met = met.where((F.col("degree") <= hits) | (F.col("draw") < F.lpad(F.lower(F.hex((F.lit(hits * 2.0**60) / F.col("degree")).cast("long"))), 15, "0")))
-            return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-
-        # Hashes below a limit, ``HITS`` for each, are dealt out; whoever finds fewer than k is met again without a limit.
-        first = table(spark, least(now, HITS[0] * k + HITS[1]), "sampled")
+            meet = roots.join(dealt, "node").select(F.col("node").cast("string").alias("node"), share.alias("share"), "roots", "nexts").repartition(parts)
+            met = draws.drawn(meet, seed, hop, k).select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()], "draw")
+            return met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+        # Hashes below a limit, ``HITS`` for each, are dealt out; whoever finds fewer than k is met again, for the k least of each block.
+        with draws.small_batches(spark):
+            first = table(spark, least(now, HITS[0] * k + HITS[1]), "sampled")
         done = first.groupBy("root", "node").agg(F.count("*").alias("found"))
         short = now.join(done, ["root", "node"], "left").where(F.coalesce("found", F.lit(0)) < F.least(F.lit(k), F.col("degree"))).select("root", "node", "degree")
-        again = table(spark, least(short, None), "sampled")
+        with draws.small_batches(spark):
+            again = table(spark, least(short, None), "sampled")
         found = first.join(short, ["root", "node"], "left_anti").unionByName(again).select("root", F.lit(hop).alias("hop"), "node", "next")
         every = found if every is None else every.unionByName(found)
         now = found.select("root", F.col("next").alias("node")).distinct()
